@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: A source's weight, by its place in the order of sources, repeating.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix per word of the documents, and the most a source's words may be repeated.
 BUDGET = 1.5
 MAX_REPEATS = 2
+#: Hash seeds tried for each source.
+SEEDS = 8
+#: A plan of more sources than this is joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def size_in_words(text: str = "text") -> Column:
@@ -37,36 +43,76 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     rows = rows.withColumn("level", level)
-    rows = rows.withColumn("share", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
+    rows = rows.withColumn("share", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     free = F.coalesce(F.col("share") * F.col("weight"), F.col("cap"))
     return rows.select("source", "source_size", F.least("cap", free).alias("target"))
 
 
-def draw(doc_id: str = "doc_id", seed: str = "mix") -> Column:
-    """A number in [0, 1) that depends on the document's id alone."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 12)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
+def draws(doc_id: str = "doc_id") -> Column:
+    """SEEDS numbers in [0, 1) that depend on the document's id alone, one for each seed."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    digests = [F.md5(F.concat(F.lit(f"mix{i}:"), text)) for i in range(SEEDS // 4)]
+    parts = [F.substring(d, 8 * k + 1, 8) for d in digests for k in range(4)]
+    return F.array(*[F.conv(p, 16, 10).cast("double") / F.lit(float(16**8)) for p in parts])
+
+
+def _copies(rate: Column, u: Column) -> Column:
+    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def mixing_plan(sized: DataFrame) -> DataFrame:
+    """(source, source_size, target, rate, seed) per source of sized(doc_id, source, size).
+
+    rate = target / source_size, at most 2. Of the SEEDS hash seeds the one whose draws take a number
+    of words nearest to the source's target is chosen (ties to the first), so that sources of a few
+    long documents come near their target as well. All sums are pre-aggregated by Spark.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sums)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = written(targets.withColumn("rate", rate))
+    joined = _with_source(sized, targets).withColumn("u", draws())
+    takes = [F.sum(_copies(F.col("rate"), F.col("u")[k]) * F.col("size")).alias(f"take{k}") for k in range(SEEDS)]
+    taken = joined.groupBy(F.col("source").alias("_source")).agg(F.first("target").alias("_target"), *takes)
+    misses = F.array(*[F.struct(F.abs(F.col(f"take{k}") - F.col("_target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)])
+    chosen = taken.select("_source", F.array_min(misses)["seed"].alias("seed"))
+    return written(targets.join(chosen, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"))
+
+
+def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows joined to their source's row; it is broadcast only if it has few rows, else joined by shuffle."""
+    plan = plan.withColumnRenamed("source", "_source")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with the columns size, source_size, target and copies.
+    """(doc_id, source, size, source_size, target, copies, taken) per row of docs.
 
     A document is taken floor(rate) times, and once more with a probability equal to the rest of the
-    rate, decided by a hash of its id; rate = target / source_size of its source, at most 2. Null
-    texts have size 0; null sources form one source, the last; rows with equal ids (null included)
-    are decided alike; an empty table gives no rows. Sizes are summed before the shuffle, and each
-    source's row is joined back by the source; a hot source costs no shuffle of its documents.
+    rate, decided by a hash of its id. Null texts have size 0; null sources form one source, the
+    last; rows with equal ids (null included) are decided alike; further columns are left out; an
+    empty table gives no rows. Texts are read once and never shuffled.
     """
-    sized = docs.withColumn("size", size_in_words(text))
-    sums = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sums).select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (draw(doc_id) < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
+    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size")))
+    plan = mixing_plan(sized)
+    copies = _copies(F.col("rate"), F.element_at(draws(), F.col("seed") + 1))
+    return _with_source(sized, plan).withColumn("copies", copies).select(
+        F.col("doc_id").alias(doc_id), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def emitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    mixed = mix(docs, doc_id, text, source).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    As mix(); texts are read a second time for it, in place of being shuffled.
+    """
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size"))
+    plan = mixing_plan(written(ids)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    joined = docs.join(plan, docs[source].eqNullSafe(F.col("_source")))
+    copies = _copies(F.col("_rate"), F.element_at(draws(doc_id), F.col("_seed") + 1))
+    often = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return often.select(*docs.columns)

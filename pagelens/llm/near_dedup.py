@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, utf8
@@ -70,9 +70,8 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     Every pair outside large buckets is returned; of those inside, enough that connected
     fingerprints stay connected. Equality joins on signatures, then a check of all 64 bits.
     """
-    keyed = _signatures(fps)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = written(keyed.join(shared, "key"))
+    members = F.count("*").over(Window.partitionBy("key")).alias("members")
+    rows = written(_signatures(fps).select("*", members).where("members > 1"))
     cool = rows.where(F.col("members") <= hot_bucket)
     left = cool.select("key", F.col("fp").alias("a"), F.col("side").alias("a_side"))
     right = cool.select("key", F.col("fp").alias("b"), F.col("side").alias("b_side"))
