@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, neighbours, packing, quality, toxicity
+from . import audio, backoff, html_text, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector played as a recording; classes of equal fingerprints and the best alignment of every fiftieth."""
+    return audio.align(audio.recordings_of(_table(spark, sf_dir, "embeddings")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after edits derived from its own values."""
+    docs = token_counts.derived_edits(_table(spark, sf_dir, "documents"))
+    return token_counts.counts_after_edits(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_texts(_table(spark, sf_dir, "pages"))
@@ -46,6 +57,11 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all others."""
+    return backoff.scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -54,6 +70,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_simhash_near_dedup, op3_packing, op5_html_text, op7_mixing, op8_neighbours, op10_toxicity)
-}
-SQL: dict[str, str] = {}
+    for f in (
+        op1_quality,
+        op2_simhash_near_dedup,
+        op3_packing,
+        op4_token_counts,
+        op5_html_text,
+        op6_audio_fingerprints,
+        op7_mixing,
+        op8_neighbours,
+        op9_backoff_scores,
+        op10_toxicity,
+    )
+}
+
+_DRAWS = ", ".join(
+    f"('0x' || substr(md5('mix{i}:' || coalesce(doc_id::varchar, '')), {8 * k + 1}, 8))::bigint::double / {float(16**8)}"
+    for i in range(mixing.SEEDS // 4)
+    for k in range(4)
+)
+
+SQL: dict[str, str] = {
+    "op7_mixing": f"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, [{_DRAWS}] as u from documents
+), sums as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), weighed as (
+  select *, ([3.0, 1.0, 2.0])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, source_size * 2.0::double as cap from sums
+), levels as (
+  select *, (sum(source_size) over () * 1.5::double
+    - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from weighed
+), targets as (
+  select source, source_size, least(cap, coalesce((select max(level) from levels where level * weight <= cap) * weight, cap))::double as target from levels
+), rated as (
+  select *, case when source_size > 0 then target / source_size else 0.0 end::double as rate from targets
+), tries as (
+  select r.source, k, abs(sum((floor(r.rate) + (s.u[k + 1] < r.rate - floor(r.rate))::int) * s.size) - any_value(r.target)) as miss
+  from sized s join rated r on s.source is not distinct from r.source, range(0, {mixing.SEEDS}) t(k) group by r.source, k
+), chosen as (
+  select source, arg_min(k, (miss, k)) as seed from tries group by source
+)
+select s.doc_id, s.size, r.source_size, r.target,
+  (floor(r.rate) + (s.u[c.seed + 1] < r.rate - floor(r.rate))::int)::bigint * s.size as taken
+from sized s join rated r on s.source is not distinct from r.source join chosen c on s.source is not distinct from c.source
+""",
+}
