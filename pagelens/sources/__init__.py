@@ -1,0 +1,99 @@
+"""Readers and writers of crawls and of the files around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelens.functions.text import strip_ws
+
+#: Column names of a crawler's export.
+EXPORT = {
+    "Address": ("url", "string"), "Status Code": ("status", "int"), "Title 1": ("title", "string"), "Meta Description 1": ("meta_desc", "string"),
+    "H1-1": ("h1", "string"), "H2-1": ("h2", "string"), "Canonical Link Element 1": ("canonical", "string"), "Meta Robots 1": ("meta_robots", "string"),
+    "X-Robots-Tag 1": ("x_robots", "string"), "Word Count": ("word_count", "int"), "Size (bytes)": ("size", "int"), "Response Time": ("response_time", "double"),
+    "Crawl Depth": ("depth", "int"), "Inlinks": ("inlink_count", "int"), "Outlinks": ("outlink_count", "int"), "Indexability": ("indexability", "string"),
+    "Hash": ("content_hash", "string"),
+}
+DEFAULTS = {"status": 200, "word_count": 0, "size": 0, "depth": 0, "inlink_count": 0, "outlink_count": 0}
+
+
+def read_pages(spark: SparkSession, path: str, crawl_id: str | None = None) -> DataFrame:
+    """Stored pages; with a crawl_id only that partition is read."""
+    pages = spark.read.parquet(path)
+    return pages if crawl_id is None else pages.where(F.col("crawl_id") == crawl_id)
+
+
+def write_pages(pages: DataFrame, path: str, with_html: bool = True) -> None:
+    """Pages by crawl, without the elements and, if asked for, without the HTML; a crawl written again replaces its partition."""
+    kept = [c for c in pages.columns if c != "elements" and (with_html or c != "html")]
+    writer = pages.select(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("crawl_id").parquet(path)
+
+
+def read_crawl_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A crawler's CSV export with the page columns: a leading byte-order mark is ignored, numbers that don't parse get their defaults, rows without an address go."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+    columns = []
+    for label, (name, kind) in EXPORT.items():
+        value = F.col(f"`{label}`") if label in raw.columns else F.lit(None).cast("string")
+        if kind != "string":
+            value = F.coalesce(value.try_cast(kind), F.lit(DEFAULTS.get(name)).cast(kind))
+        elif name in ("h1", "h2"):
+            value = F.filter(F.array(value), lambda v: strip_ws(v) != "")
+        columns.append(value.alias(name))
+    return raw.select(columns).where(strip_ws(F.col("url")) != "").withColumn("indexable", F.coalesce(F.lower("indexability") != "non-indexable", F.lit(True)))
+
+
+def parse_url_list(rows: DataFrame, column: str = "value") -> DataFrame:
+    """(url): addresses out of pasted text, https added where the scheme lacks, other words left out, each once."""
+    items = rows.select(F.explode(F.split(column, "[\n,]")).alias("u")).select(strip_ws(F.col("u")).alias("u"))
+    kept = items.where(F.col("u").rlike(r"(?i)^https?://") | F.col("u").rlike(r"(?i)^[\w.-]+\.[a-z]{2,}"))
+    return kept.select(F.when(F.col("u").rlike(r"(?i)^https?://"), F.col("u")).otherwise(F.concat(F.lit("https://"), "u")).alias("url")).distinct()
+
+
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """(crawl_id, file, url, lastmod) of files(crawl_id, file, body); entries of index files are those of other files and aren't pages."""
+    blocks = files.select("crawl_id", "file", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1))).alias("b"))
+    url = F.replace(strip_ws(F.regexp_extract("b", r"(?is)<loc>(.*?)</loc>", 1)), F.lit("&amp;"), F.lit("&"))
+    last = F.nullif(strip_ws(F.regexp_extract("b", r"(?is)<lastmod>(.*?)</lastmod>", 1)), F.lit(""))
+    return blocks.select("crawl_id", "file", url.alias("url"), last.try_cast("timestamp").alias("lastmod")).where("url <> ''")
+
+
+def child_sitemaps(files: DataFrame) -> DataFrame:
+    """(crawl_id, file): further files that index files name."""
+    blocks = files.select("crawl_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<sitemap\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("file"))
+    return blocks.distinct()
+
+
+def sitemap_summary(files: DataFrame) -> DataFrame:
+    """(crawl_id, file, n_urls, bytes, well_formed)."""
+    body = F.coalesce("body", F.lit(""))
+    closed = F.lower(body).rlike(r"(?s)<(urlset|sitemapindex)\b.*</(urlset|sitemapindex)>\s*$")
+    return files.select(
+        "crawl_id", "file", F.regexp_count(body, F.lit(r"(?i)<loc>")).alias("n_urls"), F.octet_length(body).alias("bytes"), closed.alias("well_formed")
+    )
+
+
+def llms_facts(files: DataFrame) -> DataFrame:
+    """(crawl_id, llms_status, llms_body, has_h1, links) of fetched llms.txt files; bare addresses where there are no Markdown links."""
+    marked = F.regexp_extract_all("body", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
+    bare = F.regexp_extract_all("body", F.lit(r"(https?://[^\s)>\]]+)"), F.lit(1))
+    return files.select(
+        "crawl_id", F.col("status").alias("llms_status"), F.col("body").alias("llms_body"), F.col("body").rlike(r"(?m)^#\s+\S").alias("has_h1"), F.when(F.size(marked) > 0, marked).otherwise(bare).alias("links")
+    )
+
+
+def owned(rows: DataFrame, owner: str | Column) -> DataFrame:
+    """Rows of one workspace."""
+    return rows.where(F.col("owner") == owner)
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """Rows as quoted CSV with a header."""
+    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\n").csv(path)
+
+
+def export_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
