@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query parameters that only track, and public suffixes of two labels.
 TRACKING = r"(?i)^(utm_|fbclid=|gclid=|replytocom=|sessionid=|sid=|msclkid=|(fbclid|gclid|replytocom|sessionid|sid|msclkid)$)"
@@ -173,7 +174,7 @@ def path_variants(p: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(p, toggled, folder)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def idna_host(hosts: pd.Series) -> pd.Series:
     """Hosts in punycode; those that can't be encoded stay as they are."""
 

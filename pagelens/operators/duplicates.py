@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as X
 from pagelens.functions.vectors import cosine
+from pagelens.plans.storage import settle
 
-PERMUTATIONS, BANDS = 128, 32
+PERMUTATIONS = 128
 #: Fixed value: addresses of later pages of a series.
 PAGINATED = r"(?i)(?:[?&](?:page|paged|pg)=\d+|/page/\d+/?$)"
 
@@ -43,26 +44,34 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
     return minima.select("id", F.array(*[f"m{k}" for k in range(permutations)]).alias("signature"))
 
 
-def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, bands: int = BANDS) -> DataFrame:
-    """(a, b, similarity) with a < b: texts whose exact shingle similarity reaches the threshold.
+def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9) -> DataFrame:
+    """(a, b, similarity) with a < b: texts whose shingle similarity reaches the threshold, all of them.
 
-    Texts are reduced to distinct ones first; equal texts are tied to the smallest id with similarity 1,
-    so copies cost a pair each and not a pair with each other. Distinct texts are banded: minima of a
-    signature, a band of them one join key; candidates are then compared by their shingle sets.
+    Equal texts are tied to the smallest id with similarity 1, so copies cost a pair each. Of distinct
+    texts the rarest shingles are the join key: two sets of similarity t share one of the first
+    (1 - t) n + 1 elements of each in any common order, and in that of frequency few other texts share
+    them, whatever passages are common. Lengths are compared in the join, shingle sets after it.
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    hashed = base.withColumn("h", F.md5("text"))
-    first = hashed.groupBy("h").agg(F.min("id").alias("a"))
-    copies = hashed.select("h", "id").join(first, "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    distinct = hashed.join(first, hashed["id"] == first["a"], "left_semi").select("id", "text")
-    signatures = minhash_rows(distinct, "id", "text")
-    width = PERMUTATIONS // bands
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("signature")[b * width + k] for k in range(width)]) for b in range(bands)])
-    banded = signatures.select("id", F.explode(keys).alias("band"))
-    left, right = banded.select(F.col("id").alias("a"), "band"), banded.select(F.col("id").alias("b"), "band")
-    candidates = left.join(right, "band").where("a < b").select("a", "b").distinct()
-    sets = distinct.select("id", X.shingles(F.col("text")).alias("s"))
-    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    first = base.groupBy("text").agg(F.min("id").alias("id"))
+    ids = base.select("id", F.md5("text").alias("h"))
+    copies = ids.join(first.select(F.md5("text").alias("h"), F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    hashed = first.select("id", F.explode(F.transform(X.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
+    hashed = hashed.distinct()
+    counts = hashed.groupBy("s").agg(F.count("*").alias("df"))
+    sets = settle(hashed.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")))
+    n = F.size("x")
+    rare = F.slice("x", F.lit(1), (F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int"))
+    keys = sets.select("id", n.alias("n"), F.explode(rare).alias("k")).where("k.df > 1").select("id", "n", F.col("k.s").alias("s"))
+    left = keys.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "s")
+    right = keys.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "s")
+    candidates = (
+        left.join(right, "s")
+        .where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)))
+        .select("a", "b")
+        .distinct()
+    )
+    both = candidates.join(sets.select(F.col("id").alias("a"), "x"), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     near = both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
     return near.unionByName(copies)
@@ -78,7 +87,7 @@ def _unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92, parts: int = 16) -> DataFrame:
+def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92) -> DataFrame:
     """(a, b, similarity) with a < b and a cosine of at least the threshold, all of them.
 
     A cosine of t bounds the difference of any unit coordinate by sqrt(2 - 2t): vectors are put into

@@ -25,13 +25,13 @@ def link_counts(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.fillna(0, ["outlink_count", "inlink_count"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40, settle_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
     """(crawl_id, url, authority) of nodes(crawl_id, url): rank by links, the best page of a crawl at 100.
 
     edges(crawl_id, src, dst) count as often as they occur, self-loops too; those out of the node set
     are dropped; the rank of pages without links is spread over the crawl. All crawls are ranked in the
     same joins. The edges are partitioned by source once and written, a page's inflow is summed before
-    the shuffle, and every few rounds the ranks are written, so plans stay small.
+    the shuffle, and the ranks are written after each round: a round reads them twice, so lineage would double.
     """
     nodes = nodes.select("crawl_id", "url").distinct()
     inside = edges.join(nodes.withColumnRenamed("url", "dst"), ["crawl_id", "dst"], "left_semi").join(
@@ -42,7 +42,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     size = nodes.groupBy("crawl_id").agg(F.count("*").alias("n"))
     base = settle(nodes.join(degree, ["crawl_id", "url"], "left").join(size, "crawl_id"))
     rank = base.select("crawl_id", "url", (1.0 / F.col("n")).alias("rank"))
-    for i in range(iterations):
+    for _ in range(iterations):
         now = base.join(rank, ["crawl_id", "url"])
         dangling = now.groupBy("crawl_id").agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"))
         flow = (
@@ -61,9 +61,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
                 (F.lit(1.0 - damping) / F.col("n") + F.lit(damping) * F.col("dangling") / F.col("n") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"),
             )
         )
-        if (i + 1) % settle_every == 0 and i + 1 < iterations:
-            rank = settle(rank)
-    rank = settle(rank)
+        rank = settle(rank)
     top = rank.groupBy("crawl_id").agg(F.max("rank").alias("top"))
     return rank.join(top, "crawl_id").select(
         "crawl_id", "url", F.when(F.col("top") > 0, F.bround(F.lit(100.0) * F.col("rank") / F.col("top"), 1)).otherwise(0.0).alias("authority")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,14 @@ _PARSED = ", ".join(
         f"main_text string, full_text string, forms_count int, dom_node_count int, elements array<{_ELEMENT}>",
     ]
 )
-PARSED = T.StructType.fromDDL(_PARSED)
+
+
+@cache
+def parsed_schema() -> T.StructType:
+    """What the parser adds to a page row; needs a session."""
+    return T.StructType.fromDDL(_PARSED)
+
+
 
 #: Columns a crawl may bring along; those that are missing are added with these values.
 RESPONSE = {
@@ -56,12 +64,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     One pass of Arrow batches over the rows, without a shuffle; null html is parsed as empty. Further
     columns are kept. All other logic is relational and reads only the columns it needs.
     """
+    parsed_fields = parsed_schema()
     for name, (kind, default) in RESPONSE.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, default().cast(kind))
-    kept = [c for c in pages.columns if c != "html" and c not in PARSED.names]
-    schema = T.StructType([*(f for f in pages.select(*kept, "html").schema), *PARSED])
-    arrow = to_arrow_schema(PARSED)
+    kept = [c for c in pages.columns if c != "html" and c not in parsed_fields.names]
+    schema = T.StructType([*(f for f in pages.select(*kept, "html").schema), *parsed_fields])
+    arrow = to_arrow_schema(parsed_fields)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
