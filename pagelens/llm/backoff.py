@@ -17,10 +17,10 @@ from .storage import written
 #: Weight of the unigram share where no other document has the bigram.
 BACKOFF = 0.4
 #: Words of a bucket of the count tables, about, and of a batch of documents.
-BUCKET_WORDS = 4_000_000
-BATCH_WORDS = 4_000_000
+BUCKET_WORDS = 1_500_000
+BATCH_WORDS = 1_500_000
 BATCH_DOCS = 60_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _BITS = 48
 START, END = 1, 2
 _PAIRS, _SUMS, _MISSES, _UNIGRAMS, _DOCS = range(5)
