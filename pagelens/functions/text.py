@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -81,11 +82,19 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), "(?s)<[^>]+>", " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def shingles(c: Column, n: int = 5) -> Column:
     """Distinct runs of n words of the lower-cased text; the whole text if it has fewer, none if it has no words."""
-    w = words(F.lower(c))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    def runs(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    return let(words(F.lower(c)), runs)
 
 
 def serp_row(title: Column, description: Column) -> list[Column]:
