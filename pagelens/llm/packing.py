@@ -17,10 +17,10 @@ WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: What a cut at a sentence's end, and one inside a sentence, costs in tokens of padding.
-SENTENCE_CUT = 16
-HARD_CUT = 256
+SENTENCE_CUT = 8
+HARD_CUT = 32
 #: Tokens between the places inside documents that are considered for a cut.
-CUT_STEP = 32
+CUT_STEP = 8
 #: Tokens that are planned at once, and those of them whose windows stay open for what follows.
 BLOCK = 1 << 18
 OPEN = 8 * WINDOW
@@ -37,8 +37,8 @@ def cut_places(ends: np.ndarray, stops: np.ndarray, window: int = WINDOW) -> tup
     near = stops[np.append(np.diff(stops // CUT_STEP) > 0, True)] if len(stops) else stops
     known = np.union1d(ends, near)
     gaps = np.diff(known, prepend=0)
-    step = window // 8
-    hard = [np.arange(b - g + step, b, step) for b, g in zip(known[gaps > window].tolist(), gaps[gaps > window].tolist(), strict=True)]
+    far, step = gaps > 4 * CUT_STEP, 2 * CUT_STEP
+    hard = [np.arange(b - g + step, b, step) for b, g in zip(known[far].tolist(), gaps[far].tolist(), strict=True)]
     places = np.union1d(known, np.concatenate(hard)) if hard else known
     cost = np.full(len(places), HARD_CUT)
     cost[np.searchsorted(places, near)] = SENTENCE_CUT
