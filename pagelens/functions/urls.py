@@ -91,7 +91,7 @@ def _remove_dots(p: Column) -> Column:
 
 
 def join_url(base: Column, ref: Column) -> Column:
-    """Reference resolution of RFC 3986 for hierarchical addresses. Null references stay null."""
+    """Reference resolution of RFC 3986 for hierarchical addresses; an empty reference is the base itself, null stays null."""
     ref = F.regexp_replace(ref, r"^\s+|\s+$", "")
     root = F.concat(scheme(base), F.lit("://"), netloc(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
@@ -104,7 +104,7 @@ def join_url(base: Column, ref: Column) -> Column:
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref == "", F.regexp_replace(base, "#.*$", ""))
+        .when(ref == "", base)
         .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
         .when(ref.startswith("?"), F.concat(root, path(base), tail))
         .otherwise(F.concat(root, _remove_dots(own_path), tail))
