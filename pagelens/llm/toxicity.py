@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches, texts
 from .samples import MAX_ROWS, held_out, labelled, share, unlabelled
+from .storage import written
 
 BUCKETS = 1 << 20
 #: Word beginnings of these lengths are features beside whole words.
 PREFIXES = (5, 6, 7)
 #: A feature must occur in this many confirmed texts.
 LEAST_TEXTS = 3
+#: A feature is kept if so large a share of the texts that have it is toxic, going by the prior.
+LEAST_SHARE = 0.4
 STEPS = 250
 RATE = 0.05
 SPARSITY = 3e-4
@@ -57,35 +60,24 @@ class Model:
 
 @dataclass(frozen=True)
 class Counts:
-    """Feature occurrences of n texts: the text and the bucket of each."""
+    """Feature occurrences of n texts: the text, the place of the feature and how often."""
 
     n: int
     row: np.ndarray
-    bucket: np.ndarray
+    place: np.ndarray
+    times: np.ndarray
 
 
-def _counts(docs: DataFrame, kept: frozenset[int] | None = None) -> Counts:
-    """Of each document the buckets (those kept) of its distinct words, worked out by Spark."""
-    sent = docs.sparkSession.sparkContext.broadcast(kept)
+def _features(docs: DataFrame) -> DataFrame:
+    """(text, features): the buckets of each document's distinct words, under a number for the document."""
 
     def stage(batches):
-        only = sent.value
         for batch in batches:
-            found = [
-                np.sort(np.array([f for w in distinct_words(t) for f in word_features(w) if only is None or f in only], np.int32))
-                for t in texts(batch)
-            ]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "features"])
+            found = [np.sort(np.array([f for w in distinct_words(t) for f in word_features(w)], np.int32)) for t in texts(batch)]
+            yield pa.record_batch([batch.column("kind"), pa.array(found, pa.list_(pa.int32()))], names=["kind", "features"])
 
-    rows = map_batches(docs, stage, "doc_id long, features array<int>").toArrow().sort_by("doc_id")["features"].combine_chunks()
-    lengths = np.diff(rows.offsets.to_numpy())
-    return Counts(len(rows), np.repeat(np.arange(len(rows)), lengths), rows.flatten().to_numpy())
-
-
-def _frequent(counts: Counts) -> np.ndarray:
-    """Buckets that occur in at least LEAST_TEXTS texts."""
-    pairs = np.unique(counts.row.astype(np.int64) * BUCKETS + counts.bucket)
-    return np.flatnonzero(np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= LEAST_TEXTS)
+    found = map_batches(docs, stage, "kind int, features array<int>")
+    return found.withColumn("text", F.monotonically_increasing_id())
 
 
 def fit_pu(positive: Counts, unlabelled: Counts, kept: np.ndarray, prior: float) -> Model:
@@ -100,23 +92,21 @@ def fit_pu(positive: Counts, unlabelled: Counts, kept: np.ndarray, prior: float)
     base = float(np.log(prior / (1 - prior)))
     if not positive.n or not unlabelled.n:
         return Model(base, {})
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    (pr, pc), (ur, uc) = ((c.row[at >= 0], at[at >= 0]) for c in (positive, unlabelled) for at in [place[c.bucket]])
+    (pr, pc, pt), (ur, uc, ut) = ((c.row, c.place, c.times) for c in (positive, unlabelled))
     n_p, n_u, d = positive.n, unlabelled.n, len(kept)
     w, b = np.zeros(d), base
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, STEPS + 1):
-        zp = np.bincount(pr, w[pc], n_p) + b
-        zu = np.bincount(ur, w[uc], n_u) + b
+        zp = np.bincount(pr, w[pc] * pt, n_p) + b
+        zu = np.bincount(ur, w[uc] * ut, n_u) + b
         risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gu, gn, gp = sigmoid(zu) / n_u, -prior * sigmoid(zp) / n_p, -prior * sigmoid(-zp) / n_p
         if risk >= 0:
             on_p, on_u = gp + gn, gu
         else:
             on_p, on_u = -gn, -gu
-        g = np.append(np.bincount(pc, on_p[pr], d) + np.bincount(uc, on_u[ur], d), on_p.sum() + on_u.sum())
+        g = np.append(np.bincount(pc, on_p[pr] * pt, d) + np.bincount(uc, on_u[ur] * ut, d), on_p.sum() + on_u.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], max(base, b - move[-1])
@@ -127,14 +117,30 @@ def fit_pu(positive: Counts, unlabelled: Counts, kept: np.ndarray, prior: float)
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Fitted on at most max_rows confirmed and 2 * max_rows unlabelled documents, none of them held out.
 
-    The class prior is the share of label 1 among all labelled rows that are not held out. Words are
-    turned into features by Spark; only sampled documents' feature numbers come to the driver.
+    The class prior is the share of label 1 among all labelled rows that are not held out. Spark works
+    out the features, counts the texts of both kinds that have them, and keeps those that at least
+    LEAST_TEXTS confirmed texts have and that, by their frequency in both and the prior, mark toxic texts
+    in LEAST_SHARE of the cases. Only the kept ones' occurrences in the sample come to the driver.
     """
-    confirmed = labelled(docs, labels.where(F.col(label) == 1), label, max_rows).select("doc_id", "text")
-    positive = _counts(confirmed)
-    kept = _frequent(positive)
-    others = _counts(unlabelled(docs, 2 * max_rows), frozenset(kept.tolist()))
-    return fit_pu(positive, others, kept, share(labels, label))
+    confirmed = labelled(docs, labels.where(F.col(label) == 1), label, max_rows).select("text", F.lit(1).alias("kind"))
+    others = unlabelled(docs, 2 * max_rows).select("text", F.lit(0).alias("kind"))
+    found = written(_features(confirmed.unionByName(others)))
+    sizes = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    prior = share(labels, label)
+    texts_with = found.select("kind", F.explode(F.array_distinct("features")).alias("bucket")).groupBy("bucket")
+    shares = texts_with.agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("u"))
+    useful = written(shares.where((F.col("p") >= LEAST_TEXTS) & (F.col("p") * (prior * max(1, n_u)) >= F.col("u") * (LEAST_SHARE * max(1, n_p)))).select("bucket"))
+    kept = np.sort(np.array([r["bucket"] for r in useful.collect()], np.int64))
+    occurring = found.select("kind", "text", F.explode("features").alias("bucket")).join(F.broadcast(useful), "bucket")
+    rows = occurring.groupBy("kind", "text", "bucket").agg(F.count("*").alias("times")).toArrow().sort_by([("kind", "ascending"), ("text", "ascending"), ("bucket", "ascending")])
+    kind, text, bucket, times = (rows[c].to_numpy() for c in ("kind", "text", "bucket", "times"))
+
+    def counts(k: int, n: int) -> Counts:
+        at = kind == k
+        return Counts(n, np.unique(text[at], return_inverse=True)[1], np.searchsorted(kept, bucket[at]), times[at].astype(float))
+
+    return fit_pu(counts(1, n_p), counts(0, n_u), kept, prior)
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

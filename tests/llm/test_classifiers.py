@@ -43,15 +43,16 @@ def test_pairs_are_ranked():
 def test_risk_with_hidden_positives():
     rng = random.Random(0)
     make = lambda toxic: " ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if toxic else "")
-    count = lambda texts: toxicity.Counts(
-        len(texts),
-        np.repeat(np.arange(len(texts)), [sum(len(toxicity.word_features(w)) for w in toxicity.distinct_words(t)) for t in texts]),
-        np.array([f for t in texts for w in toxicity.distinct_words(t) for f in toxicity.word_features(w)]),
-    )
+    kept = np.sort([*toxicity.word_features("vile"), *toxicity.word_features("aaa")])
+
+    def count(texts):
+        hits = [(i, int(np.searchsorted(kept, f))) for i, t in enumerate(texts) for w in toxicity.distinct_words(t) for f in toxicity.word_features(w) if f in kept]
+        return toxicity.Counts(len(texts), np.array([h[0] for h in hits], int), np.array([h[1] for h in hits], int), np.ones(len(hits)))
+
     positive = count([make(True) for _ in range(100)])
-    model = toxicity.fit_pu(positive, count([make(i % 10 == 0) for i in range(400)]), toxicity._frequent(positive), 0.1)
+    model = toxicity.fit_pu(positive, count([make(i % 10 == 0) for i in range(400)]), kept, 0.1)
     assert model.score("aaa vile bbb", {}) > 0.5 > model.score("aaa bbb ccc", {})
-    empty = toxicity.Counts(0, np.empty(0, int), np.empty(0, int))
+    empty = toxicity.Counts(0, np.empty(0, int), np.empty(0, int), np.empty(0))
     assert abs(toxicity.fit_pu(empty, empty, np.empty(0, int), 0.2).score("x", {}) - 0.2) < 1e-9
 
 
