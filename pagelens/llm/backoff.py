@@ -18,9 +18,9 @@ from .storage import written
 BACKOFF = 0.4
 #: Words of a bucket of the count tables, about, and of a batch of documents.
 BUCKET_WORDS = 1_500_000
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 1_000_000
 BATCH_DOCS = 60_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _BITS = 48
 START, END = 1, 2
 _PAIRS, _SUMS, _MISSES, _UNIGRAMS, _DOCS = range(5)
@@ -237,13 +237,17 @@ def _score_misses(buckets: int, total: int):
             words, counts = (np.concatenate(c) for c in zip(*grams, strict=True))
             order = np.argsort(words, kind="stable")
             words, counts = words[order], counts[order]
+            missed = []
             for k, d in zip(kinds, data, strict=True):
                 if k == _MISSES:
                     n = int.from_bytes(d[:8], "little")
-                    batches = _unpack(d[8 : 8 + n], ["<i8"])[0].tolist()
                     h2, slot, times = _unpack(d[8 + n :], ["key", "<u4", "<u4"])
                     value = times * np.log(BACKOFF * counts[np.searchsorted(words, h2)] / total)
-                    found += _sums(slot.astype(np.int64), value, batches, 0)
+                    missed.append((_unpack(d[8 : 8 + n], ["<i8"])[0], slot.astype(np.int64), value))
+            if missed:  # the batches of all of them under one numbering, so that each gives one row
+                batches = np.unique(np.concatenate([names for names, _, _ in missed]))
+                slots = [np.searchsorted(batches, names)[slot >> 16] << 16 | (slot & 0xFFFF) for names, slot, _ in missed]
+                found += _sums(np.concatenate(slots), np.concatenate([v for _, _, v in missed]), batches.tolist(), 0)
         return pa.Table.from_batches([_rows(found)])
 
     return stage
@@ -275,7 +279,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     buckets by their second word; each batch of documents sends every bucket its bigrams with the
     documents they are in, so a bucket counts them and joins the counts back in one place. Words whose
     bigram no other row has go on to the bucket of the word and meet the unigram table. Sums come back
-    by batch. The number of buckets follows the number of words, so that buckets keep their size.
+    by batch. The number of buckets follows the number of words, so that buckets keep their size; rows
+    between stages are at most one for each bucket and batch, and never more than bigrams.
 
     Null and empty texts have 0 words and score 0; repeated rows count as rows of their own (and so know
     each other's bigrams); null ids stay; further columns are left out; an empty table gives no rows.
