@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 
-from .page_parser import parse_page
+from .page_parser import area_text, dom_xml, parse_page
 
 _LINK = "struct<href:string,anchor:string,rel:array<string>,is_internal:boolean,target:string>"
 _IMAGE = (
@@ -206,3 +207,50 @@ def is_page_like(content_type: Column) -> Column:
 def is_html_document(content_type: Column, assume_html: bool = True) -> Column:
     ct = F.lower(X.strip_ws(F.split(F.coalesce(content_type, F.lit("")), ";")[0]))
     return F.when(ct == "", F.lit(assume_html)).otherwise(ct.isin("text/html", "application/xhtml+xml"))
+
+
+def with_content_area(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """pages with the text facts taken from a part of the page, where the selectors find one: main_text and what follows from it."""
+
+    @F.pandas_udf(T.StringType())
+    def area(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: area_text(h or "", list(include), list(exclude)))
+
+    if not include and not exclude:
+        return pages
+    text = F.coalesce("_area", "main_text")
+    return (
+        pages.withColumn("_area", area("html"))
+        .withColumn("main_text", text)
+        .drop("_area")
+        .withColumns({"word_count": X.word_count(F.col("main_text")), "content_hash": F.md5("main_text"), "readability": X.flesch(F.col("main_text"))})
+    )
+
+
+def xpath_extractors(pages: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """(crawl_id, url, name, values) of XPath expressions, by Spark's own xpath over the page as well-formed XML below /dom."""
+
+    @F.pandas_udf(T.StringType())
+    def xml(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: dom_xml(h or ""))
+
+    rows = pages.select(*KEYS, xml("html").alias("_xml"))
+    return rows.select(*KEYS, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.xpath("_xml", F.lit(e)).alias("values")) for n, e in expressions.items()])))
+
+
+def gated(pages: DataFrame, *, content_hash: bool = True, jsonld: bool = True, types: bool = True) -> DataFrame:
+    """pages with what is switched off emptied, as if it hadn't been extracted."""
+    off = {}
+    if not content_hash:
+        off["content_hash"] = F.lit("")
+    if not jsonld:
+        off["jsonld"] = F.slice("jsonld", 1, 0)
+    if not types:
+        off |= {c: F.array().cast("array<string>") for c in ("microdata_types", "rdfa_types")}
+    return pages.withColumns(off) if off else pages
+
+
+def readable_text(html: Column, chars: int = 3500) -> Column:
+    """What a reader sees without navigation and the like, white space collapsed, its first characters."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer|header|aside|form|svg|template)\b.*?</\1\s*>", " ")
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]+>", " "), r"\s+", " ")), 1, chars)

@@ -133,16 +133,77 @@ def _types(block: object) -> list[str]:
     return found
 
 
-def parse_page(url: str, html: str) -> dict:
-    """The nested row of a page; see plans.extract for its schema. Never fails: what can't be read is left out."""
+def _tree(html: str) -> list[_Element]:
     tree = _Tree()
     try:
         tree.feed(html)
         tree.close()
     except (AssertionError, ValueError):
         pass
+    return tree.all
+
+
+def _matches(e: _Element, selector: str) -> bool:
+    """Whether an element fits a simple selector: tag, .class, #id and their combinations."""
+    tag = re.match(r"[A-Za-z][\w-]*", selector)
+    classes = e.attrs.get("class", "").split()
+    return (
+        (not tag or e.tag == tag[0].lower())
+        and all(c in classes for c in re.findall(r"\.([\w-]+)", selector))
+        and all(i == e.attrs.get("id") for i in re.findall(r"#([\w-]+)", selector))
+    )
+
+
+def area_text(html: str, include: list[str], exclude: list[str]) -> str | None:
+    """Text of the elements that fit one of the include selectors (the body without any), without what fits an exclude one; null if nothing fits."""
+    if not include and not exclude:
+        return None
+    out: list[str] = []
+    found = False
+    for root in _tree(html):
+        if root.parent is not None:
+            continue
+        todo: list[tuple[object, bool]] = [(root, not include)]
+        while todo:
+            x, inside = todo.pop()
+            if isinstance(x, str):
+                if inside and x.strip():
+                    out.append(x.strip())
+                continue
+            if x.tag in SILENT or x.tag == "head" or any(_matches(x, s) for s in exclude):
+                continue
+            inside = inside or any(_matches(x, s) for s in include)
+            found = found or inside
+            todo.extend((k, inside) for k in reversed(x.parts))
+    return " ".join(out) if found else None
+
+
+def dom_xml(html: str) -> str:
+    """The element tree as well-formed XML, for XPath: names and attributes that XML doesn't allow are left out."""
+    name = re.compile(r"[A-Za-z_][\w.-]*$")
+    clean = lambda t: re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", t).replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    out = ["<dom>"]
+    todo: list[object] = [e for e in reversed(_tree(html)) if e.parent is None]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, str):
+            out.append(clean(x))
+        elif name.match(x.tag):
+            out.append(f"<{x.tag}" + "".join(f' {k}="{clean(v)}"' for k, v in x.attrs.items() if name.match(k)) + ">")
+            todo.append((f"</{x.tag}>",))
+            todo.extend(reversed(x.parts))
+        else:
+            todo.extend(reversed(x.parts))
+    return "".join(out) + "</dom>"
+
+
+def parse_page(url: str, html: str) -> dict:
+    """The nested row of a page; see plans.extract for its schema. Never fails: what can't be read is left out."""
+    nodes = _tree(html)
     by: dict[str, list[_Element]] = {}
-    for e in tree.all:
+    for e in nodes:
         by.setdefault(e.tag, []).append(e)
     metas, links = by.get("meta", []), by.get("link", [])
     meta = lambda name, key="name": next((m.attrs["content"] for m in metas if m.attrs.get(key, "").lower() == name and m.attrs.get("content")), None)
@@ -165,7 +226,7 @@ def parse_page(url: str, html: str) -> dict:
         return next((_join(url, x.attrs["href"]) for x in links if rel in _rels(x) and x.attrs.get("href") and (not also or also in x.attrs)), None)
 
     resources, seen = [], set()
-    for e in tree.all:
+    for e in nodes:
         kind, ref = None, None
         if e.tag == "link" and "stylesheet" in _rels(e):
             kind, ref = "css", e.attrs.get("href")
@@ -203,10 +264,10 @@ def parse_page(url: str, html: str) -> dict:
             except ValueError as error:
                 jsonld.append({"block": text, "types": [], "error": str(error)[:200]})
     bodies = by.get("body") or by.get("html") or []
-    main = _spaced(bodies[0]) if bodies else " ".join(s for e in tree.all if e.parent is None for s in [_spaced(e)] if s)
-    roots = [e for e in tree.all if e.parent is None]
+    main = _spaced(bodies[0]) if bodies else " ".join(s for e in nodes if e.parent is None for s in [_spaced(e)] if s)
+    roots = [e for e in nodes if e.parent is None]
     full = " ".join(s for e in roots if e.tag not in SILENT and (s := _spaced(e)))
-    parents = {e.node: e for e in tree.all}
+    parents = {e.node: e for e in nodes}
 
     def ancestors(e: _Element) -> list[dict]:
         out, up = [], e.parent
@@ -233,8 +294,8 @@ def parse_page(url: str, html: str) -> dict:
         "resources": resources,
         "images": images,
         "jsonld": jsonld,
-        "microdata_types": list(dict.fromkeys(e.attrs["itemtype"].rstrip("/").split("/")[-1] for e in tree.all if e.attrs.get("itemtype"))),
-        "rdfa_types": list(dict.fromkeys(t for e in tree.all for t in e.attrs.get("typeof", "").split())),
+        "microdata_types": list(dict.fromkeys(e.attrs["itemtype"].rstrip("/").split("/")[-1] for e in nodes if e.attrs.get("itemtype"))),
+        "rdfa_types": list(dict.fromkeys(t for e in nodes for t in e.attrs.get("typeof", "").split())),
         "og": {m.attrs["property"]: m.attrs["content"] for m in metas if m.attrs.get("property", "").startswith("og:") and m.attrs.get("content")},
         "twitter": {m.attrs["name"]: m.attrs["content"] for m in metas if m.attrs.get("name", "").startswith("twitter:") and m.attrs.get("content")},
         "hreflang": [{"lang": x.attrs["hreflang"], "href": x.attrs["href"]} for x in links if "alternate" in _rels(x) and x.attrs.get("hreflang") and x.attrs.get("href")],
@@ -246,7 +307,7 @@ def parse_page(url: str, html: str) -> dict:
         "main_text": main,
         "full_text": full,
         "forms_count": len(by.get("form", [])),
-        "dom_node_count": len(tree.all),
+        "dom_node_count": len(nodes),
         "elements": [
             {
                 "node_id": e.node,

@@ -51,3 +51,18 @@ def test_headers(spark):
     df = spark.createDataFrame([("sid=1; Path=/, lang=de; Secure", "Text/HTML; charset=x"), (None, None)], "c string, t string")
     got = [tuple(r) for r in df.select(E.cookie_names(F.col("c")), E.is_page_like(F.col("t")), E.is_html_document(F.col("t"))).collect()]
     assert got == [(["sid", "lang"], True, True), ([], True, True)]
+
+
+def test_areas_xpath_gates(spark):
+    from pyspark.sql import functions as F
+
+    html = "<html><head><title>t</title></head><body><nav class='n'>menu</nav><div id=main class='a b'>Main <i>text</i><p class=ad>ad</p></div><script>x</script></body></html>"
+    pages = E.extract_pages(spark.createDataFrame([("https://a.example/", html)], "url string, html string")).cache()
+    text = lambda **k: E.with_content_area(pages, **k).select("main_text", "word_count").first()
+    assert tuple(text(include=("div#main.a",), exclude=(".ad",))) == ("Main text", 2)
+    assert text(exclude=("nav",)).main_text == "Main text ad" and text(include=("article",)).main_text == "menu Main text ad" and text().main_text == "menu Main text ad"
+    got = {r.name: r["values"] for r in E.xpath_extractors(pages, {"p": "//div/p/text()", "id": "//div/@id"}).collect()}
+    assert got == {"p": ["ad"], "id": ["main"]}
+    off = E.gated(pages, content_hash=False, jsonld=False, types=False).first()
+    assert off.content_hash == "" and off.jsonld == [] and E.gated(pages).first().content_hash != ""
+    assert pages.select(E.readable_text(F.col("html"))).first()[0] == "t Main text ad"
