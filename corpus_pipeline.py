@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import mixing, near_dedup, packing, quality, toxicity
+from pagelens.llm import mixing, near_copies, packing, quality, toxicity
 from pagelens.llm.storage import written
 
 
@@ -29,8 +29,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
