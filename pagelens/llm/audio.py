@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
@@ -105,22 +105,22 @@ def fingerprints(recordings: DataFrame, rec_id: str = "rec_id", pcm: str = "pcm"
     return map_batches(recordings.select(F.col(rec_id).alias("id"), F.col(pcm).alias("pcm")), stage, "id long, codes array<int>")
 
 
-def align(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: str = "pcm") -> DataFrame:
-    """(id, class_id, n_codes, match_id, offset, overlap, bit_error) per row of recordings.
-
-    Recordings with equal fingerprints form a class, named by its smallest id. Classes with an id that
-    `every` divides are asked for: an equality join on codes gives each other class a histogram of
-    offsets, its fullest offset is checked by bit errors over the whole overlap, and the match with
-    the least bit error (then the smallest id) is given; classes not asked for, and those without a
-    match, have nulls there. Codes are joined by class, so copies don't multiply, and only a class's
-    first position of a code takes part in its histogram, so silence doesn't either. Null ids are left
-    out; null recordings are silence; repeated rows are alike; further columns are left out; an empty
-    table gives no rows.
-    """
+def classes_of(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: str = "pcm") -> tuple[DataFrame, DataFrame]:
+    """(id, print) per recording with an id, and (print, class_id, asked, codes) per class of equal fingerprints."""
     prints = written(fingerprints(recordings, rec_id, pcm).where("id is not null").withColumn("print", F.xxhash64("codes")))
     classes = written(
         prints.groupBy("print").agg(F.min("id").alias("class_id"), F.bool_or(F.col("id") % every == 0).alias("asked"), F.first("codes").alias("codes"))
     )
+    return prints.select("id", "print"), classes
+
+
+def class_matches(classes: DataFrame) -> DataFrame:
+    """(class_id, match_id, offset, overlap, bit_error): every class that aligns with an asked one, by their smallest ids.
+
+    An equality join on codes gives each pair of classes a histogram of offsets; its fullest offset is
+    checked by bit errors over the whole overlap. Only a class's first position of a code takes part,
+    so silence doesn't multiply.
+    """
     at = classes.select("class_id", "asked", F.posexplode("codes").alias("pos", "code")).groupBy("class_id", "asked", "code").agg(F.min("pos").alias("pos"))
     at = written(at)
     left = at.where("asked").select(F.col("class_id").alias("a"), "code", F.col("pos").alias("a_pos"))
@@ -136,16 +136,30 @@ def align(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: s
     n = F.least(F.size(x), F.size(y))
     wrong = F.aggregate(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, e: s + e)
     checked = both.withColumn("overlap", n).where(F.col("overlap") >= LEAST_OVERLAP).withColumn("bit_error", wrong / (F.col("overlap") * 32.0))
-    best = Window.partitionBy("a").orderBy("bit_error", "b")
-    found = (
-        checked.where(F.col("bit_error") <= MAX_BIT_ERROR)
-        .withColumn("place", F.row_number().over(best))
-        .where("place = 1")
-        .select(F.col("a").alias("class_id"), F.col("b").alias("match_id"), "offset", "overlap", "bit_error")
-    )
+    return checked.where(F.col("bit_error") <= MAX_BIT_ERROR).select(F.col("a").alias("class_id"), F.col("b").alias("match_id"), "offset", "overlap", "bit_error")
+
+
+def matches(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: str = "pcm") -> DataFrame:
+    """All matches of every asked class as pairs of classes; align gives the class of each recording."""
+    return class_matches(classes_of(recordings, every, rec_id, pcm)[1])
+
+
+def align(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: str = "pcm") -> DataFrame:
+    """(id, class_id, n_codes, match_id, offset, overlap, bit_error, n_matches) per row of recordings.
+
+    Recordings with equal fingerprints form a class, named by its smallest id. Classes with an id that
+    `every` divides are asked for. Of the class_matches of each the one with the least bit error (then
+    the smallest id) is given, and how many there are; matches() has them all. Classes not asked for,
+    and those without a match, have nulls there and no matches. Codes are joined by class, so copies
+    don't multiply. Null ids are left out; null recordings are silence; repeated rows are alike; further
+    columns are left out; an empty table gives no rows.
+    """
+    prints, classes = classes_of(recordings, every, rec_id, pcm)
+    best = F.min(F.struct("bit_error", "match_id", "offset", "overlap")).alias("best")
+    found = class_matches(classes).groupBy("class_id").agg(best, F.count("*").alias("n_matches"))
     info = classes.select("print", "class_id", F.size("codes").alias("n_codes")).join(found, "class_id", "left")
-    return prints.select("id", "print").join(info, "print").select(
-        F.col("id").alias(rec_id), "class_id", "n_codes", "match_id", "offset", "overlap", "bit_error"
+    return prints.join(info, "print").select(
+        F.col("id").alias(rec_id), "class_id", "n_codes", "best.match_id", "best.offset", "best.overlap", "best.bit_error", F.coalesce("n_matches", F.lit(0)).alias("n_matches")
     )
 
 

@@ -35,6 +35,11 @@ def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align(audio.recordings_of(_table(spark, sf_dir, "embeddings")))
 
 
+def op6_audio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alignments of the classes of every fiftieth recording with other classes."""
+    return audio.matches(audio.recordings_of(_table(spark, sf_dir, "embeddings")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES = {
         op4_token_counts,
         op5_html_text,
         op6_audio_fingerprints,
+        op6_audio_matches,
         op7_mixing,
         op8_neighbours,
         op9_backoff_scores,
