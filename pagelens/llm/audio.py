@@ -117,26 +117,37 @@ def classes_of(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", p
 def class_matches(classes: DataFrame) -> DataFrame:
     """(class_id, match_id, offset, overlap, bit_error): every class that aligns with an asked one, by their smallest ids.
 
-    An equality join on codes gives each pair of classes a histogram of offsets; its fullest offset is
-    checked by bit errors over the whole overlap. Only a class's first position of a code takes part,
-    so silence doesn't multiply.
+    An equality join on codes, at the first position of every run of the same code, names the offsets
+    of a pair of classes; each of them that leaves enough overlap is checked by bit errors over the whole
+    overlap, and the one with the least (then the longer overlap, then the smaller offset) counts. A run
+    is one position, so silence doesn't multiply.
     """
-    at = classes.select("class_id", "asked", F.posexplode("codes").alias("pos", "code")).groupBy("class_id", "asked", "code").agg(F.min("pos").alias("pos"))
+    at = classes.select("class_id", "asked", F.size("codes").alias("n"), "codes", F.posexplode("codes").alias("pos", "code"))
+    at = at.where((F.col("pos") == 0) | (F.get("codes", F.col("pos") - 1) != F.col("code"))).drop("codes")
     at = written(at)
-    left = at.where("asked").select(F.col("class_id").alias("a"), "code", F.col("pos").alias("a_pos"))
-    right = at.select(F.col("class_id").alias("b"), "code", F.col("pos").alias("b_pos"))
-    votes = left.join(right, "code").where("a <> b").groupBy("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    fullest = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.col("offset")).alias("minus"))).alias("top"))
-    pairs = fullest.select("a", "b", (-F.col("top.minus")).cast("int").alias("offset"))
+    left = at.where("asked").select(F.col("class_id").alias("a"), "code", F.col("pos").alias("a_pos"), F.col("n").alias("n_a"))
+    right = at.select(F.col("class_id").alias("b"), "code", F.col("pos").alias("b_pos"), F.col("n").alias("n_b"))
+    offset = (F.col("a_pos") - F.col("b_pos")).alias("offset")
+    overlap = F.least(F.col("n_a") - F.greatest("offset", F.lit(0)), F.col("n_b") - F.greatest(-F.col("offset"), F.lit(0)))
+    voted = left.join(right, "code").where("a <> b").select("a", "b", "n_a", "n_b", offset).where(overlap >= LEAST_OVERLAP)
+    pairs = voted.groupBy("a", "b").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
     both = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("codes").alias("x")), "a").join(
         classes.select(F.col("class_id").alias("b"), F.col("codes").alias("y")), "b"
     )
-    x = F.slice("x", F.greatest(F.col("offset"), F.lit(0)) + 1, F.size("x"))
-    y = F.slice("y", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("y"))
-    n = F.least(F.size(x), F.size(y))
-    wrong = F.aggregate(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, e: s + e)
-    checked = both.withColumn("overlap", n).where(F.col("overlap") >= LEAST_OVERLAP).withColumn("bit_error", wrong / (F.col("overlap") * 32.0))
-    return checked.where(F.col("bit_error") <= MAX_BIT_ERROR).select(F.col("a").alias("class_id"), F.col("b").alias("match_id"), "offset", "overlap", "bit_error")
+
+    def stage(batches):
+        for batch in batches:
+            found = []
+            for a, b, offsets, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "offsets", "x", "y")), strict=True):
+                x, y = np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32)
+                wrong, n, at = min((e, -n, o) for o in offsets for n, e in [bit_error(x, y, o)])
+                if wrong <= MAX_BIT_ERROR:
+                    found.append((a, b, at, -n, wrong))
+            cols = list(zip(*found, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["class_id", "match_id", "offset", "overlap", "bit_error"])
+
+    return map_batches(both.select("a", "b", "offsets", "x", "y"), stage, "class_id long, match_id long, offset int, overlap int, bit_error double")
 
 
 def matches(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: str = "pcm") -> DataFrame:

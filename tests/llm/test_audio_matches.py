@@ -17,3 +17,12 @@ def test_all_versions_are_matches(spark):
     got = {(m.class_id, m.match_id): m.offset for m in audio.matches(df).collect()}
     assert got == {(0, 1): 0, (0, 2): 5, (0, 3): 10}
     assert {m.rec_id: m.n_matches for m in audio.align(df).collect()} == {0: 3, 1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_repeats_keep_their_alignment(spark):
+    r = np.random.default_rng(1)
+    x, y, z = (r.integers(-(2**31), 2**31, n).astype(int).tolist() for n in (60, 40, 40))
+    rows = [(0, True, x + y + x + z), (1, False, x + z), (2, False, r.integers(-(2**31), 2**31, 100).astype(int).tolist())]
+    df = spark.createDataFrame(rows, "class_id long, asked boolean, codes array<int>")
+    got = [tuple(m) for m in audio.class_matches(df).collect()]
+    assert got == [(0, 1, 100, 100, 0.0)]
