@@ -44,29 +44,29 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
     return minima.select("id", F.array(*[f"m{k}" for k in range(permutations)]).alias("signature"))
 
 
-def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, similarity) with a < b: texts whose shingle similarity reaches the threshold, all of them.
 
     Equal texts are tied to the smallest id with similarity 1, so copies cost a pair each. Of distinct
     texts the rarest shingles are the join key: two sets of similarity t share one of the first
     (1 - t) n + 1 elements of each in any common order, and in that of frequency few other texts share
-    them, whatever passages are common. Lengths are compared in the join, shingle sets after it.
+    them, whatever passages are common. With by, only rows equal in these columns are paired. Lengths are compared in the join, shingle sets after it.
     """
-    base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    first = base.groupBy("text").agg(F.min("id").alias("id"))
-    ids = base.select("id", F.md5("text").alias("h"))
-    copies = ids.join(first.select(F.md5("text").alias("h"), F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    hashed = first.select("id", F.explode(F.transform(X.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
+    base = rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    first = base.groupBy(*by, "text").agg(F.min("id").alias("id"))
+    ids = base.select(*by, "id", F.md5("text").alias("h"))
+    copies = ids.join(first.select(*by, F.md5("text").alias("h"), F.col("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    hashed = first.select(*by, "id", F.explode(F.transform(X.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
     hashed = hashed.distinct()
     counts = hashed.groupBy("s").agg(F.count("*").alias("df"))
-    sets = settle(hashed.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")))
+    sets = settle(hashed.join(counts, "s").groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")))
     n = F.size("x")
     rare = F.slice("x", F.lit(1), (F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int"))
-    keys = sets.select("id", n.alias("n"), F.explode(rare).alias("k")).where("k.df > 1").select("id", "n", F.col("k.s").alias("s"))
-    left = keys.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "s")
-    right = keys.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "s")
+    keys = sets.select(*by, "id", n.alias("n"), F.explode(rare).alias("k")).where("k.df > 1").select(*by, "id", "n", F.col("k.s").alias("s"))
+    left = keys.select(*by, F.col("id").alias("a"), F.col("n").alias("n_a"), "s")
+    right = keys.select(*by, F.col("id").alias("b"), F.col("n").alias("n_b"), "s")
     candidates = (
-        left.join(right, "s")
+        left.join(right, [*by, "s"])
         .where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)))
         .select("a", "b")
         .distinct()

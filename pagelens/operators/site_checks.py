@@ -72,7 +72,7 @@ def duplicate_checks(pages: DataFrame, near_threshold: float = 0.9, skip_paginat
     same = both.groupBy("crawl_id").agg(F.bool_and(F.trim("title") == F.trim(F.get("h1", 0))).alias("same")).where("same")
     near = []
     for_near = body.where("main_text <> ''").select("crawl_id", "url", "main_text", F.struct("crawl_id", "url").alias("key"))
-    pairs = D.near_duplicate_pairs(for_near, "key", "main_text", near_threshold).where("a.crawl_id = b.crawl_id")
+    pairs = D.near_duplicate_pairs(for_near, "key", "main_text", near_threshold, by=("crawl_id",))
     near = pairs.select(F.explode(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))).alias("p"))
     near = near.groupBy("p.a").agg(F.count("*").alias("near"), F.max("p.similarity").alias("similarity")).select("a.crawl_id", "a.url", "near", "similarity")
     wp_query = r"(?:^|&)(p|page_id|attachment_id)=\d+"
