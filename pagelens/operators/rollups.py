@@ -62,16 +62,29 @@ def apply_precedence(findings: DataFrame) -> DataFrame:
     return joined.where(~dropped).withColumn("severity", F.when(quiet, "Info").otherwise(F.col("severity"))).select(findings.columns)
 
 
+def issue_counts(findings: DataFrame) -> DataFrame:
+    """issues without the addresses: small rows, however many pages a check fires on."""
+    return _grouped(findings).select(_ISSUE)
+
+
 def issues(findings: DataFrame) -> DataFrame:
-    """One row per crawl and check: pages, worst severity, evidence and tier of the smallest address."""
+    """One row per crawl and check: pages, all addresses in one array, worst severity, evidence and tier of the smallest address."""
+    rows = _grouped(findings, F.array_sort(F.collect_set("url")).alias("urls"))
+    return rows.select("crawl_id", "check_id", "severity", "tier", "n_pages", "urls", "evidence", "category")
+
+
+_ISSUE = ["crawl_id", "check_id", "severity", "tier", "n_pages", "evidence", "category"]
+
+
+def _grouped(findings: DataFrame, *more: Column) -> DataFrame:
     grouped = findings.groupBy("crawl_id", "check_id").agg(
         F.count_distinct("url").alias("n_pages"),
-        F.array_sort(F.collect_set("url")).alias("urls"),
+        *more,
         F.max(severity_rank(F.col("severity"))).alias("rank"),
         F.min_by("tier", "url").alias("tier"),
         F.min_by("evidence", "url").alias("evidence"),
     )
-    return grouped.select("crawl_id", "check_id", severity_name(F.col("rank")).alias("severity"), "tier", "n_pages", "urls", "evidence", category(F.col("check_id")).alias("category"))
+    return grouped.withColumn("severity", severity_name(F.col("rank"))).withColumn("category", category(F.col("check_id")))
 
 
 def with_catalogue(issue_rows: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -180,9 +193,13 @@ def resource_summary(resources: DataFrame) -> DataFrame:
     return rolled.where("crawl_id is not null").fillna("all", ["kind"])
 
 
-def issue_export(issue_rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per issue and page: what the export writes as CSV or JSON."""
-    rows = issue_rows.select("crawl_id", "check_id", "severity", "tier", "category", "evidence", F.explode_outer("urls").alias("url"))
+def issue_export(issue_rows: DataFrame, pages: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """One row per issue and page: what the export writes as CSV or JSON.
+
+    With findings the distinct ones are joined to the issues (issue_counts will do); without, the issues' arrays of addresses are opened.
+    """
+    kept = issue_rows.select("crawl_id", "check_id", "severity", "tier", "category", "evidence", *([F.explode_outer("urls").alias("url")] if findings is None else []))
+    rows = kept if findings is None else findings.select("crawl_id", "check_id", "url").distinct().join(kept, ["crawl_id", "check_id"])
     facts = pages.select("crawl_id", "url", "status", "indexable")
     return rows.join(facts, ["crawl_id", "url"], "left").select("crawl_id", "check_id", "category", "severity", "tier", "url", "status", "indexable", "evidence")
 

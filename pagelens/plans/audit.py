@@ -55,4 +55,4 @@ def run_audit(pages: DataFrame, sites: DataFrame | None = None, near_threshold:
     counted = graph.link_counts(extracted, edges)
     found = settle(all_findings(counted, edges, sites, near_threshold))
     final = rollups.apply_precedence(rollups.rescale(found, counted))
-    return Audit(counted, edges, final, rollups.issues(final), rollups.health(counted, final))
+    return Audit(counted, edges, final, rollups.issue_counts(final), rollups.health(counted, final))
