@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,20 +12,22 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 from .storage import written
 
-#: Vectors that the neighbour graph and the classifier are fitted on at most.
-SAMPLE = 4096
+#: Vectors that the neighbour graph, the classifier and the number of routed parts are fitted on at most.
+SAMPLE = 8192
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 64
 EPOCHS = 40
-#: Vectors per partition aimed at, and the most partitions that the sample supports.
-PART_ROWS = 2000
-MAX_PARTS = 64
-#: Share of partitions that a query is routed to, and the least number of them.
-ROUTED = 0.35
-LEAST_ROUTED = 3
-#: Rows of one block of candidates, and of queries, that a task compares.
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 512
+#: Sample vectors a partition needs at least; with SAMPLE it bounds the number of partitions (256).
+PART_SAMPLE = 32
+#: Every so manieth vector of the sample only measures what share of its neighbours the routing finds.
+MEASURES = 8
+#: Queries are routed to as many partitions as find this share of the measured neighbours.
+RECALL = 0.94
+#: Rows of one block of candidates, and of queries, that a task compares at most, and cells of their product at once.
+BLOCK_ROWS = 1 << 16
+LEAST_BLOCK = 1 << 10
+BLOCK_QUERIES = 1 << 15
+CELLS = 1 << 22
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -36,9 +37,10 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """A column of lists of d numbers as rows."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.empty((0, d))] + [c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) for c in parts])
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_NEIGHBOURS) -> np.ndarray:
@@ -147,23 +149,50 @@ def fit_router(x: np.ndarray, parts: int) -> Router:
     return Router(shift, scale, *w)
 
 
-def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, distance) of each query's k nearest, ties to the smaller id.
+def parts_for(n_rows: int, sample: int) -> int:
+    """Partitions of a table: a power of two near half the root of its rows, as far as the sample supports it."""
+    wanted = max(4.0, np.sqrt(n_rows) / 2)
+    return 1 << int(np.clip(np.round(np.log2(wanted)), 0, np.log2(max(1, sample // PART_SAMPLE))))
+
+
+def routed_parts(router: Router, known: np.ndarray, measured: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """To how many parts queries go: so many that, of the k nearest known vectors of the measured ones, the wanted share lies there."""
+    if router.parts < 2 or not len(measured) or len(known) <= k:
+        return router.parts
+    home = router.scores(known).argmax(1)
+    place = np.argsort(np.argsort(-router.scores(measured), axis=1, kind="stable"), axis=1)
+    needed = []
+    for i in range(0, len(measured), 256):
+        q = measured[i : i + 256]
+        d = (q * q).sum(1)[:, None] + (known * known).sum(1)[None, :] - 2 * q @ known.T
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        needed.append(np.take_along_axis(place[i : i + 256], home[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def nearest_in_block(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate place, distance) of each query's k nearest but its own row, ties to the smaller id.
 
     A matrix product finds those that can be among them, with room for its rounding; their distances
     are then taken from the differences themselves.
     """
+    xx = (x * x).sum(1)
+    step = max(1, CELLS // max(1, len(x)))
+    out = [_nearest(q[i : i + step], q_rows[i : i + step], x, xx, rows, ids, k, i) for i in range(0, len(q), step)]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _nearest(q, q_rows, x, xx, rows, ids, k, start):
     with np.errstate(all="ignore"):
-        qq, xx = (q * q).sum(1), (x * x).sum(1)
+        qq = (q * q).sum(1)
         rough = qq[:, None] + xx[None, :] - 2 * q @ x.T
-    rough[q_ids[:, None] == ids[None, :]] = np.inf
-    if x.shape[0] > k:
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-    else:
-        edge = np.full((len(q), 1), np.inf)
-    slack = 1e-12 * (qq[:, None] + xx.max(initial=0.0)) + 1e-300
-    maybe = ~(rough > edge + slack) & (q_ids[:, None] != ids[None, :])
-    row, col = np.nonzero(maybe)
+    own = q_rows[:, None] == rows[None, :]
+    rough[own] = np.inf
+    edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.full((len(q), 1), np.inf)
+    with np.errstate(all="ignore"):
+        slack = 1e-12 * (qq[:, None] + xx.max(initial=0.0)) + 1e-300
+        row, col = np.nonzero(~(rough > edge + slack) & ~own)
     dist = np.empty(len(row))
     for a in range(0, len(row), 1 << 15):
         diff = q[row[a : a + (1 << 15)]] - x[col[a : a + (1 << 15)]]
@@ -172,76 +201,96 @@ def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.nd
     row, col, dist = row[order], col[order], dist[order]
     first = np.searchsorted(row, np.arange(len(q)))
     keep = np.arange(len(row)) - first[row] < k
-    return row[keep], col[keep], dist[keep]
+    return row[keep] + start, col[keep], dist[keep]
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", routed: float = ROUTED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose id `every` divides, among all other rows.
+@dataclass(frozen=True)
+class Index:
+    """The fitted router and to how many of its parts queries go."""
+
+    router: Router
+    routed: int
+
+
+def fit_index(sample: np.ndarray, n_rows: int, k: int = 10, parts: int | None = None, recall: float = RECALL) -> Index:
+    """From distinct vectors of a sample of a table of n_rows rows; every MEASURES-th of them isn't fitted but measures the routing."""
+    x = np.unique(sample, axis=0)
+    x = x[np.random.default_rng(3).permutation(len(x))]
+    measured = np.arange(len(x)) % MEASURES == 0
+    parts = parts_for(n_rows, len(x)) if parts is None else parts
+    router = fit_router(x[~measured], parts)
+    return Index(router, routed_parts(router, x[~measured], x[measured], k, recall))
 
-    A classifier fitted on at most SAMPLE vectors puts every row into one partition and routes each
-    query to its most probable partitions, `routed` of them all; a query that finds fewer than k there
-    is compared with all. Partitions are cut into blocks of rows, so that a large one, as of copies of
-    one vector, is spread over tasks; each task keeps k per query and block, and a window takes the k
-    best. score is the Euclidean distance in double precision, ties go to the smaller id.
 
-    Null or zero vectors and those with null, NaN or infinite components take no part, nor do null ids;
-    vectors of another length than most of the sample's take no part either. Repeated ids are rows of
-    their own as candidates, and one query with the smallest vector; fewer candidates than k give fewer rows; further columns
-    are left out; an empty table gives no rows.
+def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", parts: int | None = None, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row whose id `every` divides, among all other rows.
+
+    A classifier fitted on at most SAMPLE vectors puts every row into one partition and routes each query
+    to its most probable partitions. Their number grows with the root of the rows (parts_for), and a
+    query goes to as many as find `recall` of the neighbours of vectors that were not fitted: few where the
+    vectors cluster, most where they have no structure. A query that finds fewer than k there is compared
+    with all. A partition's candidates and queries are cut into blocks of bounded size, so that a large
+    one, as of copies of one vector, is spread over tasks; a candidate is sent once for each block of
+    queries of its own partition, and each task keeps k per query.
+
+    score is the Euclidean distance in double precision, ties go to the smaller id. Null or zero vectors
+    and those with null, NaN or infinite components take no part, nor do null ids, nor vectors of another
+    length than most (of equally frequent lengths the smallest counts). Every row is a candidate and every
+    row with such an id a query, so rows of the same id find each other; fewer candidates than k give
+    fewer rows; further columns are left out; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     clean = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     clean = clean.where(F.col("id").isNotNull() & usable("v"))
-    sample = clean.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    lengths = sample["v"].map(len)
-    d = int(lengths.mode().iloc[0]) if len(sample) else 0
-    x = np.array([list(v) for v, n in zip(sample["v"], lengths, strict=True) if n == d], float).reshape(-1, max(d, 1))
+    most = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    d, n_rows = (most["d"], most["n"]) if most else (1, 0)
     clean = clean.where(F.size("v") == d)
-    n_rows = clean.count()
-    parts = 1 << int(np.clip(np.log2(max(1.0, min(n_rows, 8 * len(x)) / PART_ROWS)), 0, np.log2(MAX_PARTS)))
-    router = spark.sparkContext.broadcast(fit_router(x, parts))
-    parts = router.value.parts
-    n_routed = min(parts, max(LEAST_ROUTED, int(np.ceil(routed * parts))))
+    some = clean.select("v") if n_rows <= SAMPLE else clean.select("v").sample(1.1 * SAMPLE / n_rows, 7)
+    index = fit_index(_matrix(some.limit(SAMPLE).toArrow()["v"], d), n_rows, k, parts, recall)
+    parts, routed = index.router.parts, index.routed
+    router = spark.sparkContext.broadcast(index.router)
 
     def route(batches):
         for batch in batches:
-            s = router.value.scores(_matrix(batch.column("v"))) if batch.num_rows else np.zeros((0, parts))
-            ranked = np.argsort(-s, axis=1, kind="stable")[:, :n_routed].astype(np.int32)
-            yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(list(ranked), pa.list_(pa.int32()))], names=["id", "v", "parts"])
-
-    indexed = written(map_batches(clean, route, "id long, v array<double>, parts array<int>"))
-    is_query = F.col("id") % every == 0
-    sizes = indexed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()  # at most MAX_PARTS rows
-    blocks = {r["part"]: -(-r["n"] // BLOCK_ROWS) for r in sizes}
-    n_queries = indexed.where(is_query).count()
-    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    by_part = F.element_at(F.array(*[F.lit(blocks.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
-    candidates = indexed.select("id", "v", F.col("parts")[0].alias("part")).withColumn("block", F.pmod(F.xxhash64("id", "v"), by_part).cast("int"))
-    candidates = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = indexed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "parts")).alias("least")).select("id", "least.v", "least.parts")
+            s = router.value.scores(_matrix(batch.column("v"), d))
+            asks = batch.column("id").to_numpy() % every == 0
+            ranked = np.argsort(-s[asks], axis=1, kind="stable")[:, :routed].astype(np.int32)
+            to = iter(ranked)
+            yield pa.record_batch(
+                [*batch.columns, pa.array(s.argmax(1), pa.int32()), pa.array([next(to) if a else None for a in asks], pa.list_(pa.int32()))],
+                names=["row", "id", "v", "part", "routed"],
+            )
+
+    numbered = clean.select(F.monotonically_increasing_id().alias("row"), "id", "v")
+    indexed = written(map_batches(numbered, route, "row long, id long, v array<double>, part int, routed array<int>"))
+    asked = indexed.where("routed is not null").select("row", "id", "v", "routed")
+    held = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    block = int(np.clip(2 * n_rows // parts, LEAST_BLOCK, BLOCK_ROWS))
+    blocks = F.element_at(F.array(*[F.lit(max(1, -(-held.get(p, 0) // block))) for p in range(parts)]), F.col("part") + 1)
 
     def compare(queries: DataFrame) -> DataFrame:
-        spread = queries.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), by_part - 1))
-        )
-
-        def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-            q_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-            row, col, dist = nearest_in_block(np.stack(left["v"].to_list()), q_ids, np.stack(right["v"].to_list()), ids, k)
-            return pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": dist})
+        """Of queries(row, id, v, part) and the candidates of their parts, block by block."""
+        come = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+        q_blocks = F.element_at(F.array(*[F.lit(-(-come.get(p, 0) // BLOCK_QUERIES)) for p in range(parts)]), F.col("part") + 1)
+        each = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+        spread = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+        left = queries.select("row", "id", "v", "part", spread(q_blocks).alias("q_block"), each(blocks).alias("block"))
+        right = indexed.select("row", "id", "v", "part", spread(blocks).alias("block"), each(q_blocks).alias("q_block"))
+
+        def task(q: pa.Table, x: pa.Table) -> pa.Table:
+            q_rows, q_ids, rows, ids = (t[c].to_numpy() for t in (q, x) for c in ("row", "id"))
+            a, b, dist = nearest_in_block(_matrix(q["v"], d), q_rows, _matrix(x["v"], d), rows, ids, k)
+            return pa.table({"q_row": q_rows[a], "query_id": q_ids[a], "vec_id": ids[b], "score": dist})
 
         keys = ["part", "block", "q_block"]
-        return (
-            spread.select("id", "v", *keys).groupBy(*keys).cogroup(candidates.select("id", "v", *keys).groupBy(*keys)).applyInPandas(task, "query_id long, vec_id long, score double")
-        )
-
-    routed_to = asked.select("id", "v", F.explode("parts").alias("part"))
-    found = written(compare(routed_to))
-    short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k), "id", "left_anti")
-    if n_routed < parts and not short.isEmpty():
-        everywhere = short.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(compare(everywhere))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, "q_row long, query_id long, vec_id long, score double")
+
+    found = written(compare(asked.select("row", "id", "v", F.explode("routed").alias("part"))))
+    if routed < parts:
+        full = found.groupBy(F.col("q_row").alias("row")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        short = asked.join(full, "row", "left_anti").select("row", "id", "v")
+        if not short.isEmpty():
+            everywhere = written(compare(short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))))
+            found = found.join(full.select(F.col("row").alias("q_row")), "q_row", "left_semi").unionByName(everywhere)
+    best = Window.partitionBy("q_row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
