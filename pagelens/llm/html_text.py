@@ -14,21 +14,29 @@ from .arrow import map_batches
 
 #: Elements of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NOT_CONTENT = frozenset("aside button dialog fieldset footer form head input label menu nav select".split())
-SECTION = frozenset("article main section div body td".split())
-#: Words in class, id or role that name parts beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
-    r"header|masthead|topbar|footer|sidebar|side|aside|rail|widget|related|recommend(?:ed|ations?)?|comments?|commentlist|disqus|replies|respond|"
-    r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|login|search|pagination|pager|skip)(?:$|[\s_-])",
-    re.I,
+NOT_CONTENT = frozenset("aside button dialog footer head input menu nav select".split())
+CONTROLS = frozenset("button input select textarea".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+#: Words of class and id names that say what stands beside an article.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements adbox adslot banner sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menubar "
+    "breadcrumb breadcrumbs header masthead topbar footer sidebar side aside rail related recommend recommended recommendation recommendations cookie cookies consent gdpr notice "
+    "notification alert popup modal overlay newsletter subscribe signup share sharing social login search pagination pager skip".split()
 )
-BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form alertdialog".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that say nothing about it, and those that name what a header or a comment belongs to.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons container content group holder inner item items left link links list main module outer panel primary region right row section "
+    "secondary site slot text thread top unit widget wrap wrapper zone".split()
+)
+OF_ARTICLE = frozenset("article articles entry page post posts reader story user".split())
+HEADERS = frozenset("banner header masthead".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar alertdialog".split())
 #: An element with one of these open is closed by the same, or by a block for p.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -36,38 +44,59 @@ CLOSES = {
 _BARRIER = frozenset("ul ol dl table body html article div section td main aside nav form select".split())
 _P_ENDS = BLOCK - frozenset("br head html body option optgroup".split())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_SENTENCE = re.compile(r"\S+\s+\S+\s+\S.*[.!?\u2026\u3002\uff01\uff1f:][\"')\]\u00bb\u201d\u2019]*\Z", re.S)
+_RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)|copyright)", re.I)
+#: What a named element is, going by its names alone.
+HIDDEN, NAMED, OF_COMMENTS, HEADER, FORM, LABEL = "hidden", "named", "comments", "header", "form", "label"
 
 
 class Node:
     """An element: its text in page order as strings and child nodes, and counts for its density."""
 
-    __slots__ = ("beside", "chars", "density", "kids", "link_chars", "link_tags", "tag", "tags", "total")
+    __slots__ = ("beside", "chars", "density", "kids", "kind", "link_chars", "link_tags", "tag", "tags", "total")
 
-    def __init__(self, tag: str, beside: bool) -> None:
-        self.tag, self.beside, self.kids = tag, beside, []
+    def __init__(self, tag: str, kind: str = "") -> None:
+        self.tag, self.kind, self.kids, self.beside = tag, kind, [], False
 
 
-def _is_beside(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NOT_CONTENT or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _NAMES.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and BESIDE.search(value) and not (tag in ("h1", "h2", "h3", "p", "span", "b", "em", "strong", "a") and name == "id"):
-            return True
-        if (name == "role" and value.lower() in BESIDE_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+def named(name: str) -> str:
+    """NAMED or OF_COMMENTS if a class or id name says that its element stands beside an article, else ''.
+
+    All its words must say so or nothing: has-sidebar, comments-open and side-by-side don't count. Of
+    entry-header, which is a part of the article, header doesn't.
+    """
+    words = {w.lower() for w in _PARTS.findall(name)} - PLAIN
+    left = words - OF_ARTICLE
+    if not left or not left <= BESIDE | COMMENTS or (left <= HEADERS and left != words):
+        return ""
+    return OF_COMMENTS if left & COMMENTS else NAMED
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> str:
+    if tag in NOT_CONTENT:
+        return HIDDEN
+    kind = HEADER if tag == "header" and not in_article else FORM if tag in ("form", "fieldset") else LABEL if tag == "label" else ""
+    if not attrs or tag in ("html", "body"):
+        return kind
+    for name, value in _ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return HIDDEN
+        if name in ("class", "id") and not (name == "id" and tag not in BLOCK):
+            for x in map(named, value.split()):
+                if x == OF_COMMENTS or (x and tag not in ("article", "main")):
+                    kind = x if kind != OF_COMMENTS else kind
+        elif name == "role" and value.lower() in BESIDE_ROLES and tag not in ("article", "main"):
+            kind = kind or NAMED
+    return kind
 
 
 def parse(html: str) -> Node:
     """The element tree. Unclosed elements end as HTML lets them; stray end tags are ignored; never fails."""
-    root = Node("#root", False)
+    root = Node("#root")
     stack = [root]
     names = ["#root"]
     at, end = 0, len(html)
@@ -95,7 +124,7 @@ def parse(html: str) -> Node:
                 if tag in BLOCK or not any(n in _BARRIER for n in names[k + 1 :]):
                     pop_to(k)
             elif tag == "p":
-                stack[-1].kids.append(Node("p", False))
+                stack[-1].kids.append(Node("p"))
             continue
         if tag in _P_ENDS and "p" in names:
             k = len(names) - 1 - names[::-1].index("p")
@@ -108,11 +137,11 @@ def parse(html: str) -> Node:
                     break
                 if names[k] in _BARRIER:
                     break
-        if tag in RAW:
+        if tag in RAW and not (tag == "svg" and m[3].rstrip().endswith("/")):
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else end
             continue
-        node = Node(tag, _is_beside(tag, m[3], articles > 0))
+        node = Node(tag, _kind(tag, m[3], articles > 0))
         stack[-1].kids.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -132,6 +161,34 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _decide(root: Node) -> None:
+    """Sets beside. Names only propose: what holds the article element stays, and on a page without one what holds paragraphs with half of the text outside links; comments never."""
+    order, todo, parent = [], [root], {}
+    while todo:
+        n = todo.pop()
+        n.beside = n.kind in (HIDDEN, OF_COMMENTS)
+        if not n.beside:
+            order.append(n)
+            kids = [k for k in n.kids if type(k) is Node]
+            parent.update((id(k), n) for k in kids)
+            todo.extend(kids)
+    plain, holds, text = {}, {}, {}
+    for n in reversed(order):
+        kids = [k for k in n.kids if type(k) is Node and not k.beside]
+        plain[id(n)] = 0 if n.tag == "a" else sum(len(k.strip()) for k in n.kids if type(k) is str) + sum(plain[id(k)] for k in kids)
+        holds[id(n)] = n.tag in ("article", "main") or any(holds[id(k)] for k in kids)
+        text[id(n)] = n.tag == "p" or n.tag in HEADINGS or any(text[id(k)] for k in kids)
+    for n in order:
+        if n.kind in (NAMED, HEADER, FORM):
+            n.beside = not holds[id(n)] and (holds[id(root)] or not text[id(n)] or plain[id(n)] * 2 <= plain[id(root)])
+            if n.kind == HEADER and n.beside:  # not a site's header but an article's, between paragraphs
+                beside_p = any(k.tag == "p" if type(k) is Node else not k.isspace() for k in parent[id(n)].kids)
+                n.beside = not (beside_p and any(type(k) is Node and k.tag in HEADINGS for k in n.kids))
+        elif n.kind == LABEL:
+            up = parent[id(n)]
+            n.beside = any(type(k) is Node and k.tag in CONTROLS for x in (n, up) for k in x.kids)
+
+
 def measure(root: Node) -> list[Node]:
     """Sets every node's counts, its composite text density and total, the sum of its children's densities.
 
@@ -161,38 +218,60 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _belongs(k: Node | str, threshold: float) -> bool:
+    """Whether what stands next to the chosen subtree is text of the article too: as dense as the path to the body, a heading or a sentence, and mostly outside links."""
+    if type(k) is str:
+        return bool(_SENTENCE.match(k.strip())) and not _RIGHTS.match(k)
+    if not k.chars or k.link_chars * 2 > k.chars:
+        return False
+    text = text_of(k)
+    return (k.tag in HEADINGS or k.density >= threshold or bool(_SENTENCE.match(text))) and not _RIGHTS.match(text)
+
+
 def main_node(root: Node) -> Node | None:
-    """The subtree with the largest sum of its children's densities.
+    """The subtree with the largest sum of its children's densities, with what belongs to it.
 
-    The threshold is the least density on the path from that subtree up to the body; from there the
-    subtree is widened to its parent while that adds text no sparser than the threshold and mostly
-    outside links. A single article (or main) element holding it is taken whole.
+    The threshold is the least density on the path from that subtree up to the body. On the way up,
+    what stands beside the path and belongs to the article is kept and the rest is dropped. Inside an
+    article element nothing is dropped, inside main only what is mostly links; above an article element
+    only further article elements as dense as the threshold and headings are kept. Elsewhere menus (three
+    links or more, and mostly links) are dropped from the subtree itself.
     """
+    _decide(root)
     nodes = measure(root)
     parent = {id(k): n for n in nodes for k in n.kids if type(k) is Node}
     holders = [n for n in nodes if n.chars]
     if not holders:
         return None
-    best = max((n for n in holders if n.tag in SECTION or n is root or n.total), key=lambda n: (n.total + (n.density if not n.total else 0.0), n.chars), default=None)
-    if best is None:
-        return None
+    best = max(holders, key=lambda n: (n.total or n.density, n.chars))
     path = [best]
     while id(path[-1]) in parent:
         path.append(parent[id(path[-1])])
-    articles = [n for n in path if n.tag in ("article", "main")]
-    if articles:
-        return articles[-1]
     threshold = min(n.density for n in path)
-    while id(best) in parent:
-        up = parent[id(best)]
-        others = [k for k in up.kids if type(k) is Node and not k.beside and k is not best and k.chars]
-        if any(k.density >= threshold and k.link_chars * 2 <= k.chars and k.density > 0 for k in others) or any(type(k) is str and not k.isspace() for k in up.kids):
-            best = up
-        elif not others and up is not root:
-            best = up
-        else:
-            break
-    return best
+    tags = [n.tag for n in path]
+    article = len(path) - 1 - tags[::-1].index("article") if "article" in tags else 0
+    main = tags.index("main") if "main" in tags else 0
+    top = path[article]
+    if not article and best.tag != "article":  # menus without a name
+        best.kids = [k for k in best.kids if type(k) is str or k.beside or k.tag == "p" or k.link_tags < 3 or k.link_chars * 2 <= k.chars]
+    for i in range(article + 1, len(path)):
+        up = path[i]
+        kept = []
+        for k in up.kids:
+            if k is path[i - 1] or type(k) is Node and k.beside or type(k) is str and k.isspace():
+                kept.append(k)
+                continue
+            if article:
+                good = type(k) is Node and k.link_chars * 2 <= k.chars and (k.tag in HEADINGS or (k.tag == "article" and k.density >= threshold))
+            elif i <= main:
+                good = type(k) is str or k.link_chars * 2 <= k.chars
+            else:
+                good = not main and _belongs(k, threshold)
+            if good:
+                kept.append(k)
+                top = up
+        up.kids = kept
+    return top
 
 
 def text_of(node: Node) -> str:

@@ -23,6 +23,41 @@ def test_malformed_and_empty():
     assert H.extract(deep) == "x"
 
 
+TEXT = "This is the first sentence of the article. It goes on for a while, so that it has weight."
+
+
+def test_names_that_only_sound_like_something_beside_the_article():
+    wrapped = f'<body><nav><a href=/>Home</a></nav><div class="content has-sidebar side-by-side comments-open"><article><h1>Head</h1><p>{TEXT}</p></article></div></body>'
+    assert H.extract(wrapped) == f"Head {TEXT}"
+    assert H.extract(f'<body><article><div class="entry-header"><h1>Head</h1></div><p>{TEXT}</p></article></body>') == f"Head {TEXT}"
+    in_values = f'<body><article><p title="the hidden truth">{TEXT}</p><p>See <a href="/guide/hidden-costs" data-role="search nav">hidden costs</a> too.</p></article></body>'
+    assert H.extract(in_values) == f"{TEXT} See hidden costs too."
+
+
+def test_forms_labels_and_formulas():
+    form = f'<body><form id="aspnetForm"><div class="search"><input><label>Find</label></div><label>Name <input></label><div><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div></form></body>'
+    assert H.extract(form) == f"Head {TEXT} {TEXT}"
+    inside = f"<body><article><p>{TEXT}</p><p><label>Figure 1</label> <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><form><p>Send us a word.</p><input><label>Mail</label></form></article></body>"
+    assert H.extract(inside) == f"{TEXT} Figure 1 x=2"
+    assert H.extract(f"<body><svg/><p>{TEXT}</p><svg><text>drawn</text></svg><p>{TEXT}</p></body>") == f"{TEXT} {TEXT}"
+
+
+def test_density_decides_without_and_with_article_elements():
+    rights = "<div>&copy; 2020 Someone. All rights reserved.</div>"
+    assert H.extract(f"<body><div id=a>A short introduction.</div><div id=b><p>{TEXT}</p><p>{TEXT}</p></div>{rights}</body>") == f"A short introduction. {TEXT} {TEXT}"
+    links = "".join(f'<li><a href="/{i}">Another story number {i}</a></li>' for i in range(9))
+    assert H.extract(f"<body><div><ul>{links}</ul></div><div><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div></body>") == f"Head {TEXT} {TEXT}"
+    assert H.extract(f"<body><h1>Head</h1><article><p>Teaser.</p></article><div><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div></body>") == f"Head {TEXT} {TEXT} {TEXT}"
+    assert H.extract(f"<body><div class=ad>{TEXT} {TEXT}</div><article><h1>Short.</h1><p>So short.</article></body>") == "Short. So short."
+    two = f"<body><main><h1>Head</h1><article><p>{TEXT}</p></article><article><p>{TEXT} Twice.</p></article><div><ul>{links}</ul></div></main></body>"
+    assert H.extract(two) == f"Head {TEXT} {TEXT} Twice."
+
+
+def test_headers_and_comments():
+    site = f"<body><div id=page><header><h1>Site</h1></header><div class=post><header><h1>Head</h1></header><p>{TEXT}</p><p>{TEXT}</p><div class='post-comments'><article class=comment><p>{TEXT * 5}</p></article></div></div></div></body>"
+    assert H.extract(site) == f"Head {TEXT} {TEXT}"
+
+
 def test_query_against_the_article_element(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = QUERIES["op5_html_text"](spark, SF).collect()
