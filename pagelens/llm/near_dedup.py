@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, utf8
@@ -12,7 +12,7 @@ from .simhash_kernel import SHINGLE_WORDS, fingerprint
 from .storage import written
 
 MAX_DISTANCE = 3
-#: Signature buckets with more fingerprints than this are refined instead of compared pair by pair.
+#: Signature buckets with more fingerprints than this are split by pieces of the other half instead of compared pair by pair.
 HOT_BUCKET = 512
 _HALF = 32
 
@@ -51,36 +51,74 @@ def _signatures(fps: DataFrame) -> DataFrame:
     )
 
 
-def _stars(hot: DataFrame, max_distance: int) -> DataFrame:
-    """Links inside large buckets, as many as there are members: with a total of three bits wild, all under one key are linked, so each is tied to the smallest."""
-    masks2 = [(1 << i) | (1 << j) for i in range(_HALF) for j in range(i)]
-    masks3 = [m | (1 << k) for i in range(_HALF) for j in range(i) for m in [(1 << i) | (1 << j)] for k in range(j)]
-    spark = hot.sparkSession
-    masks = spark.createDataFrame([(False, m) for m in masks2] + [(True, m) for m in masks3], "equal boolean, mask long")
+#: What is equal in the other half: of four pieces one if three bits differ there, of three pieces one if two do.
+_PIECES = {True: (0, 8, 16, 24, 32), False: (0, 11, 22, 32)}
+
+
+def _pieces(hot: DataFrame) -> DataFrame:
+    """The members of large buckets under (key, piece), by the pieces of their other half of which one must be equal; rest is what the piece leaves of it."""
+
+    def of(equal: bool) -> Column:
+        cuts = list(zip(_PIECES[equal], _PIECES[equal][1:], strict=False))
+        masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in cuts]
+        return F.array(*[F.struct(F.lit(k).alias("at"), F.col("other").bitwiseAND(F.lit(m)).alias("value"), F.col("other").bitwiseAND(F.lit(0xFFFFFFFF ^ m)).alias("rest")) for k, m in enumerate(masks)])
+
     other = F.when(F.expr("shiftrightunsigned(key, 38) = 1"), _half(F.col("fp"), 0)).otherwise(_half(F.col("fp"), 1))
-    rows = hot.withColumn("equal", F.expr("shiftrightunsigned(key, 32) & 63 = 32")).withColumn("other", other)
-    keyed = rows.join(F.broadcast(masks), "equal").select("key", "fp", "mask", F.col("other").bitwiseAND(F.bitwise_not(F.col("mask"))).alias("rest"))
-    least = keyed.groupBy("key", "mask", "rest").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(least, ["key", "mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+    rows = hot.withColumn("other", other).select("key", "fp", "side", "equal", F.inline(F.when(F.col("equal"), of(True)).otherwise(of(False))))
+    return rows.withColumn("piece", F.col("at") * F.lit(1 << 32) + F.col("value"))
+
+
+def _sized(rows: DataFrame, *by: str) -> DataFrame:
+    """rows under keys that others have too, with the number of members; counted before the shuffle, and a hot key's rows can be split by the join."""
+    return written(rows.join(rows.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1"), [*by]))
+
+
+def _compared(rows: DataFrame, *by: str) -> DataFrame:
+    """Pairs under one key whose fingerprints are near; of a key with a wild bit only those that differ in it, as the others share the key of the equal half."""
+    left = rows.select(*by, F.col("fp").alias("a"), F.col("side").alias("a_side"), "equal")
+    right = rows.select(*by, F.col("fp").alias("b"), F.col("side").alias("b_side"))
+    once = (F.col("equal") & (F.col("a") < F.col("b"))) | (~F.col("equal") & (F.col("a_side") < F.col("b_side")))
+    return left.join(right, [*by]).where(once & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)).select("a", "b")
+
+
+def _stars(hot: DataFrame) -> DataFrame:
+    """Links under large (key, piece), as many as there are members: with three bits wild in all, those under one key are linked, so each is tied to the smallest."""
+    bits = lambda equal, k: [x for x in range(32) if not _PIECES[equal][k] <= x < _PIECES[equal][k + 1]]
+    threes = [(True, k, 1 << x | 1 << y | 1 << z) for k in range(4) for x in bits(True, k) for y in bits(True, k) if y < x for z in bits(True, k) if z < y]
+    twos = [(False, k, 1 << x | 1 << y) for k in range(3) for x in bits(False, k) for y in bits(False, k) if y < x]
+    masks = hot.sparkSession.createDataFrame(threes + twos, "equal boolean, at int, mask long")
+    keyed = hot.join(F.broadcast(masks), ["equal", "at"]).select("key", "piece", "fp", "mask", F.col("rest").bitwiseAND(F.bitwise_not(F.col("mask"))).alias("left"))
+    by = ["key", "piece", "mask", "left"]
+    least = keyed.groupBy(*by).agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(least, by).where("fp <> a").select("a", F.col("fp").alias("b"))
+
+
+def _bucket_links(rows: DataFrame, hot_bucket: int) -> DataFrame:
+    """Links under each key of rows(key, fp, side, equal): small buckets pair by pair, large ones by pieces, and what is large even then by stars."""
+    sized = _sized(rows, "key")
+    large = sized.where(F.col("members") > hot_bucket).drop("members")
+    pieces = _sized(_pieces(large), "key", "piece")
+    return (
+        _compared(sized.where(F.col("members") <= hot_bucket), "key")
+        .unionByName(_compared(pieces.where(F.col("members") <= hot_bucket), "key", "piece"))
+        .unionByName(_stars(pieces.where(F.col("members") > hot_bucket)))
+        .distinct()
+    )
 
 
 def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b) pairs of distinct fingerprints of fps(fp) at three or fewer differing bits.
 
-    Every pair outside large buckets is returned; of those inside, enough that connected
-    fingerprints stay connected. Equality joins on signatures, then a check of all 64 bits.
+    Equality joins on signatures, then a check of all 64 bits. First the pairs with an equal half; then,
+    with one bit of a half wild, the rest, where buckets whose members those have already connected are
+    left out. So not every pair comes back, but enough that connected fingerprints stay connected.
     """
-    members = F.count("*").over(Window.partitionBy("key")).alias("members")
-    rows = written(_signatures(fps).select("*", members).where("members > 1"))
-    cool = rows.where(F.col("members") <= hot_bucket)
-    left = cool.select("key", F.col("fp").alias("a"), F.col("side").alias("a_side"))
-    right = cool.select("key", F.col("fp").alias("b"), F.col("side").alias("b_side"))
-    equal = F.expr("shiftrightunsigned(key, 32) & 63 = 32")
-    pairs = left.join(right, "key").where(
-        ((equal & (F.col("a") < F.col("b"))) | (~equal & (F.col("a_side") < F.col("b_side"))))
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-    )
-    return pairs.select("a", "b").unionByName(_stars(rows.where(F.col("members") > hot_bucket), MAX_DISTANCE)).distinct()
+    rows = _signatures(fps).withColumn("equal", F.expr("shiftrightunsigned(key, 32) & 63 = 32"))
+    first = written(_bucket_links(rows.where("equal"), hot_bucket))
+    parts = written(connected_components(first).select(F.col("node").alias("fp"), "component"))
+    wild = rows.where("not equal").join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    open_keys = wild.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return first.unionByName(_bucket_links(wild.join(open_keys, "key", "left_semi").drop("component"), hot_bucket))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE_WORDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -98,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     least = members.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     moved = members.join(least, "root").select("fp", "least")
-    labelled = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    labelled = written(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(labelled, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

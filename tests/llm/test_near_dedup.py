@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from pagelens.llm import near_dedup as N
 from pagelens.llm.components import connected_components
+from pagelens.llm.queries import QUERIES
 from pagelens.llm.simhash_kernel import fingerprint, shingle_hashes
 
 SCHEMA = "doc_id long, text string, source string, fp long"
@@ -55,12 +58,32 @@ def test_links_against_all_pairs(spark):
         fps.add(centre ^ (1 << i) ^ (1 << (i * 7 + 3) % 64))
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    near = {tuple(sorted(p)) for p in near}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for hot_bucket in (512, 24, 6):
+        got = {tuple(sorted(r)) for r in N.links(df, hot_bucket).collect()}
+        assert got <= near
+        assert _components(fps, got) == _components(fps, near)
+    assert {p for p in near if (p[0] ^ p[1]) & 0xFFFFFFFF == 0 or (p[0] ^ p[1]) >> 32 == 0} <= {tuple(sorted(r)) for r in N.links(df).collect()}
+
+
+def test_a_half_that_thousands_share_costs_few_rows(spark):
+    rng = random.Random(9)
+    fps = sorted({0x1234567800000000 | rng.getrandbits(32) for _ in range(3000)})
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = {tuple(sorted(r)) for r in N.links(df).collect()}
-    assert got == {tuple(sorted(p)) for p in near}
-    hot = [tuple(r) for r in N.links(df, hot_bucket=6).collect()]
-    assert {tuple(sorted(p)) for p in hot} <= got
-    assert _components(fps, hot) == _components(fps, near)
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3]
+    assert _components(fps, [tuple(r) for r in N.links(df).collect()]) == _components(fps, near)
+    rows = N._signatures(df).where("shiftrightunsigned(key, 32) & 63 = 32").withColumn("equal", F.lit(True))
+    assert N._sized(N._pieces(rows), "key", "piece").agg(F.max("members")).first()[0] < 100
+
+
+def test_the_query_against_all_pairs(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    fps = {i: fingerprint((t or "").encode()) for i, t in docs}
+    ids = sorted(fps)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3]
+    want = {i: (f"{fps[i] & (2**64 - 1):016x}", c) for i, c in _components(ids, near).items()}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash_near_dedup"](spark, "/root/testdata/sf0.01").collect()} == want
 
 
 def test_documents_with_every_odd_case(spark):
