@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles, joined on each text's rarest shingles."""
+"""Near copies by the exact Jaccard similarity of word shingles; candidates from SimHash fingerprints and min-hash bands."""
 
 from __future__ import annotations
 
@@ -7,25 +7,44 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, utf8
 from .components import connected_components
-from .simhash_kernel import shingle_hashes
+from .near_dedup import links
+from .simhash_kernel import fingerprint_of, shingle_hashes
 from .storage import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Texts from which the order of shingles is learnt, and how many frequent ones it holds. Any order finds all links; a good one compares fewer texts.
-ORDER_ROWS, ORDER_SHINGLES, ORDER_LEAST = 16_000, 100_000, 4
+#: Two sets of similarity s agree in one of the bands with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.9993 at 0.8.
+BANDS, BAND_ROWS = 24, 6
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 2048
 _WORDS = 8
 _BITS = [f"b{k}" for k in range(_WORDS)]
 
 
+def lowered(text: bytes) -> bytes:
+    return text.decode(errors="replace").lower().encode()
+
+
 def shingle_set(text: bytes, n_words: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text in lower case; none for a blank one."""
-    return np.unique(shingle_hashes(text.decode(errors="replace").lower().encode(), n_words))
+    return np.unique(shingle_hashes(lowered(text), n_words))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys, each of BAND_ROWS minima over the set; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), _CHUNK):
+        least = np.minimum(least, (hashes[i : i + _CHUNK, None] * _FACTORS).min(axis=0))
+    bands = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -38,75 +57,52 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _frequent(rows: DataFrame, n_words: int) -> dict[int, int]:
-    """Shingles of several texts in a bounded sample, and of how many."""
-    total = rows.count()
-    if not total:
-        return {}
-
-    def stage(batches):
-        for batch in batches:
-            found = [shingle_set(t, n_words) for t in utf8(batch)]
-            s, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
-
-    some = rows.select("text") if total <= ORDER_ROWS else rows.select("text").sample(ORDER_ROWS / total, 0)
-    counts = map_batches(some, stage, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST)
-    return {r.s: r.n for r in counts.orderBy(F.col("n").desc(), "s").limit(ORDER_SHINGLES).collect()}
-
-
-def _rows(rows: DataFrame, frequent: dict[int, int], similarity: float, n_words: int) -> DataFrame:
-    """(id, cls, n, rare, b0..b7): the class of equal shingle sets, its size, its rarest shingles and parities."""
-    known = np.array(sorted(frequent), np.int64)
-    counts = np.array([frequent[s] for s in known.tolist()], np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((known, counts))
+def _rows(rows: DataFrame, n_words: int) -> DataFrame:
+    """(id, cls, n, fp, keys, b0..b7): the class of equal shingle sets, its size, SimHash, band keys and parities."""
 
     def stage(batches):
-        known, counts = shared.value
         for batch in batches:
-            sets = [shingle_set(t, n_words) for t in utf8(batch)]
-            rare = []
-            for h in sets:
-                s = h.view(np.int64)
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                often = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                first = int(np.floor((1 - similarity) * len(s) + 1e-9)) + 1
-                rare.append(s[np.lexsort((s, often))[:first]])
+            all_hashes = [shingle_hashes(lowered(t), n_words) for t in utf8(batch)]
+            sets = [np.unique(h) for h in all_hashes]
             bits = np.array([_parity(h) for h in sets]).reshape(-1, _WORDS)
-            yield pa.record_batch(
-                [batch.column("id"), pa.array(map(_class_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
-                + [pa.array(bits[:, k], pa.int64()) for k in range(_WORDS)],
-                names=["id", "cls", "n", "rare", *_BITS],
-            )
+            columns = [
+                batch.column("id"), pa.array(map(_class_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()),
+                pa.array(map(fingerprint_of, all_hashes), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(columns + [pa.array(bits[:, k], pa.int64()) for k in range(_WORDS)], names=["id", "cls", "n", "fp", "keys", *_BITS])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows, stage, f"id {kind}, cls long, n int, rare array<long>, " + ", ".join(f"{b} long" for b in _BITS))
+    return map_batches(rows, stage, f"id {kind}, cls long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _near(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, n_words: int) -> DataFrame:
-    """The pairs(a, b) that reach the similarity: those whose parities allow it are compared shingle by shingle."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), "rep", *[F.col(b).alias(f"{x}_{b}") for b in _BITS]).withColumnRenamed("rep", f"rep_{x}")
+    """The pairs(a, b) that reach the similarity: those whose sizes and parities allow it are compared shingle by shingle."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), *[F.col(b).alias(f"{x}_{b}") for b in _BITS])
     differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in _BITS), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
-    left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b", "rep_a", "rep_b"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((differ <= most) & _near(F.col("n_a"), F.col("n_b"), similarity))
+    left = written(likely.select("a", "b", "rep_a", "rep_b"))
     wanted = left.select(F.col("rep_a").alias("id"), F.col("a").alias("cls")).unionByName(left.select(F.col("rep_b").alias("id"), F.col("b").alias("cls"))).distinct()
-    ids = wanted.select("id").distinct()
 
     def named(batches):
         for batch in batches:
             found = [_class_id(shingle_set(t, n_words)) for t in utf8(batch)]
             yield pa.record_batch([pa.array(found, pa.int64()), batch.column("text")], names=["cls", "text"])
 
-    known = map_batches(texts.join(ids, "id", "left_semi").select("text"), named, "cls long, text string")
+    known = map_batches(texts.join(wanted.select("id").distinct(), "id", "left_semi").select("text"), named, "cls long, text string")
     known = written(known.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
     both = left.join(known.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
 
     def compared(batches):
-        sets = lru_cache(256)(lambda t: shingle_set(t, n_words))
+        sets = lru_cache(64)(lambda t: shingle_set(t, n_words))
         for batch in batches:
             good = []
             for x, y in zip(utf8(batch, "x"), utf8(batch, "y"), strict=True):
@@ -122,35 +118,43 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, component_id) per row of docs with an id: component_id is the smallest id that links reach.
 
     Texts are linked if the Jaccard similarity of their sets of n_words-word shingles reaches the
-    threshold; all such links count. Equal sets form a class (blank texts one of their own). Two sets of
-    similarity t share one of the first (1 - t) n + 1 elements of each in any common order; in that of
-    frequency few other texts share these. Each such shingle ties its classes to the smallest one; then
-    those of its classes that are not yet connected are compared with each other, so a large group of
-    near copies costs a comparison for each member, not for each pair.
+    threshold. Equal sets form a class (null and blank texts one of their own), so copies aren't paired.
+    Classes are compared if their SimHash fingerprints differ in three bits or fewer (near_dedup.links), or
+    if a min-hash band key is the same. Of the classes under one key the one that shares most keys with
+    others is the centre, and each is compared with it; then those that are not yet connected are compared
+    with the others under the key, so a large group of near copies costs a comparison for each member.
+    Every compared pair is decided by the sets themselves; a pair of similarity 0.8 is compared with
+    probability 0.9993 (BANDS), one of 0.85 with 0.99999. Rows with a null id are left out; repeated rows
+    and ties fall into one class; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = written(_rows(base, _frequent(base, n_words), similarity, n_words))
-    classes = written(rows.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS]))
-    reps = rows.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").dropDuplicates(["cls"])
-    keyed = reps.select("cls", "n", F.explode("rare").alias("k"))
-    least = keyed.groupBy("k").agg(F.min(F.struct("cls", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    keys = written(keyed.join(least, "k").select("k", "cls", "n", F.col("first.cls").alias("a"), F.col("first.n").alias("n_a")))
-    stars = keys.where((F.col("a") != F.col("cls")) & _near(F.col("n_a"), F.col("n"), similarity)).select("a", F.col("cls").alias("b")).distinct()
-    found = _checked(written(stars), classes, base, similarity, n_words)
+    rows = written(_rows(base, n_words))
+    first = [F.first(c).alias(c) for c in ("n", "fp", "keys", *_BITS)]
+    classes = written(rows.groupBy("cls").agg(F.min("id").alias("rep"), *first))
+    keyed = classes.select("cls", "n", F.explode("keys").alias("k"))
+    shared = written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "k"))
+    weights = shared.groupBy("cls").agg(F.sum("m").alias("w"))
+    centre = shared.join(weights, "cls").groupBy("k").agg(F.max(F.struct("w", F.col("cls").alias("a"), F.col("n").alias("n_a"))).alias("c")).select("k", "c.a", "c.n_a")
+    stars = shared.join(centre, "k").where((F.col("a") != F.col("cls")) & _near(F.col("n_a"), F.col("n"), similarity)).select("a", F.col("cls").alias("b"))
+    of_fp = classes.groupBy("fp").agg(F.min("cls").alias("c"))
+    same_fp = classes.join(of_fp, "fp").select(F.col("c").alias("a"), F.col("cls").alias("b"))
+    close = links(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("c").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("c").alias("y")), "b")
+    tried = written(_pairs(stars.unionByName(same_fp).unionByName(close.select(F.col("x").alias("a"), F.col("y").alias("b")))))
+    found = _checked(tried, classes, base, similarity, n_words)
     parts = written(connected_components(found))
-    labelled = written(keys.select("k", "cls", "n").join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).select("k", "cls", "n", "part"))
+    labelled = written(shared.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").select("k", "cls", "n", F.coalesce("component", "cls").alias("part")))
     sizes = labelled.groupBy("k", "part").agg(F.count("*").alias("m"))
     main = sizes.groupBy("k").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("k", F.col("top.part").alias("main"))
     open_keys = written(labelled.join(main, "k"))
     rest = open_keys.where("part <> main").select("k", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("p_x"))
     other = open_keys.select("k", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("part").alias("p_y"), (F.col("part") == F.col("main")).alias("in_main"))
     met = rest.join(other, "k").where((F.col("p_x") != F.col("p_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _near(F.col("n_x"), F.col("n_y"), similarity))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = found.unionByName(_checked(written(pairs), classes, base, similarity, n_words))
-    members = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    roots = members.join(classes, "cls").groupBy("root").agg(F.min("rep").alias("least"))
+    more = _pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    all_links = found.unionByName(_checked(written(more), classes, base, similarity, n_words))
+    members = connected_components(all_links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    roots = members.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("least"))
     moved = members.join(roots, "root").select("cls", "least")
-    labels = classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
+    labels = written(classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id")))
     return rows.select("id", "cls").join(labels, "cls").select(F.col("id").alias(id_col), "component_id")
 
 

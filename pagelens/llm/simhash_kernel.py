@@ -27,8 +27,12 @@ def shingle_hashes(text: bytes, n_words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def fingerprint(text: bytes, n_words: int = SHINGLE_WORDS) -> int:
+    """Of the shingles of one text."""
+    return fingerprint_of(shingle_hashes(text, n_words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     """A bit is set if more than half of the hashes have it; signed, as Spark keeps a long."""
-    hashes = shingle_hashes(text, n_words)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
