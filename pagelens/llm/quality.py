@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches, utf8
+from .arrow import bounded_batches, map_batches, utf8
 from .samples import MAX_ROWS, held_out, labelled
 
 #: Pairs of a good and a poor document that the model is fitted on at most.
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             found = [features(t) for t in utf8(batch)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    sample = labelled(docs, labels, label, max_rows).select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    sample = labelled(docs, labels, label, max_rows)
     rows = map_batches(sample, stage, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     y = np.array(rows["y"].to_pylist(), int)
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, N_FEATURES)
@@ -136,13 +137,17 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = CUT, text: str = "text") -> DataFrame:
-    """docs with at least the threshold as score; all their columns, rows as they are."""
+    """docs with at least the threshold as score; all their columns, rows as they are.
+
+    Only the text goes to Python. Null and empty texts get the score of a text whose features are all 0;
+    repeated rows are decided alike, each by itself; columns of any names stay; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def stage(batches):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array(sent.value.scores([features(t) for t in texts]) >= threshold, pa.bool_()))
+            yield pa.array(sent.value.scores([features(t or b"") for t in batch.cast(pa.binary()).to_pylist()]), pa.float64())
 
-    return map_batches(docs, stage, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.where(score(F.col(text)) >= threshold)

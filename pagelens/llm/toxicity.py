@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches, texts
+from .arrow import bounded_batches, map_batches, texts
 from .samples import MAX_ROWS, held_out, labelled, share, unlabelled
 from .storage import written
 
@@ -24,8 +25,9 @@ LEAST_SHARE = 0.4
 STEPS = 250
 RATE = 0.05
 SPARSITY = 3e-4
-#: Above this number of distinct words the words known so far are forgotten.
-CACHE_WORDS = 1_000_000
+#: Above this number of distinct words the words known so far are forgotten; longer ones aren't kept. About 50 MB for a task.
+CACHE_WORDS = 250_000
+CACHE_LETTERS = 40
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -53,7 +55,9 @@ class Model:
             if (x := known.get(w)) is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                x = known[w] = sum(self.weights.get(f, 0.0) for f in word_features(w))
+                x = sum(self.weights.get(f, 0.0) for f in word_features(w))
+                if len(w) <= CACHE_LETTERS:
+                    known[w] = x
             total += x
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
@@ -161,14 +165,18 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """docs with a score below the threshold; all their columns, rows as they are."""
+    """docs with a score below the threshold; all their columns, rows as they are.
+
+    Only the text goes to Python. Null and empty texts get the score of a text without words; repeated rows
+    are decided alike, each by itself; columns of any names stay; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def stage(batches):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for batch in batches:
-            keep = [sent.value.score(t or "", known) < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.array([sent.value.score(t or "", known) for t in batch.to_pylist()], pa.float64())
 
-    return map_batches(docs, stage, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.where(score(F.col(text)) < threshold)

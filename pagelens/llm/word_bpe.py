@@ -16,8 +16,9 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words whose ids are kept; above it the cache starts anew.
-CACHE_WORDS = 1_200_000
+#: Words of one generation of the cache, and the longest that are kept: about 80 MB for a Python worker's two generations.
+CACHE_WORDS = 200_000
+CACHE_LETTERS = 40
 _END = "\x01"
 _UNUSED = 60_000
 #: The tokenizer's own split, for letters below U+0250, as the standard re module writes it.
@@ -38,6 +39,7 @@ class WordEncoder(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             vocab: dict[str, int] = json.load(f)["model"]["vocab"]
@@ -60,13 +62,18 @@ class WordEncoder(dict):
         self.stop[stops] = True
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if _OTHER.search(word):
-            ids = self.slow.encode(word, add_special_tokens=False).ids
-        else:
-            ids = self.fast(_END.join(_PIECE.findall(word.lower())) + _END)
-        packed = self[word] = array("I", ids).tobytes()
+        packed = self.old.get(word)
+        if packed is None:
+            if _OTHER.search(word):
+                ids = self.slow.encode(word, add_special_tokens=False).ids
+            else:
+                ids = self.fast(_END.join(_PIECE.findall(word.lower())) + _END)
+            packed = array("I", ids).tobytes()
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
