@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagelens.llm import audio, backoff
@@ -13,7 +14,14 @@ SF = "/root/testdata/sf0.001"
 def test_scores_against_plain_counting(spark, monkeypatch):
     monkeypatch.setattr(backoff, "BUCKET_WORDS", 3000)
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    df = df.union(spark.createDataFrame([(None, "the and of"), (5000, None), (5001, " "), (5002, "the"), (5002, "the")], "doc_id long, text string"))
+    odd = [(None, "the and of"), (5000, None), (5001, " "), (5002, "the"), (5002, "the"), (5003, "solo duo " * 6000), (5004, "x" * 200_000 + " the")]
+    odd += [(6000 + k, f"alpha beta alpha beta gamma{k} " * 40) for k in range(60)]
+    df = df.union(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("bucket", F.lit("x")).withColumn("batch", F.lit(None).cast("string"))
+    total, hot = backoff._hot(df, 20)
+    pair = lambda a, b: backoff._pair(*(np.array([backoff.WordKeys()[w]], np.uint64) for w in (a, b)))[0]
+    assert {pair(b"alpha", b"beta"), pair(b"solo", b"duo"), pair(b"duo", b"solo")} <= set(hot.pairs)
+    counts = dict(zip(hot.pairs.tolist(), hot.pair_counts.tolist(), strict=True))
+    assert counts[pair(b"alpha", b"beta")] == 2 * 40 * 60 and counts[pair(b"duo", b"solo")] == 5999
     docs = [(r.doc_id, (r.text or "").encode().split()) for r in df.collect()]
     pairs, context, single = Counter(), Counter(), Counter()
     for _, w in docs:
