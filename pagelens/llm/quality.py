@@ -19,44 +19,60 @@ MAX_PAIRS = 40_000
 RIDGE = 1e-2
 #: Scores are shifted so that the chosen quantile of raw scores comes out as this.
 CUT = 0.3
-_SIGNS = [*b"!#$%&*+-/:;<=>?@[]^_{|}~"]
-_SPACE = [9, 10, 11, 12, 13, 32]
+def _bytes_of(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+_LETTER = _bytes_of((65, 90), (97, 122), (128, 255))
+_SPACE = _bytes_of((9, 13), (32, 32))
+_DIGIT = _bytes_of((48, 57))
+#: All that is neither letter, digit nor space, but for what stands in ordinary sentences.
+_SIGN = ~_LETTER & ~_SPACE & ~_DIGIT
+_SIGN[[*b"'\"(),-.:;?"]] = False
 
 
 def features(text: bytes) -> list[float]:
-    """Shares of kinds of characters and words, repetition and length of one UTF-8 text; all 0 for an empty one."""
+    """Shares of kinds of bytes and words, repetition, entropy and length of one UTF-8 text; all 0 for an empty one."""
     if not text:
         return [0.0] * N_FEATURES
-    hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    codes = np.frombuffer(text, np.uint8)
+    hist = np.bincount(codes, minlength=256)
+    part = hist[hist > 0] / len(codes)
     words = text.split()
     n, k = len(text), max(1, len(words))
-    unique = len(set(words))
-    again = sum(map(eq, words, words[1:]))
     lines = text.split(b"\n")
-    upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
-    letters = max(1, upper + lower + int(hist[128:].sum()))
-    signs = int(hist[_SIGNS].sum())
-    tail = sum(map(bytes.isupper, words))
+    sign, space, letter = _SIGN[codes], _SPACE[codes], _LETTER[codes]
+    starts = np.flatnonzero(~space & np.append(True, space[:-1]))
+    has_sign, has_letter = (np.logical_or.reduceat(x, starts) if len(starts) else np.zeros(1, bool) for x in (sign, letter))
+    again = codes[1:] == codes[:-1]
+    signs = int(sign.sum())
     shares = [
-        upper / letters,
+        int(hist[65:91].sum()) / max(1, int(hist[_LETTER].sum())),
         signs / n,
-        *(int(hist[c]) / k for c in b"!#$%&*|"),
-        int(hist[48:58].sum()) / n,
+        float(has_sign.mean()),
+        float((has_sign & ~has_letter).mean()),
+        float((~has_letter).mean()),
+        int(hist[_DIGIT].sum()) / n,
         (int(hist[44]) + int(hist[46])) / k,
         int(hist[128:].sum()) / n,
         int(hist[_SPACE].sum()) / n,
-        again / k,
-        1 - unique / k,
+        sum(map(eq, words, words[1:])) / k,
+        1 - len(set(words)) / k,
         1 - len(set(lines)) / len(lines),
-        tail / k,
-        text.count(b" | ") / k,
+        sum(map(bytes.isupper, words)) / k,
         max(map(len, words), default=0) / n,
+        float((again & sign[1:]).sum()) / n,
+        float((again & letter[1:]).sum()) / n,
+        float(-(part * np.log(part)).sum()) / 8,
     ]
-    return [*shares, *map(float, np.sqrt(shares)), float(np.log1p(again)), float(np.log1p(signs)), float(np.log1p(k)), min(1.0, k / 50)]
+    return [*shares, *map(float, np.sqrt(shares)), float(np.log1p(signs)), float(np.log1p(k)), min(1.0, k / 50)]
 
 
-N_SHARES = 19
-N_FEATURES = 2 * N_SHARES + 4
+N_SHARES = 17
+N_FEATURES = 2 * N_SHARES + 3
 
 
 @dataclass(frozen=True)
