@@ -129,6 +129,28 @@ def same_host(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, "(?i)^www\\.", "") == F.regexp_replace(b, "(?i)^www\\.", "")
 
 
+def in_site(url: Column, home: Column, subdomains: bool = False, cdn_hosts: Sequence[str] = (), start_folder: bool = False) -> Column:
+    """Whether a link leads into the site of the home address: its host, if asked for its sub-domains and named content hosts, and below its folder."""
+    here, mine = F.lower(netloc(url)), F.lower(netloc(home))
+    below = lambda domain: (here == domain) | here.endswith(F.concat(F.lit("."), domain))
+    out = here == mine
+    if subdomains:
+        out = out | below(registrable_domain(host(home)))
+    for name in cdn_hosts:
+        out = out | below(F.lit(name.lower()))
+    if start_folder:
+        folder = F.regexp_replace(path(home), r"[^/]*$", "")
+        out = out & F.when(path(url) == "", F.lit("/")).otherwise(path(url)).startswith(folder)
+    return out
+
+
+def strictly_indexable(url: Column, status: Column, meta_robots: Column, x_robots: Column, canonical: Column) -> Column:
+    """Answers 200, has no noindex, and its canonical address, if any, is its own."""
+    noindex = F.concat(F.coalesce(meta_robots, F.lit("")), F.lit(" "), F.coalesce(x_robots, F.lit(""))).contains("noindex")
+    own = (F.coalesce(canonical, F.lit("")) == "") | (norm_url(join_url(url, canonical)) == url)
+    return F.coalesce((status == 200) & ~noindex & own, F.lit(False))
+
+
 def rewrite_url(url: Column, drop_params: Sequence[str] = (), replaces: Sequence[tuple[str, str]] = (), lower: bool = False) -> Column:
     """Named parameters go, then the regular-expression replaces in order, then lower case if asked for."""
     if drop_params:

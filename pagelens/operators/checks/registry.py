@@ -68,6 +68,11 @@ def catalogue(spark: SparkSession, checks: Iterable[CheckDef] | None = None) ->
     return spark.createDataFrame(rows, "check_id string, title string, severity string, tier string, origin string")
 
 
+def reads(check: CheckDef, *names: str) -> bool:
+    """Whether a check's expressions name one of these columns."""
+    return any(n in str(e()) for e in (check.rule, check.evidence, check.severity_rule) if e for n in names)
+
+
 def with_inputs(pages: DataFrame) -> DataFrame:
     """pages with every input a check may read."""
     missing = {n: F.lit(None).cast(t) for n, t in INPUTS.items() if n not in pages.columns}

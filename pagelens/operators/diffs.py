@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import severity_name, severity_rank
+
 FIELDS = ("status", "title", "meta_desc", "canonical", "indexable", "word_count", "segment")
 
 
@@ -21,9 +23,9 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def issue_compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """As finding_diff, without findings that have no page, and with the severity of the later crawl (the earlier for resolved ones)."""
+    """As finding_diff, without findings that have no page, and with the worst severity of the later crawl (of the earlier for resolved ones)."""
     paged = lambda df: df.where("url is not null and url <> ''")
-    worst = lambda df, name: paged(df).groupBy("check_id", "url").agg(F.max("severity").alias(name))
+    worst = lambda df, name: paged(df).groupBy("check_id", "url").agg(severity_name(F.max(severity_rank(F.col("severity")))).alias(name))
     joined = worst(old, "before").join(worst(new, "after"), ["check_id", "url"], "full_outer")
     state = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "resolved").otherwise("persisting")
     return joined.select("check_id", "url", state.alias("state"), F.coalesce("after", "before").alias("severity"))

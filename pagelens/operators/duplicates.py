@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as X
-from pagelens.functions.vectors import cosine
 from pagelens.plans.storage import settle
 
 PERMUTATIONS = 128
@@ -53,9 +55,9 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold:
     them, whatever passages are common. With by, only rows equal in these columns are paired. Lengths are compared in the join, shingle sets after it.
     """
     base = rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    first = base.groupBy(*by, "text").agg(F.min("id").alias("id"))
-    ids = base.select(*by, "id", F.md5("text").alias("h"))
-    copies = ids.join(first.select(*by, F.md5("text").alias("h"), F.col("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    named = base.withColumn("h", F.md5("text"))
+    first = named.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    copies = named.select(*by, "id", "h").join(named.groupBy(*by, "h").agg(F.min("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     hashed = first.select(*by, "id", F.explode(F.transform(X.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
     hashed = hashed.distinct()
     counts = hashed.groupBy("s").agg(F.count("*").alias("df"))
@@ -82,33 +84,110 @@ def near_dup_label(signature: Column) -> Column:
     return F.array_join(F.transform(F.slice(signature, 1, 4), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+#: Vectors of one block; a task compares one block with another.
+BLOCK_VECTORS = 4096
+_SLICE = 256
 
 
-def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine of at least the threshold, all of them.
+def _blocks(vectors: DataFrame, id_col: str, vector_col: str, by: tuple[str, ...], block: int) -> DataFrame:
+    """Vectors under every pair of blocks (i, j), i <= j, that their own belongs to; side says as which of them."""
+    rows = vectors.select(*by, F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.size("v") > 0)
+    sizes = rows.groupBy(*by, F.size("v").alias("d")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    rows = rows.withColumn("d", F.size("v")).join(sizes, [*by, "d"]).withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    other = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keyed = other.select(*by, "d", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "id", "v", F.when(F.col("own") <= F.col("k"), 0).otherwise(1).alias("side"))
+    twice = keyed.where("i = j").withColumn("side", F.lit(1))
+    return keyed.unionByName(twice)
 
-    A cosine of t bounds the difference of any unit coordinate by sqrt(2 - 2t): vectors are put into
-    cells as wide as that along the coordinates with the largest spread, and only equal and neighbouring
-    cells are joined, so the join is on equality and no pair is lost.
+
+def _sides(table: pa.Table) -> tuple:
+    """Ids and unit vectors of both sides, with the vectors themselves and their lengths."""
+    out = []
+    for side in (0, 1):
+        part = table.filter(pc.equal(table["side"], side))
+        ids = part["id"].to_numpy()
+        x = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) if len(part) else np.empty((0, 1))
+        order = np.argsort(ids, kind="stable")
+        x = x[order]
+        length = np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
+        out.append((ids[order], x, length, x / np.where(length > 0, length, 1)[:, None]))
+    return tuple(out)
+
+
+def _cosines(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Row by row, summed from left to right as the column expression does; 0 for vectors of length 0."""
+    norm = nx * ny
+    return np.where(norm > 0, np.add.accumulate(x * y, axis=1)[:, -1] / np.where(norm > 0, norm, 1), 0.0)
+
+
+def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92, by: tuple[str, ...] = (), block: int = BLOCK_VECTORS) -> DataFrame:
+    """(by.., a, b, similarity) with a < b and a cosine of at least the threshold, all of them.
+
+    Exact: the vectors of a group (a crawl) are dealt into blocks, and each pair of blocks is one matrix
+    product in a task, of which only the pairs that reach the threshold come out. A vector is sent once
+    for each block of its own group. Vectors of different sizes have cosine 0 and are not compared; empty
+    and null ones are left out; equal ids are not compared with each other.
     """
-    unit = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), _unit(F.col(vector_col)).alias("u")).where("u is not null")
-    width = (2 - 2 * threshold) ** 0.5
-    size = unit.select(F.size("u").alias("n")).first()
-    axes = list(range(min(3, size["n"] if size else 0)))
-    cell = lambda k: F.floor(F.col("u")[k] / F.lit(width)).cast("int")
-    left = unit.select(F.col("id").alias("a"), F.col("v").alias("x"), *[cell(k).alias(f"c{k}") for k in axes])
-    right = unit.select(F.col("id").alias("b"), F.col("v").alias("y"), *[cell(k).alias(f"c{k}") for k in axes])
-    for k in axes:
-        right = right.withColumn(f"c{k}", F.explode(F.array(F.col(f"c{k}") - 1, F.col(f"c{k}"), F.col(f"c{k}") + 1)))
-    pairs = left.join(right, [f"c{k}" for k in axes]).where("a < b")
-    return pairs.select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.6) -> DataFrame:
-    """(id, centre_similarity) of vectors that no other one comes near: those without a pair at the threshold."""
-    pairs = semantic_pairs(vectors, id_col, vector_col, threshold)
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return vectors.select(F.col(id_col).alias("id")).join(paired, "id", "left_anti")
+    schema = vectors.select(*by, F.col(id_col).alias("a"), F.col(id_col).alias("b"), F.lit(0.0).alias("similarity")).schema
+
+    def task(table: pa.Table) -> pa.Table:
+        (ids, x, nx, ux), (others, y, ny, uy) = _sides(table)
+        same = table["i"][0].as_py() == table["j"][0].as_py()
+        found = []
+        for k in range(0, len(ids), _SLICE):
+            row, col = np.nonzero(ux[k : k + _SLICE] @ uy.T >= threshold - 1e-9)
+            row += k
+            keep = ids[row] < others[col] if same else ids[row] != others[col]
+            row, col = row[keep], col[keep]
+            cos = _cosines(x[row], nx[row], y[col], ny[col])
+            found.append((ids[row][cos >= threshold], others[col][cos >= threshold], cos[cos >= threshold]))
+        a, b, cos = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (ids[:0], others[:0], np.empty(0))
+        group = {c: pa.array([table[c][0].as_py()] * len(a), table.schema.field(c).type) for c in by}
+        return pa.table({**group, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": cos})
+
+    return _blocks(vectors, id_col, vector_col, by, block).groupBy(*by, "d", "i", "j").applyInArrow(task, schema)
+
+
+def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.6, by: tuple[str, ...] = (), block: int = BLOCK_VECTORS) -> DataFrame:
+    """(by.., id, max_similarity) of vectors whose nearest other one of the group is below the threshold; 0 where there is no other.
+
+    By the same products of blocks; each gives a row's largest cosine, and the largest of all counts.
+    """
+    schema = vectors.select(*by, F.col(id_col).alias("id"), F.lit(0.0).alias("near")).schema
+
+    def task(table: pa.Table) -> pa.Table:
+        (ids, x, nx, ux), (others, y, ny, uy) = _sides(table)
+        same = table["i"][0].as_py() == table["j"][0].as_py()
+        out_ids, out = [], []
+        for (p, px, pn, pu), (q, qx, qn, qu) in [((ids, x, nx, ux), (others, y, ny, uy))] + ([] if same else [((others, y, ny, uy), (ids, x, nx, ux))]):
+            for k in range(0, len(p), _SLICE):
+                rough = np.where(p[k : k + _SLICE, None] == q[None, :], -np.inf, pu[k : k + _SLICE] @ qu.T)
+                row, col = np.nonzero((rough >= rough.max(axis=1, initial=-np.inf)[:, None] - 1e-9) & (rough > -np.inf))
+                best = np.full(len(rough), -np.inf)
+                np.maximum.at(best, row, _cosines(px[row + k], pn[row + k], qx[col], qn[col]))
+                out_ids.append(p[k : k + _SLICE][best > -np.inf])
+                out.append(best[best > -np.inf])
+        found = np.concatenate(out_ids) if out_ids else ids[:0]
+        group = {c: pa.array([table[c][0].as_py()] * len(found), table.schema.field(c).type) for c in by}
+        return pa.table({**group, "id": found, "near": np.concatenate(out) if out else np.empty(0)})
+
+    nearest = _blocks(vectors, id_col, vector_col, by, block).groupBy(*by, "d", "i", "j").applyInArrow(task, schema).groupBy(*by, "id").agg(F.max("near").alias("near"))
+    all_ids = vectors.where(F.size(vector_col) > 0).select(*by, F.col(id_col).alias("id")).distinct()
+    return all_ids.join(nearest, [*by, "id"], "left").select(*by, "id", F.coalesce("near", F.lit(0.0)).alias("max_similarity")).where(F.col("max_similarity") < threshold)
+
+
+def similar_report(pairs: DataFrame, n: int = 200) -> DataFrame:
+    """The n most similar pairs, rounded as shown."""
+    return pairs.orderBy(F.col("similarity").desc(), "a", "b").limit(n).withColumn("similarity", F.bround("similarity", 4))
+
+
+def low_relevance_report(rows: DataFrame, n: int = 200) -> DataFrame:
+    """The n pages that are furthest from all others, rounded as shown."""
+    return rows.orderBy("max_similarity", "id").limit(n).withColumn("max_similarity", F.bround("max_similarity", 4))
+
+
+def duplicate_members(pages: DataFrame, key: Column, *by: str) -> DataFrame:
+    """(by.., key_value, url, representative): the classes of pages that share a key and who is in them, a row for each page; the others of a page are the rows of its class."""
+    rows = pages.select(*by, "url", key.alias("key_value")).where("key_value is not null and key_value <> ''").distinct()
+    groups = rows.groupBy(*by, "key_value").agg(F.count("*").alias("n"), F.min("url").alias("representative")).where("n > 1").drop("n")
+    return rows.join(groups, [*by, "key_value"])

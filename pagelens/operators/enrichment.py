@@ -9,8 +9,8 @@ from pagelens.functions import urls as U
 
 
 def join_by_url(pages: DataFrame, metrics: DataFrame, columns: list[str]) -> DataFrame:
-    """Left join of search-console or rank metrics by address; one row per address is expected of metrics, more are summed up to the largest."""
-    one = metrics.groupBy("url").agg(*[F.max(c).alias(c) for c in columns])
+    """Left join of search-console or rank metrics by address; of several rows of an address the largest counts, by the columns in turn, and whole."""
+    one = metrics.groupBy("url").agg(F.max(F.struct(*columns)).alias("_m")).select("url", *[F.col("_m")[c].alias(c) for c in columns])
     return pages.join(one, "url", "left")
 
 
@@ -60,6 +60,16 @@ def latest_crawls(crawls: DataFrame) -> DataFrame:
     return rows.where("place = 1").drop("place")
 
 
+def crawl_list(crawls: DataFrame, n: int = 20) -> DataFrame:
+    """The newest crawls, 1 to 200 of them."""
+    return crawls.orderBy(F.col("crawl_id").desc()).limit(max(1, min(200, n)))
+
+
+def without_crawl(tables: dict[str, DataFrame], crawl_id: str) -> dict[str, DataFrame]:
+    """Every table without one crawl's rows, to be written in its place; on tables partitioned by crawl_id a filter of folders."""
+    return {name: df.where(~F.col("crawl_id").eqNullSafe(F.lit(crawl_id))) for name, df in tables.items()}
+
+
 def retained(crawls: DataFrame, public_owner: str = "public") -> DataFrame:
     """Crawls to keep: of the public workspace only the latest."""
     newest = crawls.where(F.col("owner") == public_owner).agg(F.max("crawl_id").alias("newest"))

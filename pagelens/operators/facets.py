@@ -150,6 +150,21 @@ def within_limits(url: Column, max_length: int | None = None, max_params: int |
     return out
 
 
+def without_hidden(pages: DataFrame, noindex: bool = False, canonicalised: bool = False) -> DataFrame:
+    """Pages as stored when pages with noindex, or with another canonical address, are to be hidden; the link graph keeps them."""
+    out = pages
+    if noindex:
+        out = out.where(~F.coalesce(F.lower(F.coalesce("meta_robots", F.lit(""))).contains("noindex") | F.lower(F.coalesce("x_robots", F.lit(""))).contains("noindex"), F.lit(False)))
+    if canonicalised:
+        out = out.where(F.coalesce(F.nullif("canonical", F.lit("")) == F.col("url"), F.lit(True)))
+    return out
+
+
+def focus(pages: DataFrame, findings: DataFrame, check_id: str) -> DataFrame:
+    """The pages that a check fired on."""
+    return pages.join(findings.where(F.col("check_id") == check_id).select("crawl_id", "url").distinct(), ["crawl_id", "url"], "left_semi")
+
+
 def cap_per(pages: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first n rows of each key: per-depth and per-host caps of a crawl. Spark keeps n a key before the shuffle."""
     from pyspark.sql import Window

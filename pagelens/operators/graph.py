@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
 from pagelens.plans.storage import settle
 
+from . import robots as R
+
 KEY = ["crawl_id"]
 
 
@@ -68,17 +72,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     )
 
 
-def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = 200) -> DataFrame:
+def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(crawl_id, url, depth, parent): clicks from the nearest of seeds(crawl_id, url, depth), and the smallest page one click nearer.
 
     Breadth-first: each round joins only the pages reached in the round before with their links and
-    drops pages reached already; every round is written. Pages that can't be reached are absent.
+    drops pages reached already; every round is written; the rounds end when nothing new is reached. Pages
+    that can't be reached are absent, and with max_depth those further away.
     """
     first = seeds.groupBy("crawl_id", "url").agg(F.min("depth").cast("int").alias("depth"))
     pending = settle(first.withColumn("parent", F.lit(None).cast("string")))
     found = pending.limit(0)
     level, last = 0, pending.agg(F.max("depth")).first()[0]
-    while last is not None and level <= max_depth:
+    while last is not None and (max_depth is None or level <= max_depth):
         here = pending.where(F.col("depth") == level).join(found, ["crawl_id", "url"], "left_anti").select("crawl_id", "url", "depth", "parent")
         here = settle(here.groupBy("crawl_id", "url").agg(F.min("depth").alias("depth"), F.min("parent").alias("parent")))
         if here.isEmpty():
@@ -152,6 +157,36 @@ def graph_edges(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(target, ["crawl_id", "dst"]).select("crawl_id", "src", "dst", "broken")
 
 
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Headline numbers of each crawl's graph, from graph_nodes and graph_edges."""
+    per_crawl = nodes.groupBy("crawl_id").agg(
+        F.count("*").alias("pages"),
+        F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"),
+        F.count_if(F.col("n_issues") > 0).alias("with_issues"),
+        F.count_if(F.coalesce("orphan", F.lit(False))).alias("orphans"),
+        F.count_if(F.coalesce("broken", F.lit(False))).alias("broken"),
+    )
+    links = edges.groupBy("crawl_id").agg(F.count("*").alias("links"))
+    return per_crawl.join(links, "crawl_id", "left").fillna(0, ["links"])
+
+
+def node_sizes(nodes: DataFrame, value: str) -> DataFrame:
+    """nodes with relative, their share of the crawl's largest value (at least 1), and size, 5 to 20 by its root."""
+    top = nodes.groupBy("crawl_id").agg(F.greatest(F.lit(1.0), F.max(value).cast("double")).alias("_top"))
+    relative = F.coalesce(F.col(value), F.lit(0)) / F.col("_top")
+    return nodes.join(top, "crawl_id").withColumns({"relative": relative, "size": 5 + 15 * F.sqrt(relative)}).drop("_top")
+
+
+def final_addresses(pages: DataFrame) -> DataFrame:
+    """pages without those that redirects led to an address which is stored already: of equal normalised addresses the one with the fewest hops, then the smallest, stays."""
+    hops = F.coalesce(F.size("redirect_chain"), F.lit(0))
+    key = U.normalize_url(F.col("url"))
+    kept = pages.groupBy("crawl_id", key.alias("_key")).agg(F.min(F.struct(hops.alias("hops"), "url")).alias("_kept"))
+    rows = pages.withColumns({"_key": key, "_hops": hops})
+    same = rows.join(kept, ["crawl_id", "_key"]).where((F.col("_kept.hops") == F.col("_hops")) & (F.col("_kept.url") == F.col("url")))
+    return same.dropDuplicates(["crawl_id", "url"]).select(pages.columns)
+
+
 SEVERITIES = ("Info", "Low", "Medium", "High", "Critical")
 
 
@@ -164,20 +199,46 @@ def severity_name(rank):
     return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank)
 
 
-def frontier(pages: DataFrame, visited: DataFrame, *, follow_nofollow: bool = False, per_page: int | None = None, max_length: int | None = None) -> DataFrame:
+def frontier(
+    pages: DataFrame,
+    visited: DataFrame,
+    *,
+    follow_nofollow: bool = False,
+    per_page: int | None = None,
+    max_length: int | None = None,
+    hreflang: bool = False,
+    amp: bool = False,
+    pagination: bool = False,
+    rewrite: Callable[[Column], Column] | None = None,
+    keep: Callable[[Column], Column] | None = None,
+    rules: DataFrame | None = None,
+    agent: str = "*",
+) -> DataFrame:
     """(crawl_id, url, depth, src): what the pages' links would have a crawler fetch next.
 
-    Internal links, in page order, normalised; nofollow ones only if asked for; at most per_page a page;
-    addresses of visited(crawl_id, url) are left out. One row an address: the nearest, then smallest source.
+    Internal links, in page order, normalised; nofollow ones only if asked for; at most per_page a page; if
+    asked for, also what hreflang, amphtml and prev or next name. rewrite changes addresses, keep decides
+    which are in scope, rules (of robots files) what the agent may fetch; addresses of visited(crawl_id, url)
+    are left out. One row an address: the nearest, then smallest source.
     """
+    more = [("hreflang", F.transform("hreflang", lambda h: h["href"]))] * hreflang + [("amp", F.array("amp_url"))] * amp + [("series", F.array("prev_url", "next_url"))] * pagination
     rows = pages.select("crawl_id", F.col("url").alias("src"), "depth", F.posexplode("links").alias("pos", "link")).where("link.is_internal")
     if not follow_nofollow:
         rows = rows.where(~F.array_contains("link.rel", "nofollow"))
     if per_page is not None:
         rows = rows.where(F.col("pos") < per_page)
-    rows = rows.select("crawl_id", U.normalize_url(F.col("link.href")).alias("url"), (F.col("depth") + 1).alias("depth"), "src")
+    rows = rows.select("crawl_id", F.col("link.href").alias("href"), (F.col("depth") + 1).alias("depth"), "src")
+    for _, hrefs in more:
+        rows = rows.unionByName(pages.select("crawl_id", F.explode(F.array_compact(hrefs)).alias("href"), (F.col("depth") + 1).alias("depth"), F.col("url").alias("src")))
+    address = U.normalize_url(F.col("href"))
+    rows = rows.select("crawl_id", (address if rewrite is None else rewrite(address)).alias("url"), "depth", "src")
+    if keep is not None:
+        rows = rows.where(keep(F.col("url")))
     if max_length is not None:
         rows = rows.where(F.length("url") <= max_length)
     fresh = rows.join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
-    nearest = fresh.groupBy("crawl_id", "url").agg(F.min(F.struct("depth", "src")).alias("least"))
-    return nearest.select("crawl_id", "url", "least.depth", "least.src")
+    nearest = fresh.groupBy("crawl_id", "url").agg(F.min(F.struct("depth", "src")).alias("least")).select("crawl_id", "url", "least.depth", "least.src")
+    if rules is None:
+        return nearest
+    allowed = R.robots_allowed(nearest.select("crawl_id", "url", F.lit(agent).alias("agent")), rules).where("allowed").select("crawl_id", "url")
+    return nearest.join(allowed, ["crawl_id", "url"], "left_semi")

@@ -88,9 +88,9 @@ def _grouped(findings: DataFrame, *more: Column) -> DataFrame:
 
 
 def with_catalogue(issue_rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Issues with the catalogue's title; what is stored with the issue goes before what the catalogue says. The catalogue has a fixed few hundred rows."""
+    """Issues with the catalogue's title; what is stored with the issue goes before what the catalogue says."""
     spec = catalogue.select("check_id", F.col("title").alias("_title"), F.col("tier").alias("_tier"), F.col("severity").alias("_severity"))
-    joined = issue_rows.join(F.broadcast(spec), "check_id", "left")
+    joined = issue_rows.join(spec, "check_id", "left")
     return joined.select(
         *[c for c in issue_rows.columns if c not in ("severity", "tier")],
         F.coalesce("severity", "_severity").alias("severity"),
@@ -111,15 +111,18 @@ def priorities(issue_rows: DataFrame, n: int = 8) -> DataFrame:
     return serious.orderBy(severity_rank(F.col("severity")).desc(), F.col("n_pages").desc(), "crawl_id", "check_id").limit(n)
 
 
-def health(pages: DataFrame, findings: DataFrame) -> DataFrame:
+def health(pages: DataFrame, findings: DataFrame, crawls: DataFrame | None = None) -> DataFrame:
     """(crawl_id, total, indexable, broken, serious_pages, serious_site, score) with a score of 0 to 100.
 
     70 for pages without serious findings, 20 for indexable ones, 10 for those that don't answer an
-    error, less 3 for each serious check that concerns no page of the crawl, at most 15.
+    error, less 3 for each serious check that concerns no page of the crawl, at most 15. A crawl of
+    crawls(crawl_id) without pages has 100.
     """
     totals = pages.groupBy("crawl_id").agg(
         F.count("*").alias("total"), F.count_if("indexable").alias("indexable"), F.count_if(F.col("status") >= 400).alias("broken")
     )
+    if crawls is not None:
+        totals = crawls.select("crawl_id").distinct().join(totals, "crawl_id", "left").fillna(0, ["total", "indexable", "broken"])
     serious = findings.where(F.col("severity").isin("High", "Critical"))
     known = pages.select("crawl_id", "url", F.lit(True).alias("known"))
     marked = serious.join(known, ["crawl_id", "url"], "left").fillna(False, ["known"])
@@ -127,10 +130,10 @@ def health(pages: DataFrame, findings: DataFrame) -> DataFrame:
     counts = marked.where("known").groupBy("crawl_id").agg(F.count_distinct("url").alias("serious_pages"))
     site = per_check.groupBy("crawl_id").agg(F.count_if(~F.col("known")).alias("serious_site"))
     joined = totals.join(counts, "crawl_id", "left").join(site, "crawl_id", "left").fillna(0, ["serious_pages", "serious_site"])
-    share = lambda c: F.col(c) / F.col("total")
+    share = lambda c: F.try_divide(F.col(c), F.col("total"))
     base = F.lit(0.7) * (1 - F.least(F.lit(1.0), share("serious_pages"))) + F.lit(0.2) * share("indexable") + F.lit(0.1) * (1 - share("broken"))
     score = F.bround(F.lit(100.0) * base, 0) - F.least(F.lit(15), F.col("serious_site") * 3)
-    return joined.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
+    return joined.withColumn("score", F.when(F.col("total") == 0, 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int"))
 
 
 def status_class(status: Column) -> Column:
@@ -173,7 +176,7 @@ def vitals(pages: DataFrame) -> DataFrame:
 
 
 def tallies(issue_rows: DataFrame) -> DataFrame:
-    """Issues by severity, tier and category in one pass of grouping sets: (crawl_id, kind, name, n)."""
+    """Issues by severity, tier and category in one grouping: (crawl_id, kind, name, n)."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("severity", "tier", "category")])
     return issue_rows.select("crawl_id", F.inline(pairs)).groupBy("crawl_id", "kind", "name").agg(F.count("*").alias("n"))
 
@@ -189,8 +192,32 @@ def report_domains(issue_rows: DataFrame) -> DataFrame:
 def resource_summary(resources: DataFrame) -> DataFrame:
     """Totals, broken ones and bytes by kind, and for all kinds: resources(crawl_id, kind, url, status, bytes)."""
     broken = F.coalesce((F.col("status") == 0) | (F.col("status") >= 400), F.lit(False))
-    rolled = resources.rollup("crawl_id", "kind").agg(F.count("*").alias("total"), F.count_if(broken).alias("broken"), F.sum("bytes").alias("bytes"))
-    return rolled.where("crawl_id is not null").fillna("all", ["kind"])
+    sums = [F.count("*").alias("total"), F.count_if(broken).alias("broken"), F.sum("bytes").alias("bytes")]
+    rolled = resources.withColumn("kind", F.coalesce("kind", F.lit("unknown"))).rollup("crawl_id", "kind").agg(*sums, F.grouping_id().alias("level"))
+    return rolled.where("level < 3").withColumn("kind", F.when(F.col("level") == 1, "all").otherwise(F.col("kind"))).drop("level")
+
+
+def resource_order(resources: DataFrame) -> DataFrame:
+    """Broken ones first, then the largest."""
+    broken = F.coalesce((F.col("status") == 0) | (F.col("status") >= 400), F.lit(False))
+    return resources.orderBy(broken.desc(), F.col("bytes").desc_nulls_last(), "url")
+
+
+def page_order(pages: DataFrame) -> DataFrame:
+    """Pages as a report lists them: by depth, unknown ones last, then by address."""
+    return pages.orderBy(F.coalesce("depth", F.lit(99)), "url")
+
+
+def filter_issues(issue_rows: DataFrame, severity: str | None = None, tier: str | None = None) -> DataFrame:
+    """Issues of one severity or tier, or both."""
+    kept = issue_rows if severity is None else issue_rows.where(F.col("severity") == severity)
+    return kept if tier is None else kept.where(F.col("tier") == tier)
+
+
+def serp_summary(rows: DataFrame) -> DataFrame:
+    """(crawl_id, total, title_truncated, desc_truncated, desc_ai_thin) of SERP rows."""
+    n = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
+    return rows.groupBy("crawl_id").agg(F.count("*").alias("total"), n("title_truncated"), n("desc_truncated"), F.count_if("desc_thin").alias("desc_ai_thin"))
 
 
 def issue_export(issue_rows: DataFrame, pages: DataFrame, findings: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -297,3 +299,101 @@ def schema_checks(pages: DataFrame, site_names: DataFrame | None = None) -> Data
         named = items.where(F.col("types").rlike("LocalBusiness|Organization")).withColumn("said", F.get_json_object("block", "$.name"))
         parts.append(finding(named.join(site_names, "crawl_id").where("said <> name").select("crawl_id", "url", "said").distinct(), "J11", F.struct("said")))
     return union(*parts)
+
+
+@dataclass(frozen=True)
+class Crawl:
+    """What checks over a crawl read. pages are the extracted ones; counted has link counts and sitemap membership too; the rest may be missing."""
+
+    pages: DataFrame
+    counted: DataFrame
+    edges: DataFrame
+    near_threshold: float = 0.9
+    skip_paginated: bool = False
+    sites: DataFrame | None = None
+    bots: DataFrame | None = None
+    url_status: DataFrame | None = None
+    blocklist: DataFrame | None = None
+    image_sizes: DataFrame | None = None
+    sitemap_images: DataFrame | None = None
+    sitemap_files: DataFrame | None = None
+    sitemap_entries: DataFrame | None = None
+    sitemap_hreflang: DataFrame | None = None
+    site_names: DataFrame | None = None
+
+    def external_links(self) -> DataFrame:
+        rows = self.pages.select("crawl_id", F.col("url").alias("src"), F.explode("links").alias("l")).where("not l.is_internal")
+        return rows.select("crawl_id", "src", F.col("l.href").alias("href")).distinct()
+
+
+SiteCheck = Callable[[Crawl], DataFrame | None]
+SITE_CHECKS: dict[str, SiteCheck] = {}
+
+
+def register_site_check(check: SiteCheck) -> SiteCheck:
+    """Adds a function from a Crawl to findings, or to None where its inputs are missing; the last one of a name counts."""
+    SITE_CHECKS[check.__name__] = check
+    return check
+
+
+def site_findings(crawl: Crawl) -> DataFrame:
+    """The findings of all registered checks that have their inputs."""
+    return union(*[found for check in SITE_CHECKS.values() if (found := check(crawl)) is not None])
+
+
+@register_site_check
+def duplicates(crawl: Crawl) -> DataFrame:
+    return duplicate_checks(crawl.pages, crawl.near_threshold, crawl.skip_paginated)
+
+
+@register_site_check
+def links(crawl: Crawl) -> DataFrame:
+    outward = crawl.url_status is not None or crawl.blocklist is not None
+    return link_checks(crawl.pages, crawl.edges, crawl.url_status, crawl.external_links() if outward else None, crawl.blocklist)
+
+
+@register_site_check
+def canonicals(crawl: Crawl) -> DataFrame:
+    return canonical_checks(crawl.pages)
+
+
+@register_site_check
+def languages(crawl: Crawl) -> DataFrame:
+    return hreflang_checks(crawl.pages, crawl.sitemap_hreflang)
+
+
+@register_site_check
+def sitemaps(crawl: Crawl) -> DataFrame | None:
+    if crawl.sitemap_files is None or crawl.sites is None:
+        return None
+    return sitemap_checks(crawl.counted, crawl.sitemap_files, crawl.sites, crawl.sitemap_entries)
+
+
+@register_site_check
+def robots(crawl: Crawl) -> DataFrame | None:
+    return None if crawl.sites is None else robots_checks(crawl.pages, crawl.sites)
+
+
+@register_site_check
+def probes(crawl: Crawl) -> DataFrame | None:
+    return None if crawl.sites is None else probe_checks(crawl.sites, crawl.bots)
+
+
+@register_site_check
+def slashes(crawl: Crawl) -> DataFrame:
+    return slash_check(crawl.pages)
+
+
+@register_site_check
+def validation(crawl: Crawl) -> DataFrame:
+    return validation_checks(crawl.pages)
+
+
+@register_site_check
+def images(crawl: Crawl) -> DataFrame | None:
+    return None if crawl.image_sizes is None else image_checks(crawl.pages, crawl.image_sizes, crawl.sitemap_images)
+
+
+@register_site_check
+def schemas(crawl: Crawl) -> DataFrame:
+    return schema_checks(crawl.pages, crawl.site_names)

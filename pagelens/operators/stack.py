@@ -40,6 +40,7 @@ SIGNALS: dict[str, list[tuple[int, str, str]]] = {
     "magento": [(5, "html", "/static/version"), (4, "html", "/mage/"), (4, "re", "Magento_"), (5, "cookie", "x-magento"), (5, "header", "x-magento-")],
     "ghost": [(6, "gen", "ghost"), (4, "html", "/content/images/"), (3, "html", "ghost-"), (4, "re", 'name="generator" content="Ghost')],
 }
+#: Marks of a shop.
 SHOP_SIGNALS = ("/plugins/woocommerce/", "woocommerce-", "wc-block", "add-to-cart")
 #: Addresses without value for a crawl, by platform and kind of site.
 EXCLUDES = {

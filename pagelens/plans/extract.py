@@ -62,8 +62,8 @@ RESPONSE = {
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One nested row per row of pages(url, html, and any of RESPONSE): the wide page record.
 
-    One pass of Arrow batches over the rows, without a shuffle; null html is parsed as empty. Further
-    columns are kept. All other logic is relational and reads only the columns it needs.
+    One pass of Arrow batches, as large as the session bounds them, over the rows, without a shuffle; 128
+    pages of a batch are parsed at a time. Null html is parsed as empty. Further columns are kept. All other logic is relational and reads only the columns it needs.
     """
     parsed_fields = parsed_schema()
     for name, (kind, default) in RESPONSE.items():

@@ -390,20 +390,58 @@ def near_duplicates(spark, sf_dir):
     return duplicates.near_duplicate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.9)
 
 
+_TWO_SITES = """d as (select 'one' as crawl_id, doc_id, text from documents union all select 'two', doc_id, case when doc_id % 4 = 1 then text || ' a further word' else text end from documents where doc_id % 3 > 0)"""
+
+
+def _two_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls with mostly the same texts; the second lacks a third of them and adds words to some."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" a further word"))).otherwise(F.col("text"))
+    return docs.select(F.lit("one").alias("crawl_id"), "doc_id", "text").unionByName(docs.where("doc_id % 3 > 0").select(F.lit("two").alias("crawl_id"), "doc_id", text.alias("text")))
+
+
+@query(
+    f"""with {_TWO_SITES}, r as (select crawl_id, text, min(doc_id) as id from d where text <> '' group by all),
+w as (select crawl_id, id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from r),
+s as (select crawl_id, id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+u as (select crawl_id, id, unnest(s) as g from s),
+pairs as (select a.crawl_id, a.id as a, b.id as b, count(*) as n from u a join u b on a.crawl_id = b.crawl_id and a.g = b.g and a.id < b.id group by all),
+near as (select p.crawl_id, p.a, p.b, p.n::double / (len(x.s) + len(y.s) - p.n) as similarity from pairs p join s x on x.id = p.a and x.crawl_id = p.crawl_id join s y on y.id = p.b and y.crawl_id = p.crawl_id)
+select crawl_id, a, b from near where similarity >= 0.9
+union all select d.crawl_id, r.id, d.doc_id from d join r on d.text = r.text and d.crawl_id = r.crawl_id where d.doc_id <> r.id"""
+)
+def near_duplicates_by_crawl(spark, sf_dir):
+    """Near-duplicates within each of two crawls that share most of their texts."""
+    rows = _two_sites(spark, sf_dir).withColumn("key", F.struct("crawl_id", "doc_id"))
+    pairs = duplicates.near_duplicate_pairs(rows, "key", "text", 0.9, by=("crawl_id",))
+    return pairs.select(F.col("a.crawl_id").alias("crawl_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+
+
 @query(
-    """select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where similarity >= 0.4"""
+    f"""with {_TWO_SITES} select crawl_id, md5(text) as key_value, doc_id::varchar as url, min(doc_id::varchar) over (partition by crawl_id, text) as representative from d where text <> '' qualify count(*) over (partition by crawl_id, text) > 1"""
+)
+def duplicate_members(spark, sf_dir):
+    """Classes of equal texts of each crawl, and who is in them."""
+    rows = _two_sites(spark, sf_dir).withColumn("url", F.col("doc_id").cast("string"))
+    return duplicates.duplicate_members(rows, F.md5(F.nullif("text", F.lit(""))), "crawl_id")
+
+
+@query(
+    """select a.vec_id as a, b.vec_id as b, round_even(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4"""
 )
 def semantic_pairs(spark, sf_dir):
     """Pairs of vectors with a cosine of 0.4 and more."""
-    return duplicates.semantic_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
+    rows = duplicates.semantic_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
+    return rows.withColumn("similarity", F.bround("similarity", 9))
 
 
 @query(
-    """select vec_id as id from embeddings v where not exists (select 1 from embeddings o where o.vec_id <> v.vec_id and list_cosine_similarity(o.embedding::double[], v.embedding::double[]) >= 0.4)"""
+    """select v.vec_id as id, round_even(max(list_cosine_similarity(o.embedding::double[], v.embedding::double[])), 9) as max_similarity from embeddings v join embeddings o on o.vec_id <> v.vec_id group by v.vec_id having max(list_cosine_similarity(o.embedding::double[], v.embedding::double[])) < 0.4"""
 )
 def low_relevance(spark, sf_dir):
-    """Vectors that no other comes near."""
-    return duplicates.low_relevance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
+    """Vectors that no other comes near, with the nearest similarity."""
+    rows = duplicates.low_relevance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
+    return rows.select("id", F.bround("max_similarity", 9).alias("max_similarity"))
 
 
 @query(
@@ -448,7 +486,7 @@ def page_authority(spark, sf_dir):
 @query(
     f"""with recursive {PF.strip()}, {EDGES.strip()}, walk as (
   select crawl_id, min(url) as url, 0 as depth from pf group by crawl_id
-  union select e.crawl_id, e.dst, w.depth + 1 from walk w join edges e on e.crawl_id = w.crawl_id and e.src = w.url where w.depth < 60
+  union select e.crawl_id, e.dst, w.depth + 1 from walk w join edges e on e.crawl_id = w.crawl_id and e.src = w.url where w.depth < (select count(*) from pages)
 ) select crawl_id, url, min(depth)::int as depth from walk group by all"""
 )
 def click_depth(spark, sf_dir):
@@ -456,7 +494,7 @@ def click_depth(spark, sf_dir):
     pages, edges = counted(spark, sf_dir)
     edges = settle(edges)
     seeds = pages.groupBy("crawl_id").agg(F.min("url").alias("url")).withColumn("depth", F.lit(0))
-    return graph.crawl_depth(seeds, edges, max_depth=60).select("crawl_id", "url", "depth")
+    return graph.crawl_depth(seeds, edges).select("crawl_id", "url", "depth")
 
 
 @query(f"""with {PF}, {EDGES} select url, outlink_count, inlink_count from counted""")
@@ -492,6 +530,39 @@ def edge_weights(spark, sf_dir):
     return edges.join(degree, "src").groupBy(F.col("dst").alias("supplier")).agg(F.count("*").alias("parts"), F.sum(F.lit(1.0) / F.col("n")).alias("weight"))
 
 
+@query(
+    f"""with {PF}, {EDGES}, f as (select *, inlink_count = 0 and depth <> 0 as orphan from counted)
+select crawl_id, count(*) as pages, max(depth) as max_depth, count(*) filter (status >= 400) as with_issues, count(*) filter (orphan) as orphans, count(*) filter (status >= 400) as broken,
+  coalesce((select count(*) from edges e where e.crawl_id = f.crawl_id), 0) as links from f group by crawl_id"""
+)
+def graph_stats(spark, sf_dir):
+    """Headline numbers of each crawl's graph, with response errors as the only findings."""
+    pages, edges = counted(spark, sf_dir)
+    nodes = graph.graph_nodes(pages, page_findings(pages, [CHECKS["B01"], CHECKS["B02"]]))
+    return graph.graph_stats(nodes, graph.graph_edges(pages, edges))
+
+
+@query(
+    f"""with {PF}, {EDGES}, t as (select *, greatest(1.0, max(inlink_count) over (partition by crawl_id))::double as top from counted)
+select url, inlink_count / top as relative, round_even(5 + 15 * sqrt(inlink_count / top), 9) as size from t"""
+)
+def node_sizes(spark, sf_dir):
+    """Relative sizes of pages by the links that lead to them."""
+    sized = graph.node_sizes(counted(spark, sf_dir)[0], "inlink_count")
+    return sized.select("url", "relative", F.bround("size", 9).alias("size"))
+
+
+@query(
+    f"""with {PF}, k as (select *, regexp_extract(url, '^[a-z]+') || '://' || host || '/' || (page_id % 7)::varchar as address from pf)
+select crawl_id, address as url, min_by(page_id, (case when page_id % 25 = 7 then 1 else 0 end, address)) > -1 as stored from k group by all"""
+)
+def stored_addresses(spark, sf_dir):
+    """One page for each final address when seven of each host are reached by all."""
+    pages = crawled(spark, sf_dir)
+    address = F.concat(F.regexp_extract("url", "^[a-z]+", 0), F.lit("://"), U.host(F.col("url")), F.lit("/"), (F.col("page_id") % 7).cast("string"))
+    return graph.final_addresses(pages.withColumn("url", address)).select("crawl_id", "url", F.lit(True).alias("stored"))
+
+
 # ---- roll-ups
 
 _AUDITED = ["A10", "A12", "B01", "B02", "B13", "C01", "D03", "D04", "D07", "D20", "E04", "F01", "F02", "M01", "N04", "T05"]
@@ -613,6 +684,16 @@ def facet_counts(spark, sf_dir):
     return facets.facet_counts(counted(spark, sf_dir)[0]).where(wanted)
 
 
+@query(
+    f"""with {PF}, w as (select *, ({_WIDTH.format("title")}) as px from pf)
+select crawl_id, count(*) as total, count(*) filter (px > 580) as title_truncated, 0::bigint as desc_truncated, count(*) as desc_ai_thin from w group by 1"""
+)
+def serp_summary(spark, sf_dir):
+    """How many titles and descriptions are cut or thin in result lists; pages here have no descriptions."""
+    pages = crawled(spark, sf_dir)
+    return rollups.serp_summary(pages.select("crawl_id", *X.serp_row(F.col("title"), F.coalesce("meta_desc", F.lit("")))))
+
+
 # ---- differences
 
 def _two_crawls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -646,6 +727,22 @@ def issue_changes(spark, sf_dir):
     return _compared(spark, sf_dir)
 
 
+@query(
+    f"""with {PF}, {_COMPARED_SQL}, g as (select * from f union all select page_id, url, [c[1], 'Medium'] from f where page_id % 10 in (0, 1, 2))
+select c[1] as check_id, url, case when page_id % 10 = 0 then 'new' when page_id % 10 = 1 then 'resolved' else 'persisting' end as state,
+  ['Info', 'Low', 'Medium', 'High', 'Critical'][max(list_position(['Info', 'Low', 'Medium', 'High', 'Critical'], c[2]))] as severity from g group by all"""
+)
+def issue_changes_mixed(spark, sf_dir):
+    """As issue_changes where a check has findings of two severities on a page: the worst counts."""
+
+    def doubled(pages: DataFrame) -> DataFrame:
+        found = page_findings(pages, [CHECKS[i] for i in _COMPARED])
+        again = page_findings(pages.where("page_id % 10 < 3"), [CHECKS[i] for i in _COMPARED]).withColumn("severity", F.lit("Medium"))
+        return found.unionByName(again)
+
+    return diffs.issue_compare(*map(doubled, _two_crawls(spark, sf_dir)))
+
+
 @query(f"""with {PF}, {_COMPARED_SQL} select c[1] as check_id, url, 'new' as state, c[2] as severity from f where page_id % 10 = 0 and c[2] in ('High', 'Critical')""")
 def regressions(spark, sf_dir):
     """New serious findings."""

@@ -61,6 +61,15 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     return blocks.select("crawl_id", "file", url.alias("url"), last.try_cast("timestamp").alias("lastmod")).where("url <> ''")
 
 
+def with_sitemap(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """pages with in_sitemap: whether an entry(crawl_id, url) names the address, fragments aside. Only crawls with entries get a value."""
+    bare = lambda c: F.regexp_replace(c, "#.*$", "")
+    listed = entries.select("crawl_id", bare(F.col("url")).alias("_bare")).distinct().withColumn("_listed", F.lit(True))
+    known = entries.select("crawl_id").distinct().withColumn("_known", F.lit(True))
+    joined = pages.drop("in_sitemap").withColumn("_bare", bare(F.col("url"))).join(listed, ["crawl_id", "_bare"], "left").join(known, "crawl_id", "left")
+    return joined.withColumn("in_sitemap", F.coalesce("_listed", F.when(F.col("_known"), False))).drop("_bare", "_listed", "_known")
+
+
 def child_sitemaps(files: DataFrame) -> DataFrame:
     """(crawl_id, file): further files that index files name."""
     blocks = files.select("crawl_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<sitemap\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("file"))
@@ -95,5 +104,19 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\n").csv(path)
 
 
+def export_grid(pages: DataFrame, path: str, columns: list[str] | None = None, selected: DataFrame | None = None) -> None:
+    """Rows of the grid, or the selected(crawl_id, url) ones, as spreadsheets read them: quoted CSV, lines end in CR LF, a byte-order mark before the header.
+
+    Written as text, so that the mark can stand first; every file has the header.
+    """
+    rows = pages if selected is None else pages.join(selected.select("crawl_id", "url").distinct(), ["crawl_id", "url"], "left_semi")
+    names = columns or [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct"))]
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = rows.select(F.concat_ws(",", *[quoted(F.col(f"`{n}`").cast("string")) for n in names]).alias("value"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    header = "\ufeff" + ",".join(f'"{n}"' for n in names) + "\r\n"
+    first = F.col("_row") == F.shiftleft(F.col("_part").cast("long"), 33)
+    lines.select(F.concat(F.when(first, F.lit(header)).otherwise(F.lit("")), "value").alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
 def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)

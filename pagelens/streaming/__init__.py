@@ -39,11 +39,12 @@ def findings_on_arrival(pages: DataFrame) -> DataFrame:
 def alerts_against(previous: DataFrame, stream: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Starts a query that hands each batch's serious findings which the previous crawl didn't have to emit(rows, batch id).
 
-    previous(crawl_id, url, check_id) is read anew for each batch, so it may be a growing table.
+    previous(crawl_id, url, check_id) is read anew for each batch, so it may be a growing table; crawl_id is
+    the site's key, the same in both.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        fresh = rows.where(F.col("severity").isin("High", "Critical")).join(previous.select("url", "check_id"), ["url", "check_id"], "left_anti")
+        fresh = rows.where(F.col("severity").isin("High", "Critical")).join(previous.select("crawl_id", "url", "check_id"), ["crawl_id", "url", "check_id"], "left_anti")
         emit(fresh, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
