@@ -79,6 +79,13 @@ def _near(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
 
 
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether the sizes and parities of two sets, with columns named after x and y, allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"{x}_{b}").bitwiseXOR(F.col(f"{y}_{b}"))) for b in _BITS), F.lit(0))
+    most = (F.col(f"n_{x}") + F.col(f"n_{y}")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
+    return (differ <= most) & _near(F.col(f"n_{x}"), F.col(f"n_{y}"), similarity)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -86,9 +93,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, n_words: int) -> DataFrame:
     """The pairs(a, b) that reach the similarity: those whose sizes and parities allow it are compared shingle by shingle."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), *[F.col(b).alias(f"{x}_{b}") for b in _BITS])
-    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in _BITS), F.lit(0))
-    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((differ <= most) & _near(F.col("n_a"), F.col("n_b"), similarity))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("a", "b", similarity))
     left = written(likely.select("a", "b", "rep_a", "rep_b"))
     wanted = left.select(F.col("rep_a").alias("id"), F.col("a").alias("cls")).unionByName(left.select(F.col("rep_b").alias("id"), F.col("b").alias("cls"))).distinct()
 
@@ -121,8 +126,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     threshold. Equal sets form a class (null and blank texts one of their own), so copies aren't paired.
     Classes are compared if their SimHash fingerprints differ in three bits or fewer (near_dedup.links), or
     if a min-hash band key is the same. Of the classes under one key the one that shares most keys with
-    others is the centre, and each is compared with it; then those that are not yet connected are compared
-    with the others under the key, so a large group of near copies costs a comparison for each member.
+    others is the centre, and each is compared with it; then those that are not yet connected are held
+    against the others under the key by sizes and parities of 512 bits (an exact bound), and what these let
+    pass is compared, so a large group of near copies costs a comparison for each member.
     Every compared pair is decided by the sets themselves; a pair of similarity 0.8 is compared with
     probability 0.9993 (BANDS), one of 0.85 with 0.99999. Rows with a null id are left out; repeated rows
     and ties fall into one class; an empty table gives no rows.
@@ -145,10 +151,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = written(shared.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").select("k", "cls", "n", F.coalesce("component", "cls").alias("part")))
     sizes = labelled.groupBy("k", "part").agg(F.count("*").alias("m"))
     main = sizes.groupBy("k").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("k", F.col("top.part").alias("main"))
-    open_keys = written(labelled.join(main, "k"))
-    rest = open_keys.where("part <> main").select("k", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("p_x"))
-    other = open_keys.select("k", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("part").alias("p_y"), (F.col("part") == F.col("main")).alias("in_main"))
-    met = rest.join(other, "k").where((F.col("p_x") != F.col("p_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _near(F.col("n_x"), F.col("n_y"), similarity))
+    open_keys = written(labelled.join(main, "k").join(classes.select("cls", *_BITS), "cls"))
+    side = lambda x: [F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"p_{x}"), *[F.col(b).alias(f"{x}_{b}") for b in _BITS]]
+    rest = open_keys.where("part <> main").select("k", *side("x"))
+    other = open_keys.select("k", *side("y"), (F.col("part") == F.col("main")).alias("in_main"))
+    met = rest.join(other, "k").where((F.col("p_x") != F.col("p_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _possible("x", "y", similarity))
     more = _pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti")
     all_links = found.unionByName(_checked(written(more), classes, base, similarity, n_words))
     members = connected_components(all_links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
