@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows a batch holds at most, and bytes; long texts make smaller batches.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

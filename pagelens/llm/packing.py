@@ -143,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield rows(found)
         if found := list(packer.pieces(True)):
             yield rows(found)
+        encode.forget()
 
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return map_batches(source, stage, PIECES).withColumnRenamed("doc_id", doc_id)

@@ -16,8 +16,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words of one generation of the cache, and the longest that are kept: about 80 MB for a Python worker's two generations.
-CACHE_WORDS = 200_000
+#: Words of one generation of the cache, and the longest that are kept: about 60 MB for a Python worker's two generations.
+CACHE_WORDS = 80_000
 CACHE_LETTERS = 40
 _END = "\x01"
 _UNUSED = 60_000
@@ -76,6 +76,11 @@ class WordEncoder(dict):
             self[word] = packed
         return packed
 
+    def forget(self) -> None:
+        """At the end of a task, so that later stages of a reused worker have the memory."""
+        self.clear()
+        self.old = {}
+
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
         if any(c in text for c in _ODD_SPACES):
