@@ -104,15 +104,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def emitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names.
 
     As mix(); texts are read a second time for it, in place of being shuffled.
     """
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size"))
-    plan = mixing_plan(written(ids)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    joined = docs.join(plan, docs[source].eqNullSafe(F.col("_source")))
-    copies = _copies(F.col("_rate"), F.element_at(draws(doc_id), F.col("_seed") + 1))
-    often = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return often.select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    sized = written(rows.select("doc_id", "source", size_in_words("text").alias("size")))
+    copies = _copies(F.col("rate"), F.element_at(draws(), F.col("seed") + 1))
+    often = _with_source(rows.select("row", "doc_id", "source"), mixing_plan(sized)).withColumn("copies", copies).where("copies > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -26,3 +26,33 @@ def test_repeats_keep_their_alignment(spark):
     df = spark.createDataFrame(rows, "class_id long, asked boolean, codes array<int>")
     got = [tuple(m) for m in audio.class_matches(df).collect()]
     assert got == [(0, 1, 100, 100, 0.0)]
+
+
+def test_the_queries_against_every_offset(spark):
+    """All classes that align with an asked one at any offset, by plain comparison; and the best of each."""
+    from pagelens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    prints = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in audio.fingerprints(audio.recordings_of(vectors)).collect()}
+    least = {}
+    for i in sorted(prints):
+        least.setdefault(prints[i].tobytes(), i)
+    cls = {i: least[x.tobytes()] for i, x in prints.items()}
+    asked = {cls[i] for i in prints if i % 50 == 0}
+    want = {}
+    for a in sorted(asked):
+        for b in sorted(set(cls.values()) - {a}):
+            x, y = prints[a], prints[b]
+            tried = [(e, -n, o) for o in range(-len(y) + audio.LEAST_OVERLAP, len(x) - audio.LEAST_OVERLAP + 1) for n, e in [audio.bit_error(x, y, o)] if n >= audio.LEAST_OVERLAP]
+            if tried and min(tried)[0] <= audio.MAX_BIT_ERROR:
+                want[a, b] = min(tried)
+    got = {(r.class_id, r.match_id): (r.bit_error, -r.overlap, r.offset) for r in QUERIES["op6_audio_matches"](spark, sf).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(got[k][0] >= want[k][0] and got[k][0] == audio.bit_error(prints[k[0]], prints[k[1]], got[k][2])[1] for k in got)
+    for r in QUERIES["op6_audio_fingerprints"](spark, sf).collect():
+        own = {k[1]: v for k, v in got.items() if k[0] == cls[r.rec_id]}
+        assert (r.class_id, r.n_codes, r.n_matches) == (cls[r.rec_id], len(prints[r.rec_id]), len(own))
+        if own:
+            e, b = min((v[0], b) for b, v in own.items())
+            assert (r.bit_error, r.match_id) == (e, b)
