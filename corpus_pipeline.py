@@ -19,27 +19,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of poor quality go."""
+    """Documents of poor quality go; the others stay as they are.
+
+    Null and empty texts are scored like texts without features; repeated rows are decided alike; extra
+    columns of any names stay; an empty table gives no rows.
+    """
     return quality.keep_good(docs, quality.fit(docs, _labels(spark, sf_dir)))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go; the others stay as they are.
+
+    Null and empty texts count as texts without words; repeated rows are decided alike; extra columns of
+    any names stay; an empty table gives no rows.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays, that with the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Null and blank texts are one group; of rows that share the kept id one stays; rows with a null id stay;
+    extra columns of any names stay; an empty table gives no rows.
+    """
     return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null texts have no words; null sources are one source; rows of equal ids (null included) are taken
+    alike; extra columns of any names stay; an empty table gives no rows.
+    """
     return mixing.emitted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in windows of 2048 tokens."""
+    """Pieces in windows of 2048 tokens; all tokens of all rows, each once.
+
+    Null and empty texts are their end mark; repeated rows are packed each by itself; a null id stays;
+    further columns are left out; an empty table gives no rows.
+    """
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
