@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens import derived_checks
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, stack
@@ -819,3 +820,7 @@ def stream_filtered(spark, sf_dir):
     """Successful fetches of a stream, counted afterwards."""
     kept = _streamed(spark, sf_dir, lambda s: s.where("event_type <> 'error'").select("event_id", "user_id"), "append")
     return kept.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
+
+
+QUERIES |= derived_checks.QUERIES
+SQL |= derived_checks.SQL
