@@ -66,13 +66,13 @@ PARTS = [
     ("icon", '<link rel="icon" href="/i.ico">', {17: ""}),
     ("gtm", GTM, {16: ""}),
     ("hint", '<link rel="preconnect" href="https://www.googletagmanager.com">', {23: ""}),
-    ("article", LD.format('{"@type": "Article", "headline": "h", "image": "i", "datePublished": "2020", "author": "a"}'), {18: LD.format('{"@type": "Article", "headline": "h", "image": "i", "author": "a"}'), 19: LD.format('{"@type": "Article", "headline": "h", "image": "i", "datePublished": "2020"}')}),
-    ("organisation", LD.format('{"@type": "Organization", "name": "n", "url": "u", "logo": "l"}'), {13: LD.format('{"@type": "Thing"}')}),
-    ("breadcrumbs", LD.format('{"@type": "BreadcrumbList", "itemListElement": [1]}'), {15: LD.format('{"@type": "Thing"}')}),
-    ("questions", LD.format('{"@type": "FAQPage", "mainEntity": [1]}'), {14: LD.format('{"@type": "Thing"}')}),
+    ("article", LD.format('{"@type": "Article", "headline": "h", "image": "i", "datePublished": "2020", "author": "a"}'), {18: LD.format('{"@type": "Article", "headline": "h", "image": "i", "author": "a"}'), 19: LD.format('{"@type": "Article", "headline": "h", "image": "i", "datePublished": "2020"}'), 27: ""}),
+    ("organisation", LD.format('{"@type": "Organization", "name": "n", "url": "u", "logo": "l"}'), {13: LD.format('{"@type": "Thing"}'), 27: ""}),
+    ("breadcrumbs", LD.format('{"@type": "BreadcrumbList", "itemListElement": [1]}'), {15: LD.format('{"@type": "Thing"}'), 27: ""}),
+    ("questions", LD.format('{"@type": "FAQPage", "mainEntity": [1]}'), {14: LD.format('{"@type": "Thing"}'), 27: ""}),
 ]
 NAV = ("<body><nav><a href='/o'>{own}</a></nav><main>", {24: "<body><div><a href='/o'>{own}</a></div><div>"})
-TEXT = [("<h1>Heading one</h1>", {10: ""}), ("<h2>Two</h2>", {26: ""}), (f"<p>{LONG}</p>", {14: f"<p>{LONG}Frequently asked.</p>", 21: "<p>few words</p>", 22: f"<p>{HARD}</p>", 25: f"<p>short</p><p>{LONG}</p>"})]
+TEXT = [("<h1>Heading one</h1>", {10: "", 27: "<h1>Heading one</h1><div itemtype='https://schema.org/Thing'></div>"}), ("<h2>Two</h2>", {26: ""}), (f"<p>{LONG}</p>", {14: f"<p>{LONG}Frequently asked.</p>", 21: "<p>few words</p>", 22: f"<p>{HARD}</p>", 25: f"<p>short</p><p>{LONG}</p>"})]
 CLEAN = {
     "strict-transport-security": "x", "content-security-policy": "x", "x-content-type-options": "x", "x-frame-options": "x", "referrer-policy": "x", "content-encoding": "gzip", "cache-control": "x",
 }
@@ -107,7 +107,8 @@ def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda c: F.concat(F.lit('<link rel="canonical" href="'), c, F.lit('">'))
     can = (
         F.when(F.col("can") == 1, F.lit("")).when(F.col("can") == 2, link(F.concat(start, F.lit("other")))).when(F.col("can") == 3, F.concat(link(F.col("url")), link(F.lit("/z"))))
-        .when(F.col("can") == 4, link(F.lit("https://elsewhere.test/x"))).when(F.col("can") == 5, link(F.concat("url", F.lit("#x")))).when(F.col("can") == 6, link(F.col("clean"))).otherwise(link(F.col("url")))
+        .when(F.col("can") == 4, link(F.lit("https://elsewhere.test/x"))).when(F.col("can") == 5, link(F.concat("url", F.lit("#x")))).when(F.col("can") == 6, link(F.col("clean")))
+        .when(F.col("can") == 8, F.concat(link(F.lit("https://elsewhere.test/de")), F.lit("<link rel=alternate hreflang='de' href='https://elsewhere.test/de'>"))).otherwise(link(F.col("url")))
     )
     robots = F.when(F.col("rob").between(1, 4), F.concat(F.lit('<meta name="robots" content="'), _pick("rob", ROBOTS), F.lit('">'))).otherwise("")
     main = F.replace(_pick("a", MAIN), F.lit("{host}"), F.col("host"))
@@ -145,25 +146,25 @@ FIRES = {
     "A04": "ok and noi", "A05": "ok and hdr = 4", "A06": "rob = 2", "A07": "rob in (3, 4) and hdr = 4", "A08": "e = 4", "A09": "ok and ind and inl = 0 and i % 4 <> 0", "A10": "ind and dep > 4",
     "A11": "ind and s in (1, 2, 3)", "A12": "ok and not ind and inl > 0", "A13": "a = 1", "A14": "ind and rob = 4",
     "B01": "status = 404", "B02": "status = 503", "B03": "ok and d = 9", "B06": "e in (1, 2)", "B07": "e = 2", "B08": "status = 302", "B11": "e in (1, 2, 3) and status >= 400", "B12": "b = 4", "B13": "plain and ok",
-    "C01": "ok and can = 1 and rob <> 2", "C02": "ok and (can in (2, 5) or (can = 6 and s > 0 and s < 23))", "C04": "self and status >= 300", "C05": "can = 3", "C06": "hdr = 8 and can <> 1", "C07": "e = 5", "C08": "can = 4", "C09": "can = 5",
+    "C01": "ok and can = 1 and rob <> 2", "C02": "ok and (can in (2, 5) or (can = 6 and s > 0 and s < 23))", "C04": "self and status >= 300", "C05": "can = 3", "C06": "hdr = 8 and can <> 1", "C07": "e = 5", "C08": "can in (4, 8)", "C09": "can = 5",
     "C10": "ind and s in (1, 2, 3) and (can in (1, 5) or self)", "C11": "s in (5, 6) and can = 6",
     "D01": "ok and ind and d = 6 and b <> 1", "D03": "d = 8", "D04": "d = 7 or (d = 6 and b = 1)", "D05": "b = 1", "D07": "ok and ind and d = 1 and b <> 2", "D09": "d = 2", "D11": "b = 2 and d <> 1", "D12": "ok and d = 10 and a <> 2", "D13": "a = 2 and d <> 10",
     "D15": "a = 3 or d = 26 and a = 4", "D16": "a = 4", "D17": "e = 6", "D18": "b = 3", "D19": "ind and d = 5", "D20": "ok and d = 3", "D21": "a = 5",
-    "E04": "ok and ind and d = 21 and not many", "E08": "a = 6", "E09": "d = 22 or d = 21 and many", "E10": "a = 43", "E11": "a = 7 and d <> 21", "E12": "d = 18",
-    "F01": "ok and ind and inl = 0", "F02": "ind and inl = 1", "F03": "i % 43 = 1", "F04": "dep > 4 and ind", "F05": "a = 8", "F06": "a = 9", "F07": "(status in (301, 302) or (can in (2, 4, 5) or can = 6 and s > 0 and s < 23)) and inl > 0", "F08": "a = 10", "F09": "a = 1",
-    "F10": "e = 7", "F11": "dep >= 2 and d = 15", "F12": "a = 11 and not plain",
+    "E04": "ok and ind and d = 21 and not many", "E08": "a = 6", "E09": "d = 22 or d = 21 and many", "E10": "a = 43", "E11": "a = 7 and d <> 21", "E12": "d in (18, 27)",
+    "F01": "ok and ind and inl = 0", "F02": "ind and inl = 1", "F03": "i % 43 = 1", "F04": "dep > 4 and ind", "F05": "a = 8", "F06": "a = 9", "F07": "(status in (301, 302) or (can in (2, 4, 5, 8) or can = 6 and s > 0 and s < 23)) and inl > 0", "F08": "a = 10", "F09": "a = 1",
+    "F10": "e = 7", "F11": "dep >= 2 and d in (15, 27)", "F12": "a = 11 and not plain",
     "G03": "a = 12", "G04": "a = 13", "G06": "a = 14", "H01": "a = 15", "H02": "a = 16", "H03": "a = 17", "H05": "a in (18, 24, 25)", "H07": "a in (19, 22, 28)", "H08": "a = 20", "H09": "a = 21",
-    "I03": "b = 5", "I04": "b in (5, 6, 7)", "I06": "b = 7", "I08": "b in (5, 6, 7)",
-    "J01": "b = 9", "J02": "b in (9, 12, 23) or d in (18, 19)", "J14": "b in (9, 12, 23) or d in (18, 19)", "J03": "b = 10", "J04": "a = 23", "J05": "d = 21 and not many", "J08": "d = 15", "J09": "d in (18, 19) or b = 23", "J10": "d = 14 and b <> 9", "J12": "b = 11", "J13": "e = 8",
+    "I03": "b = 5", "I04": "b in (5, 6, 7) or can = 8", "I05": "can = 8", "I06": "b = 7", "I08": "b in (5, 6, 7) or can = 8",
+    "J01": "b = 9", "J02": "b in (9, 12, 23) or d in (18, 19)", "J14": "b in (9, 12, 23) or d in (18, 19)", "J03": "b = 10", "J04": "a = 23 or d = 27", "J15": "d = 27 and b not in (9, 10, 11, 12, 23)", "J05": "d = 21 and not many", "J08": "d in (15, 27)", "J09": "d in (18, 19) or b = 23", "J10": "d = 14 and b <> 9", "J12": "b = 11", "J13": "e = 8",
     "M01": "plain", "M02": "a = 24 and not plain", "M03": "hdr = 2 and not plain", "M05": "a = 25", "M06": "hdr = 2", "M07": "a = 14", "M08": "hdr = 6", "M09": "b = 13",
     "N01": "e = 10", "N02": "e = 11", "N03": "e = 12", "N04": "(i % 40) * 50.0 > 800", "N05": "b in (14, 16)", "N06": "b = 16 or a = 26 or false", "N07": "hdr = 2 and (d <> 21 or a in (27, 28, 43) or many)", "N08": "hdr = 2 and a in (22, 28)", "N09": "a = 27", "N11": "a = 28", "N12": "d = 23", "N13": "b = 15", "N14": "b = 16",
     "O01": "d in (3, 4)", "O02": "e = 13", "O03": "e = 14", "O04": "e = 15", "O05": "e = 16 and (d <> 21 or many)", "O06": "e = 17", "O07": "e = 18",
     "P01": "e = 19", "P02": "e = 20", "P03": "e = 21", "P04": "e = 22", "P05": "e = 23", "P06": "a = 42 and e = 19",
     "Q01": "a in (8, 29)", "Q02": "a = 30", "Q03": "a = 31", "Q04": "e = 24", "Q05": "a = 32", "Q06": "a = 33", "Q07": "d = 20", "Q08": "a = 34", "Q09": "d = 24",
-    "R01": "b = 17", "R02": "b = 18", "R03": "b = 19", "R05": "e in (19, 25)", "R06": "a = 35", "R07": "d = 25 or d = 21 and many", "R08": "d = 26 and a <> 5", "R09": "d = 11", "R10": "d = 13", "R11": "d = 12", "R12": "d = 14 and b <> 9", "R13": "d = 22 or d = 21 and many",
+    "R01": "b = 17", "R02": "b = 18", "R03": "b = 19", "R05": "e in (19, 25)", "R06": "a = 35", "R07": "d = 25 or d = 21 and many", "R08": "d = 26 and a <> 5", "R09": "d = 11", "R10": "d in (13, 27)", "R11": "d = 12", "R12": "d in (14, 27) and b <> 9", "R13": "d = 22 or d = 21 and many",
     "S02": "s = 21 and d = 10 and a <> 2", "S03": "many", "S05": "a in (8, 29)", "S06": "a = 33", "S07": "a = 32", "S08": "e = 26", "S09": "a = 36", "S10": "a = 37", "S11": "a = 36 and s = 20", "S12": "e in (7, 9)", "S13": "b = 20",
     "T01": "s = 15", "T02": "s = 16", "T03": "s = 17", "T04": "length(url) > 115", "T05": "s in (1, 2, 3)", "T06": "s in (13, 19)", "T07": "s = 4", "T09": "s = 14",
-    "U01": "s in (5, 6) and noi", "U02": "b = 21", "U03": "s in (5, 6) and can in (2, 4, 6)", "U04": "a = 38 and b <> 21", "U05": "b = 21 or s = 6",
+    "U01": "s in (5, 6) and noi", "U02": "b = 21", "U03": "s in (5, 6) and can in (2, 4, 6, 8)", "U04": "a = 38 and b <> 21", "U05": "b = 21 or s = 6",
     "V01": "s = 10", "V02": "s = 11", "V03": "s = 8", "V04": "s = 7", "V05": "s = 9", "V06": "a = 39", "V07": "can = 3", "V08": "a in (20, 22, 28)", "V09": "s = 12", "V10": "s = 23 and not noi and b not in (17, 18, 19)", "V11": "a = 40", "V12": "s = 13",
     "W01": "(d = 16) <> (b = 22)", "W02": "s = 22", "W03": "d = 17",
 }
@@ -175,7 +176,7 @@ _BASE = f"""with m as (
   select *, i % 53 = 1 as plain, i % 94 = 21 as many, i % 7 as inl, i % 8 as dep, rob in (1, 2) as noi, rob not in (1, 2) and hdr <> 4 as ind,
     case st when 3 then 404 when 5 then 503 when 7 then 301 when 9 then 302 else 200 end as status,
     (case when i % 53 = 1 then 'http://' else 'https://' end) || (case when s = 23 then 'staging.' else '' end) || site || case when s = 22 then '/' else '/good-page-' || i || {_TAILS} end as url from m
-), f as (select *, status = 200 as ok, can not in (1, 2, 4, 5) and (can <> 6 or s = 0 or s >= 23) as self from u)
+), f as (select *, status = 200 as ok, can not in (1, 2, 4, 5, 8) and (can <> 6 or s = 0 or s >= 23) as self from u)
 select url, unnest(list_filter([{_CASES}], lambda x: x is not null)) as check_id from f"""
 GROUPS = {"access": "ABC", "content": "DE", "links": "FGH", "markup": "IJM", "experience": "NOPQ", "readiness": "RS", "addresses": "TUVW"}
 
