@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens import derived_checks
+from pagelens import derived_checks, derived_sites
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, stack
@@ -763,7 +763,15 @@ def search_metrics(spark, sf_dir):
     return enrichment.join_by_url(pages.select("url"), named, ["clicks", "amount"])
 
 
-@query()
+@query(
+    f"""with {PF}, e as (select user_id as page_id, count(*) as sessions from events group by 1), q as (select *, case when path = '' then '/' else path end as p from pf),
+m as (select case page_id % 3 when 0 then regexp_replace(path, '/$', '') || '/' when 1 then upper(path) else path end as path, sessions from pf join e using (page_id)),
+exact as (select path, max(sessions) as sessions from m group by 1), folded as (select lower(path) as path, max(sessions) as sessions from exact group by 1),
+v as (select url, crawl_id, unnest([[p, '0'], [case when p = '/' then null when p like '%/' then regexp_replace(p, '/$', '') else p || '/' end, '1'], [case when regexp_matches(p, '(?i)/(index|default)\\.(html?|php|aspx?)$') then regexp_replace(p, '[^/]*$', '') end, '2']]) as t from q),
+h as (select v.url, t[2]::int * 2 as rank, x.sessions from v join exact x on x.path = t[1] union all select v.url, t[2]::int * 2 + 1, x.sessions from v join folded x on x.path = lower(t[1])),
+b as (select url, arg_min(sessions, rank) as sessions from h group by 1)
+select pf.url, b.sessions from pf left join b on b.url = pf.url"""
+)
 def ga4_metrics(spark, sf_dir):
     """Sessions by path, with a slash too many or in other letters, matched to pages."""
     pages = crawled(spark, sf_dir)
@@ -822,5 +830,5 @@ def stream_filtered(spark, sf_dir):
     return kept.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
 
 
-QUERIES |= derived_checks.QUERIES
-SQL |= derived_checks.SQL
+QUERIES |= derived_checks.QUERIES | derived_sites.QUERIES
+SQL |= derived_checks.SQL | derived_sites.SQL
