@@ -209,7 +209,7 @@ def serp_rows(spark, sf_dir):
 )
 def readability(spark, sf_dir):
     """Flesch reading ease of documents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("words"), X.flesch(F.col("text")).alias("readability"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.flesch(F.col("text")).alias("readability"))
     return rows.where("words > 0")
 
 
