@@ -157,11 +157,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = open_keys.select("k", *side("y"), (F.col("part") == F.col("main")).alias("in_main"))
     met = rest.join(other, "k").where((F.col("p_x") != F.col("p_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _possible("x", "y", similarity))
     more = _pairs(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    all_links = found.unionByName(_checked(written(more), classes, base, similarity, n_words))
-    members = connected_components(all_links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    roots = members.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("least"))
-    moved = members.join(roots, "root").select("cls", "least")
-    labels = written(classes.select("cls", "rep").join(moved, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id")))
+    extra = _checked(written(more), classes, base, similarity, n_words)
+    part_of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p_{x}"))
+    between = extra.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select(F.coalesce("p_a", "a").alias("a"), F.coalesce("p_b", "b").alias("b"))
+    joined = connected_components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    named = classes.select("cls", "rep").join(part_of("cls"), "cls", "left").withColumn("part", F.coalesce("p_cls", "cls"))
+    named = written(named.join(joined, "part", "left").select("cls", "rep", F.coalesce("whole", "part").alias("root")))
+    labels = written(named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id"))
     return rows.select("id", "cls").join(labels, "cls").select(F.col("id").alias(id_col), "component_id")
 
 
