@@ -52,9 +52,9 @@ def unlabelled(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     total = rows.count()
     if total > 2 * max_rows:
         bound = int((1 << 30) * 2 * max_rows / total)
-        few = _one_text(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound))
+        few = written(_one_text(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)))
         if few.count() >= max_rows:
-            return few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(max_rows)
+            return few.join(F.broadcast(_first(few.select("doc_id"), max_rows)), "doc_id")
     ids = _first(rows.select("doc_id").distinct(), max_rows)
     return _one_text(rows.join(F.broadcast(ids), "doc_id"))
 
