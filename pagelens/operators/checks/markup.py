@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import functions as F
 
+from pagelens.functions import text as X
 from pagelens.functions import urls as U
 
 from .registry import check
@@ -46,13 +47,13 @@ def _gaps(table: dict[str, list[str]]):
     """Type and property of what the objects of known types lack."""
     pairs = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(p).alias("property")) for t, ps in table.items() for p in ps])
 
+    def missing(o):
+        known = lambda g: (o["kind"] == g["type"]) | o["kind"].contains(F.concat(F.lit('"'), g["type"], F.lit('"')))
+        return F.filter(pairs, lambda g: known(g) & F.coalesce(o["fields"][g["property"]], F.lit("")).isin("", "[]", "{}"))
+
     def of(b):
-        kind = F.get_json_object(b, "$.@type")
-        return F.filter(
-            pairs,
-            lambda g: ((kind == g["type"]) | kind.contains(F.concat(F.lit('"'), g["type"], F.lit('"'))))
-            & F.coalesce(F.from_json(b, "map<string,string>")[g["property"]], F.lit("")).isin("", "[]", "{}"),
-        )
+        """The object is parsed once, not once for each pair."""
+        return X.let(F.struct(F.get_json_object(b, "$.@type").alias("kind"), F.from_json(b, "map<string,string>").alias("fields")), missing)
 
     return F.flatten(F.transform(_objects(), of))
 

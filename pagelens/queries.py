@@ -148,12 +148,12 @@ def page_links(spark, sf_dir):
 
 @query(
     """select url, unnest(['utm', 'bold', 'paragraphs']) as name,
-  unnest([regexp_extract_all(html, 'utm_[a-z]+', 0)::varchar[], regexp_extract_all(html, '<b>([^<]{0,20})', 1), [len(regexp_extract_all(html, '<p>'))::varchar]]) as "values" from pages"""
+  unnest([regexp_extract_all(html, 'utm_[a-z]+', 0)::varchar[], regexp_extract_all(html, '<b>([^<]*)', 1), [len(regexp_extract_all(html, '<p>'))::varchar]]) as "values" from pages"""
 )
 def custom_extraction(spark, sf_dir):
     """User patterns and counters over the HTML."""
     rows = table(spark, sf_dir, "pages").withColumn("crawl_id", F.lit(""))
-    return regex_extractors(rows, {"utm": "utm_[a-z]+", "bold": "<b>([^<]{0,20})"}, {"paragraphs": "<p>"}).select("url", "name", "values")
+    return regex_extractors(rows, {"utm": "utm_[a-z]+", "bold": "<b>([^<]*)"}, {"paragraphs": "<p>"}).select("url", "name", "values")
 
 
 # ---- expressions
@@ -609,7 +609,7 @@ def scaled_findings(spark, sf_dir):
 )
 def issue_list(spark, sf_dir):
     """Issues with pages, severity, category and impact."""
-    rows = rollups.issues(_final(spark, sf_dir)[1])
+    rows = rollups.issue_counts(_final(spark, sf_dir)[1])
     return rollups.by_impact(rows).select("crawl_id", "check_id", "severity", "n_pages", "category", F.col("impact").cast("long").alias("impact"))
 
 
@@ -631,7 +631,7 @@ select crawl_id, 'severity' as kind, severity as name, count(*) as n from s grou
 )
 def severity_tallies(spark, sf_dir):
     """Issues by severity."""
-    return rollups.tallies(rollups.issues(_final(spark, sf_dir)[1])).where("kind = 'severity'")
+    return rollups.tallies(rollups.issue_counts(_final(spark, sf_dir)[1])).where("kind = 'severity'")
 
 
 @query(f"""with {PF}, {EDGES}, {FOUND} select f.crawl_id, f.check_id, f.url, p.status, p.indexable from final f join pf p on p.crawl_id = f.crawl_id and p.url = f.url""")
