@@ -16,8 +16,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words of one generation of the cache, and the longest that are kept: about 250 MB for a Python worker's two generations.
-CACHE_WORDS = 300_000
+#: Words of one generation of the cache, and the longest that are kept: about 130 MB for a Python worker's two generations.
+CACHE_WORDS = 160_000
 CACHE_LETTERS = 40
 _END = "\x01"
 _UNUSED = 60_000
