@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, html_text, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity
+from . import audio, backoff, html_text, mixing, near_dedup, neighbours, packing, phrases, pii, quality, runs, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, labels))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    spans = F.col("spans")
+    counts = [F.size(pii.of_kinds(spans, (kind,))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.of_kinds(spans, pii.BASE)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words belong together most."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, every tenth of which is made to end in repetitions."""
+    found = runs.find_runs(runs.periodic_tails(_table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    most = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = found.withColumn("best", most)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        (-F.col("best.shorter")).alias("length"),
+        "best.period",
+        F.floor(-1000 * F.col("best.shorter") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +118,9 @@ QUERIES = {
         op8_neighbours,
         op9_backoff_scores,
         op10_toxicity,
+        op11_pii,
+        op12_phrases,
+        op13_runs,
     )
 }
 
@@ -121,5 +155,35 @@ with sized as (
 select s.doc_id, s.size, r.source_size, r.target,
   (floor(r.rate) + (s.u[c.seed + 1] < r.rate - floor(r.rate))::int)::bigint * s.size as taken
 from sized s join rated r on s.source is not distinct from r.source join chosen c on s.source is not distinct from c.source
+""",
+    "op12_phrases": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), worded as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from worded, range(1, 4) t(k)
+), counts as (
+  select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 10
+), sizes as (
+  select lang, count(*) as n from grams where k = 1 group by lang
+), several as (
+  select lang, k, phrase, string_split(phrase, ' ') as w, f as a from counts where k > 1
+), inside as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from several where k = 3
+  ) group by lang, phrase
+), cuts as (
+  select s.lang, s.phrase, s.a, c.cut, array_to_string(s.w[1:c.cut], ' ') as head, array_to_string(s.w[c.cut + 1:], ' ') as rest
+  from several s left join inside i using (lang, phrase), range(1, 3) c(cut)
+  where c.cut < s.k and not coalesce(100 * i.longer >= 50 * s.a, false)
+), scored as (
+  select c.lang, c.phrase, c.a, l.f as l, r.f as r, c.cut, (1000000::hugeint * c.a * c.a // (l.f::hugeint * r.f))::bigint as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.head join counts r on r.lang = c.lang and r.phrase = c.rest
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest join sizes using (lang) qualify rank <= 2000
 """,
 }
