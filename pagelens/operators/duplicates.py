@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as X
 from pagelens.plans.storage import settle
 
+from .clusters import connected_components
+
 PERMUTATIONS = 128
 #: Fixed value: addresses of later pages of a series.
 PAGINATED = r"(?i)(?:[?&](?:page|paged|pg)=\d+|/page/\d+/?$)"
@@ -46,25 +48,46 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
     return minima.select("id", F.array(*[f"m{k}" for k in range(permutations)]).alias("signature"))
 
 
+def _texts(rows: DataFrame, id_col: str, text_col: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text as (by.., id, h) and its classes of equal texts as (by.., h, id, text), with the smallest id."""
+    base = rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    named = base.withColumn("h", F.md5("text"))
+    return named.drop("text"), named.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+
+
+def _shingle_set(text: Column) -> Column:
+    """The text's shingles as distinct 64-bit hashes."""
+    return F.array_distinct(F.transform(X.shingles(text), lambda s: F.xxhash64(s)))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float | None) -> DataFrame:
+    """pairs(a, b) with the Jaccard similarity of their sets(id, x); with a threshold only those that reach it."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+    if threshold is not None:
+        both = both.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(threshold - 1e-9))
+    shared = X.let(F.size(F.array_intersect("x", "y")), lambda n: n / (F.size("x") + F.size("y") - n))
+    found = both.select("a", "b", F.coalesce(shared, F.lit(0.0)).alias("similarity"))
+    return found if threshold is None else found.where(F.col("similarity") >= threshold)
+
+
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, similarity) with a < b: texts whose shingle similarity reaches the threshold, all of them.
 
     Equal texts are tied to the smallest id with similarity 1, so copies cost a pair each. Of distinct
     texts the rarest shingles are the join key: two sets of similarity t share one of the first
     (1 - t) n + 1 elements of each in any common order, and in that of frequency few other texts share
-    them, whatever passages are common. With by, only rows equal in these columns are paired. Lengths are compared in the join, shingle sets after it.
+    them, whatever passages are common. With by, only rows equal in these columns are paired. Lengths are
+    compared in the join, shingle sets after it. All pairs of a group of n similar texts come out, n (n - 1) / 2
+    of them; near_duplicate_clusters gives a row a text instead.
     """
-    base = rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    named = base.withColumn("h", F.md5("text"))
-    first = named.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    copies = named.select(*by, "id", "h").join(named.groupBy(*by, "h").agg(F.min("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    hashed = first.select(*by, "id", F.explode(F.transform(X.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s"))
-    hashed = hashed.distinct()
+    named, first = _texts(rows, id_col, text_col, by)
+    copies = named.join(first.select(*by, "h", F.col("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    sets = settle(first.select(*by, "id", _shingle_set(F.col("text")).alias("x")))
+    hashed = sets.select(*by, "id", F.size("x").alias("n"), F.explode("x").alias("s"))
     counts = hashed.groupBy("s").agg(F.count("*").alias("df"))
-    sets = settle(hashed.join(counts, "s").groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")))
-    n = F.size("x")
-    rare = F.slice("x", F.lit(1), (F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int"))
-    keys = sets.select(*by, "id", n.alias("n"), F.explode(rare).alias("k")).where("k.df > 1").select(*by, "id", "n", F.col("k.s").alias("s"))
+    ordered = hashed.join(counts, "s").groupBy("id", *by, "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    rare = F.slice("o", F.lit(1), (F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int"))
+    keys = settle(ordered.select(*by, "id", "n", F.explode(rare).alias("k")).where("k.df > 1").select(*by, "id", "n", F.col("k.s").alias("s")))
     left = keys.select(*by, F.col("id").alias("a"), F.col("n").alias("n_a"), "s")
     right = keys.select(*by, F.col("id").alias("b"), F.col("n").alias("n_b"), "s")
     candidates = (
@@ -73,10 +96,115 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold:
         .select("a", "b")
         .distinct()
     )
-    both = candidates.join(sets.select(F.col("id").alias("a"), "x"), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    near = both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
-    return near.unionByName(copies)
+    return _similar(candidates, sets, threshold).unionByName(copies)
+
+
+#: Of pairs right at the threshold, so many at most share no band.
+MISS = 1e-5
+#: Buckets of texts that aren't linked yet are compared pair by pair up to this size; larger ones are banded again by further permutations.
+OPEN_BUCKET = 64
+_LEVELS = 4
+
+
+def bands_for(threshold: float, permutations: int = PERMUTATIONS, miss: float = MISS) -> tuple[int, int]:
+    """(bands, rows): the longest bands under which two sets at the threshold share one with a probability of 1 - miss."""
+    for rows in range(permutations, 0, -1):
+        if (1 - threshold**rows) ** (permutations // rows) <= miss:
+            return permutations // rows, rows
+    return permutations, 1
+
+
+def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
+    """Rows of sets(.., x, bucket) without x, once for each band, with the band's bucket: minima of seeded hashes of x, in Arrow batches.
+
+    A row's bucket goes into the new one, so that what was apart stays apart.
+    """
+    bands, rows = bands_for(threshold)
+    r = np.random.default_rng(level)
+    odd, salt = (r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    schema = sets.drop("x").schema
+
+    def stage(batches):
+        for batch in batches:
+            lists = batch.column("x")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            old = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
+            new = np.empty((batch.num_rows, bands), np.uint64)
+            for band in range(bands):
+                key = old + np.uint64(band)
+                for k in range(band * rows, (band + 1) * rows):
+                    low = np.minimum.reduceat((values ^ salt[k]) * odd[k], offsets[:-1]) if len(values) else key[:0]
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (low ^ (low >> np.uint64(32)))
+                new[:, band] = key
+            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+            out = {f.name: batch.column(f.name).take(at) for f in batch.schema if f.name not in ("x", "bucket")}
+            out["bucket"] = pa.array(new.reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([out[name] for name in schema.names], names=schema.names)
+
+    return sets.where(F.size("x") > 0).mapInArrow(stage, schema)
+
+
+def _cluster_links(sets: DataFrame, threshold: float, by: tuple[str, ...], open_bucket: int) -> DataFrame:
+    """(a, b) links of sets(by.., id, x): enough similar pairs that all texts which similar pairs connect are connected.
+
+    Of each bucket of a band first the smallest text is held against all others, so a bucket of one template costs a pair
+    a text. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of texts of
+    different clusters are compared; where that are many, the bucket is banded again first.
+    """
+    key = [*by, "bucket"]
+    rows = sets.withColumn("bucket", F.lit(0).cast("long"))
+    links = None
+    for level in range(_LEVELS):
+        keyed = settle(_band_keys(rows, threshold, level))
+        center = keyed.groupBy(*key).agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
+        stars = keyed.join(center, key).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        found = _similar(stars, sets, threshold).select("a", "b")
+        links = settle(found if links is None else links.unionByName(found))
+        clusters = settle(connected_components(links))
+        tagged = keyed.join(clusters.select(F.col("node").alias("id"), "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        several = tagged.groupBy(*key).agg(F.count("*").alias("members"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select(*key, "members")
+        unsettled = settle(tagged.join(several, key))
+        last = level == _LEVELS - 1
+        few = unsettled if last else unsettled.where(F.col("members") <= open_bucket)
+        left, right = (few.select(*key, F.col("id").alias(x), F.col("cluster").alias(f"of_{x}")) for x in ("a", "b"))
+        crossing = left.join(right, key).where("of_a < of_b").select("a", "b").distinct()
+        links = links.unionByName(_similar(crossing, sets, threshold).select("a", "b"))
+        many = unsettled.where(F.col("members") > open_bucket).select(*key, "id")
+        if last or many.isEmpty():
+            break
+        rows = many.join(sets.drop(*by), "id").select(*sets.columns, "bucket")
+    return links
+
+
+def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
+    """(by.., id, cluster, members, similarity) of rows whose text is like another one's: a row a text, whatever the size of a group.
+
+    Texts are linked if their shingle sets reach the threshold, which the sets decide; cluster is the smallest id that
+    links reach, members how many rows that are. similarity is that with the text of the cluster's smallest id (which a chain
+    of links may bring below the threshold), and for that row itself the largest of the others. Candidates come from
+    bands of MinHash values (bands_for: a pair at the threshold shares none with a probability of 1e-5). Equal texts are
+    one class and compared once. With by, only rows equal in these columns are linked. ids must be unique within by; null and
+    empty texts are left out; an empty table gives no rows.
+    """
+    named, first = _texts(rows, id_col, text_col, by)
+    node = F.struct(*by, "id") if by else F.col("id")
+    sets = settle(first.select(*by, "h", node.alias("id"), _shingle_set(F.col("text")).alias("x")))
+    found = connected_components(_cluster_links(sets.drop("h"), threshold, by, open_bucket))
+    classes = sets.select(*by, "h", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    apart = classes.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+    like = _similar(apart, sets, None).select(F.col("b").alias("id"), "similarity")
+    classes = settle(classes.join(like, "id", "left"))
+    members = named.join(classes.select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity"), [*by, "h"])
+    members = settle(members.select(*by, node.alias("id"), "rep", "cluster", "similarity"))
+    sizes = members.groupBy("cluster").agg(
+        F.count("*").alias("members"),
+        F.max(F.when(F.col("id") != F.col("cluster"), F.when(F.col("rep") == F.col("cluster"), 1.0).otherwise(F.col("similarity")))).alias("largest"),
+    )
+    own = F.when(F.col("id") == F.col("cluster"), F.col("largest")).when(F.col("rep") == F.col("cluster"), 1.0).otherwise(F.col("similarity"))
+    out = members.join(sizes.where("members > 1"), "cluster")
+    plain = (lambda c: F.col(c)["id"]) if by else F.col
+    return out.select(*by, plain("id").alias("id"), plain("cluster").alias("cluster"), "members", own.alias("similarity"))
 
 
 def near_dup_label(signature: Column) -> Column:

@@ -72,11 +72,9 @@ def duplicate_checks(pages: DataFrame, near_threshold: float = 0.9, skip_paginat
     body = pages if not skip_paginated else pages.where(~D.is_paginated(F.col("url"), F.col("prev_url"), F.col("next_url")))
     both = pages.where("title is not null and size(h1) > 0")
     same = both.groupBy("crawl_id").agg(F.bool_and(F.trim("title") == F.trim(F.get("h1", 0))).alias("same")).where("same")
-    near = []
-    for_near = body.where("main_text <> ''").select("crawl_id", "url", "main_text", F.struct("crawl_id", "url").alias("key"))
-    pairs = D.near_duplicate_pairs(for_near, "key", "main_text", near_threshold, by=("crawl_id",))
-    near = pairs.select(F.explode(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))).alias("p"))
-    near = near.groupBy("p.a").agg(F.count("*").alias("near"), F.max("p.similarity").alias("similarity")).select("a.crawl_id", "a.url", "near", "similarity")
+    for_near = body.where("main_text <> ''").select("crawl_id", "url", "main_text")
+    clusters = D.near_duplicate_clusters(for_near, "url", "main_text", near_threshold, by=("crawl_id",))
+    near = clusters.select("crawl_id", F.col("id").alias("url"), (F.col("members") - 1).alias("near"), "cluster", "similarity")
     wp_query = r"(?:^|&)(p|page_id|attachment_id)=\d+"
     return union(
         shared(good, title, "D02"),
@@ -84,7 +82,7 @@ def duplicate_checks(pages: DataFrame, near_threshold: float = 0.9, skip_paginat
         shared(good, h1, "D14"),
         finding(both.join(same, "crawl_id", "left_semi"), "D06"),
         shared(body, F.nullif(F.col("content_hash"), F.md5(F.lit(""))), "E01"),
-        finding(near, "E02", F.struct("near", "similarity")),
+        finding(near, "E02", F.struct("near", "cluster", "similarity")),
         finding(pages.where(U.path(F.col("url")).endswith("/index.php") | U.query(F.col("url")).rlike(wp_query)), "E03"),
         shared(good, F.when(title.isNotNull() & desc.isNotNull(), F.concat_ws("|", title, desc)), "E05"),
         shared(good, F.when(title.isNotNull() & h1.isNotNull(), F.concat_ws("|", title, h1)), "E06"),

@@ -418,6 +418,27 @@ def near_duplicates_by_crawl(spark, sf_dir):
     return pairs.select(F.col("a.crawl_id").alias("crawl_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
+@query(
+    f"""with recursive {_TWO_SITES}, r as (select crawl_id, text, min(doc_id) as id from d where text <> '' group by all),
+w as (select crawl_id, id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from r),
+s as (select crawl_id, id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+u as (select crawl_id, id, unnest(s) as g from s),
+pairs as (select a.crawl_id, a.id as a, b.id as b, count(*) as n from u a join u b on a.crawl_id = b.crawl_id and a.g = b.g and a.id < b.id group by all),
+near as materialized (select p.crawl_id, p.a, p.b, p.n::double / (len(x.s) + len(y.s) - p.n) as similarity from pairs p join s x on x.id = p.a and x.crawl_id = p.crawl_id join s y on y.id = p.b and y.crawl_id = p.crawl_id),
+linked as (select crawl_id, a, b from near where similarity >= 0.9 union all select crawl_id, b, a from near where similarity >= 0.9),
+reach as (select crawl_id, id as a, id as b from r union select x.crawl_id, x.a, l.b from reach x join linked l on l.crawl_id = x.crawl_id and l.a = x.b),
+classes as (select crawl_id, a as rep, min(b) as cluster from reach group by all),
+members as (select d.crawl_id, d.doc_id as id, c.rep, c.cluster from d join r on d.text = r.text and d.crawl_id = r.crawl_id join classes c on c.crawl_id = r.crawl_id and c.rep = r.id),
+alike as (select m.*, case when m.rep = m.cluster then 1.0 else coalesce(n.similarity, 0.0) end as x from members m left join near n on n.crawl_id = m.crawl_id and n.a = m.cluster and n.b = m.rep),
+sized as (select crawl_id, cluster, count(*) as members, max(case when id <> cluster then x end) as largest from alike group by all)
+select a.crawl_id, a.id, a.cluster, z.members, round_even(case when a.id = a.cluster then z.largest else a.x end, 9) as similarity from alike a join sized z on z.crawl_id = a.crawl_id and z.cluster = a.cluster where z.members > 1"""
+)
+def near_duplicate_clusters(spark, sf_dir):
+    """Clusters of near-duplicates of each of two crawls: their smallest member, size and similarity, a row a document."""
+    found = duplicates.near_duplicate_clusters(_two_sites(spark, sf_dir), "doc_id", "text", 0.9, by=("crawl_id",))
+    return found.withColumn("similarity", F.bround("similarity", 9))
+
+
 @query(
     f"""with {_TWO_SITES} select crawl_id, md5(text) as key_value, doc_id::varchar as url, min(doc_id::varchar) over (partition by crawl_id, text) as representative from d where text <> '' qualify count(*) over (partition by crawl_id, text) > 1"""
 )
