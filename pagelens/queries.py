@@ -828,17 +828,9 @@ def agentic_scores(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Runs a query over events as a stream until all is read, into a table in the shared folder."""
-    import uuid
-
-    from pagelens.plans.storage import settle as _settle
-
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        _settle(spark.range(0))
-        folder = spark.sparkContext.getCheckpointDir()
-    base = f"{folder}/pagelens/{uuid.uuid4().hex}"
+    base = _shared_base(spark)
     out = build(stream)
     out.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}-state").option("path", base).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(base)
@@ -851,5 +843,91 @@ def stream_filtered(spark, sf_dir):
     return kept.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
 
 
+def _shared_base(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        settle(spark.range(0))
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder}/pagelens/{uuid.uuid4().hex}"
+
+
+_STEPS = 3
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], step: str) -> DataFrame:
+    """What a stream writes while rows arrive in _STEPS lots, of the remainder in column step; it is stopped after each lot and goes on from its checkpoint.
+
+    Rows are written as they come out, by batch, so that also what is updated can be kept in files.
+    """
+    base = _shared_base(spark)
+
+    def keep(out: DataFrame, number: int) -> None:
+        out.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    kind = rows.drop(step).schema
+    for k in range(_STEPS):
+        rows.where(F.col(step) == k).drop(step).write.mode("append").parquet(f"{base}/in")
+        out = build(spark.readStream.schema(kind).parquet(f"{base}/in"))
+        mode = "append" if "previous_ts" in out.columns else "update"
+        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema(out.schema).parquet(f"{base}/out")
+
+
+_STATUS = {"error": 500, "signup": 404, "purchase": 301}
+_STATUS_SQL = "(case event_type " + " ".join(f"when '{k}' then {v}" for k, v in _STATUS.items()) + " else 200 end)"
+
+
+def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as fetches that arrive out of order."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", 500).when(kind == "signup", 404).when(kind == "purchase", 301).otherwise(200)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), (F.col("event_id") % _STEPS).alias("step"))
+
+
+@query(
+    f"""with v as (select (user_id % 3)::varchar as crawl_id, '/' || user_id as url, ts, event_id, {_STATUS_SQL} as status, event_id % {_STEPS} as step from events),
+running as (select *, max((ts, event_id)) over (partition by crawl_id, url order by step, ts, event_id rows between unbounded preceding and 1 preceding) as before from v),
+accepted as (select *, lag(status) over (partition by crawl_id, url order by ts, event_id) as last_status from running where before is null or (ts, event_id) > before)
+select crawl_id, url, epoch_us(max(ts)) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(status, (ts, event_id)) as status, count(*) as versions, count(*) filter (where status <> last_status) as changes from accepted group by all"""
+)
+def stream_latest_versions(spark, sf_dir):
+    """The latest version of every address of a stream that arrives out of order and is stopped twice, with its versions and changes of status."""
+    from datetime import timedelta
+
+    from pagelens.streaming import state
+
+    rows = _fetches(spark, sf_dir).select((F.col("user_id") % 3).cast("string").alias("crawl_id"), F.concat(F.lit("/"), "user_id").alias("url"), "ts", "event_id", "status", "step")
+    versions = _arriving(spark, rows, lambda s: state.latest_versions(s, ("status",), then=("event_id",), late="3650 days", keep=timedelta(days=3650)), "step")
+    newest = state.latest_of(versions, "event_id").drop("previous_ts", "changed").withColumn("ts", F.unix_micros("ts"))
+    counts = versions.groupBy("crawl_id", "url").agg(F.count("*").alias("versions"), F.count_if(F.array_contains("changed", "status")).alias("changes"))
+    return newest.join(counts, ["crawl_id", "url"])
+
+
+_HASH52 = "('0x' || substr(md5({0}), 1, 13))::bigint"
+
+
+@query(
+    f"""with f as (select (user_id % 3)::varchar as crawl_id, '/' || event_id as url, ts, {_STATUS_SQL} as status, ['/' || (event_id * 3), '/' || (event_id * 7 + 1), '/' || (event_id // 2)] as links from events),
+h as (select distinct crawl_id, {_HASH52.format("u")} as h from (select crawl_id, url as u from f union all select crawl_id, unnest(links) from f)),
+k as (select crawl_id, h, row_number() over (partition by crawl_id order by h) as n from h),
+d as (select crawl_id, case when max(n) < 1024 then max(n) else floor({1023 * 2**52}.0::double / max(h) filter (where n = 1024)) end::bigint as discovered from k group by crawl_id),
+c as (select crawl_id, count(*) as crawled, count(*) filter (where status = 200) as n_2xx, count(*) filter (where status = 301) as n_3xx, count(*) filter (where status = 404) as n_4xx, count(*) filter (where status = 500) as n_5xx, 0::bigint as n_other from f group by crawl_id),
+l as (select crawl_id, string_agg(url, ' ' order by n) as last from (select crawl_id, url, row_number() over (partition by crawl_id order by ts desc, url) as n from f) where n <= 40 group by crawl_id)
+select crawl_id, crawled, discovered, greatest(discovered - crawled, 0) as queue, n_2xx, n_3xx, n_4xx, n_5xx, n_other, last from c join d using (crawl_id) join l using (crawl_id)"""
+)
+def stream_live_progress(spark, sf_dir):
+    """Progress of three crawls from a stream that is stopped twice: pages fetched, addresses found, queue, status bands, the last forty pages."""
+    from pagelens.streaming import state
+
+    i = F.col("event_id")
+    links = F.transform(F.array(i * 3, i * 7 + 1, F.floor(i / 2)), lambda k: F.concat(F.lit("/"), k.cast("string")))
+    rows = _fetches(spark, sf_dir).select((F.col("user_id") % 3).cast("string").alias("crawl_id"), F.concat(F.lit("/"), "event_id").alias("url"), "ts", "status", links.alias("links"), "step")
+    view = state.progress_view(_arriving(spark, rows, state.live_progress, "step"))
+    return view.withColumn("last", F.array_join(F.transform("last", lambda p: p["url"]), " "))
+
+
 QUERIES |= derived_checks.QUERIES | derived_sites.QUERIES
 SQL |= derived_checks.SQL | derived_sites.SQL
