@@ -30,8 +30,8 @@ LONGEST_CODED = 64
 LEAST_HOT_SHARE = 2e-5
 #: Partitions of pointers up to this size are sorted at once.
 SMALL = 4096
-#: Groups of a language that its best phrases are first looked for in.
-_SALT = 16
+#: Groups of a language that its best phrases are looked for in, one after the other.
+_GROUPS = (64, 4)
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TO_SIGNS = bytes.maketrans(_SEPARATORS + b"\t", b"." * len(_SEPARATORS) + b" ")
 _BITS = np.uint64(21)
@@ -366,7 +366,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     )
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    some = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(_SALT)))
-    few = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
+    few = scored
+    for groups in _GROUPS:
+        few = few.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+        few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
     best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
