@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as X
+from pagelens.functions.filters import possible
 from pagelens.plans.storage import settle
 
 from .clusters import connected_components
@@ -115,50 +118,53 @@ def bands_for(threshold: float, permutations: int = PERMUTATIONS, miss: float =
 
 
 def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
-    """Rows of sets(.., x, bucket) without x, once for each band, with the band's bucket: minima of seeded hashes of x, in Arrow batches.
+    """sets(.., x, bucket) with the column keys, the bucket of each band, in place of x and bucket: from minima of seeded hashes of x, in Arrow batches.
 
-    A row's bucket goes into the new one, so that what was apart stays apart.
+    A row's bucket goes into its keys, so that what was apart stays apart. A row without elements has no keys.
     """
     bands, rows = bands_for(threshold)
     r = np.random.default_rng(level)
     odd, salt = (r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-    schema = sets.drop("x").schema
+    kept = [c for c in sets.columns if c not in ("x", "bucket")]
 
     def stage(batches):
         for batch in batches:
             lists = batch.column("x")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
             values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            old = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-            new = np.empty((batch.num_rows, bands), np.uint64)
+            some = sizes > 0
+            first = np.cumsum(sizes)[some] - sizes[some]
+            old = batch.column("bucket").to_numpy(zero_copy_only=False)[some].view(np.uint64)
+            new = np.empty((int(some.sum()), bands), np.uint64)
             for band in range(bands):
                 key = old + np.uint64(band)
                 for k in range(band * rows, (band + 1) * rows):
-                    low = np.minimum.reduceat((values ^ salt[k]) * odd[k], offsets[:-1]) if len(values) else key[:0]
+                    low = np.minimum.reduceat((values ^ salt[k]) * odd[k], first) if len(first) else key
                     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (low ^ (low >> np.uint64(32)))
                 new[:, band] = key
-            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-            out = {f.name: batch.column(f.name).take(at) for f in batch.schema if f.name not in ("x", "bucket")}
-            out["bucket"] = pa.array(new.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([out[name] for name in schema.names], names=schema.names)
+            ends = np.concatenate([[0], np.cumsum(some) * bands])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(new.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), keys], names=[*kept, "keys"])
 
-    return sets.where(F.size("x") > 0).mapInArrow(stage, schema)
+    schema = sets.select(*kept, F.array(F.lit(0).cast("long")).alias("keys")).schema
+    return sets.mapInArrow(stage, schema)
 
 
-def _cluster_links(sets: DataFrame, threshold: float, by: tuple[str, ...], open_bucket: int) -> DataFrame:
-    """(a, b) links of sets(by.., id, x): enough similar pairs that all texts which similar pairs connect are connected.
+def _cluster_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, by: tuple[str, ...], open_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links, the sets that were compared) of keyed(by.., id, bucket): enough similar pairs that all texts which similar pairs connect are connected.
 
     Of each bucket of a band first the smallest text is held against all others, so a bucket of one template costs a pair
     a text. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of texts of
-    different clusters are compared; where that are many, the bucket is banded again first.
+    different clusters are compared; where that are many, the bucket is banded again first. sets_of gives the sets of
+    the texts that share a bucket; those of all others are never gathered.
     """
     key = [*by, "bucket"]
-    rows = sets.withColumn("bucket", F.lit(0).cast("long"))
-    links = None
+    links = sets = None
     for level in range(_LEVELS):
-        keyed = settle(_band_keys(rows, threshold, level))
         center = keyed.groupBy(*key).agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-        stars = keyed.join(center, key).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        stars = settle(keyed.join(center, key).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+        if sets is None:
+            sets = settle(sets_of(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         found = _similar(stars, sets, threshold).select("a", "b")
         links = settle(found if links is None else links.unionByName(found))
         clusters = settle(connected_components(links))
@@ -173,8 +179,8 @@ def _cluster_links(sets: DataFrame, threshold: float, by: tuple[str, ...], open_
         many = unsettled.where(F.col("members") > open_bucket).select(*key, "id")
         if last or many.isEmpty():
             break
-        rows = many.join(sets.drop(*by), "id").select(*sets.columns, "bucket")
-    return links
+        keyed = settle(_band_keys(many.join(sets, "id"), threshold, level + 1).select(*by, "id", F.explode("keys").alias("bucket")))
+    return links, sets
 
 
 def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
@@ -186,17 +192,26 @@ def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, thresho
     bands of MinHash values (bands_for: a pair at the threshold shares none with a probability of 1e-5). Equal texts are
     one class and compared once. With by, only rows equal in these columns are linked. ids must be unique within by; null and
     empty texts are left out; an empty table gives no rows.
+
+    Texts are read twice, once for their bands, once for the sets of those that share a bucket, and never shuffled.
     """
-    named, first = _texts(rows, id_col, text_col, by)
-    node = F.struct(*by, "id") if by else F.col("id")
-    sets = settle(first.select(*by, "h", node.alias("id"), _shingle_set(F.col("text")).alias("x")))
-    found = connected_components(_cluster_links(sets.drop("h"), threshold, by, open_bucket))
-    classes = sets.select(*by, "h", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    apart = classes.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+    node = F.struct(*by, F.col(id_col).alias("id")) if by else F.col(id_col)
+    base = rows.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(*by, node.alias("id"), F.col(text_col).alias("text"))
+    shingled = base.select(*by, "id", F.md5("text").alias("h"), F.lit(0).cast("long").alias("bucket"), _shingle_set(F.col("text")).alias("x"))
+    signed = settle(_band_keys(shingled, threshold, 0))
+    classes = settle(signed.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
+    keyed = classes.select(*by, "id", F.explode("keys").alias("bucket"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return possible(base, wanted, "id").select("id", _shingle_set(F.col("text")).alias("x")).join(wanted, "id", "left_semi")
+
+    links, sets = _cluster_links(keyed, sets_of, threshold, by, open_bucket)
+    found = connected_components(links)
+    labelled = classes.drop("keys").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    apart = labelled.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
     like = _similar(apart, sets, None).select(F.col("b").alias("id"), "similarity")
-    classes = settle(classes.join(like, "id", "left"))
-    members = named.join(classes.select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity"), [*by, "h"])
-    members = settle(members.select(*by, node.alias("id"), "rep", "cluster", "similarity"))
+    labelled = labelled.join(like, "id", "left").select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity")
+    members = settle(signed.drop("keys").join(labelled, [*by, "h"]).drop("h"))
     sizes = members.groupBy("cluster").agg(
         F.count("*").alias("members"),
         F.max(F.when(F.col("id") != F.col("cluster"), F.when(F.col("rep") == F.col("cluster"), 1.0).otherwise(F.col("similarity")))).alias("largest"),
