@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as X
+from pagelens.functions import vectors as V
 from pagelens.functions.filters import possible
 from pagelens.plans.storage import settle
 
@@ -150,13 +152,21 @@ def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
     return sets.mapInArrow(stage, schema)
 
 
-def _cluster_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, by: tuple[str, ...], open_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b) links, the sets that were compared) of keyed(by.., id, bucket): enough similar pairs that all texts which similar pairs connect are connected.
-
-    Of each bucket of a band first the smallest text is held against all others, so a bucket of one template costs a pair
-    a text. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of texts of
-    different clusters are compared; where that are many, the bucket is banded again first. sets_of gives the sets of
-    the texts that share a bucket; those of all others are never gathered.
+def _cluster_links(
+    keyed: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    similar: Callable[[DataFrame, DataFrame], DataFrame],
+    band: Callable[[DataFrame, int], DataFrame],
+    by: tuple[str, ...],
+    open_bucket: int,
+) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links, the rows that were compared) of keyed(by.., id, bucket): enough similar pairs that all which similar pairs connect are connected.
+
+    Of each bucket of a band first the smallest id is held against all others, so a bucket of one template costs a pair
+    a member. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of members
+    of different clusters are compared; where that are many, the bucket is banded again first. sets_of gives the contents
+    of what shares a bucket; all other is never gathered. similar keeps pairs(a, b) that are similar by their contents,
+    band gives contents with a bucket the keys of a level.
     """
     key = [*by, "bucket"]
     links = sets = None
@@ -165,7 +175,7 @@ def _cluster_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         stars = settle(keyed.join(center, key).where("id <> a").select("a", F.col("id").alias("b")).distinct())
         if sets is None:
             sets = settle(sets_of(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        found = _similar(stars, sets, threshold).select("a", "b")
+        found = similar(stars, sets).select("a", "b")
         links = settle(found if links is None else links.unionByName(found))
         clusters = settle(connected_components(links))
         tagged = keyed.join(clusters.select(F.col("node").alias("id"), "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
@@ -175,11 +185,11 @@ def _cluster_links(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         few = unsettled if last else unsettled.where(F.col("members") <= open_bucket)
         left, right = (few.select(*key, F.col("id").alias(x), F.col("cluster").alias(f"of_{x}")) for x in ("a", "b"))
         crossing = left.join(right, key).where("of_a < of_b").select("a", "b").distinct()
-        links = links.unionByName(_similar(crossing, sets, threshold).select("a", "b"))
+        links = links.unionByName(similar(crossing, sets).select("a", "b"))
         many = unsettled.where(F.col("members") > open_bucket).select(*key, "id")
         if last or many.isEmpty():
             break
-        keyed = settle(_band_keys(many.join(sets, "id"), threshold, level + 1).select(*by, "id", F.explode("keys").alias("bucket")))
+        keyed = settle(band(many.join(sets, "id"), level + 1).select(*by, "id", F.explode("keys").alias("bucket")))
     return links, sets
 
 
@@ -205,13 +215,18 @@ def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, thresho
     def sets_of(wanted: DataFrame) -> DataFrame:
         return possible(base, wanted, "id").select("id", _shingle_set(F.col("text")).alias("x")).join(wanted, "id", "left_semi")
 
-    links, sets = _cluster_links(keyed, sets_of, threshold, by, open_bucket)
+    similar = lambda pairs, sets: _similar(pairs, sets, threshold)
+    links, sets = _cluster_links(keyed, sets_of, similar, lambda rows, level: _band_keys(rows, threshold, level), by, open_bucket)
+    return _members(signed.drop("keys"), classes.drop("keys"), links, lambda pairs: _similar(pairs, sets, None), by)
+
+
+def _members(rows: DataFrame, classes: DataFrame, links: DataFrame, like: Callable[[DataFrame], DataFrame], by: tuple[str, ...]) -> DataFrame:
+    """(by.., id, cluster, members, similarity) of rows(by.., id, h) whose class in classes(by.., h, id) is linked to another, or that share it; like gives pairs(a, b) their similarity."""
     found = connected_components(links)
-    labelled = classes.drop("keys").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    labelled = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     apart = labelled.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
-    like = _similar(apart, sets, None).select(F.col("b").alias("id"), "similarity")
-    labelled = labelled.join(like, "id", "left").select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity")
-    members = settle(signed.drop("keys").join(labelled, [*by, "h"]).drop("h"))
+    labelled = labelled.join(like(apart).select(F.col("b").alias("id"), "similarity"), "id", "left").select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity")
+    members = settle(rows.join(labelled, [*by, "h"]).drop("h"))
     sizes = members.groupBy("cluster").agg(
         F.count("*").alias("members"),
         F.max(F.when(F.col("id") != F.col("cluster"), F.when(F.col("rep") == F.col("cluster"), 1.0).otherwise(F.col("similarity")))).alias("largest"),
@@ -291,6 +306,86 @@ def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold:
     return _blocks(vectors, id_col, vector_col, by, block).groupBy(*by, "d", "i", "j").applyInArrow(task, schema)
 
 
+#: Bands of hyperplanes a vector has at most, and how many pairs right at the threshold share none at most.
+_MOST_BANDS = 64
+_MISS_PLANES = 1e-4
+
+
+def planes_for(threshold: float, miss: float = _MISS_PLANES) -> tuple[int, int]:
+    """(bands, bits): the most bits of a band under which vectors at the threshold share one of at most 64 bands with a probability of 1 - miss."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    for bits in range(30, 0, -1):
+        share = same**bits
+        bands = 1 if share >= 1 - miss else math.ceil(math.log(miss) / math.log(1 - share)) if share > 0 else _MOST_BANDS + 1
+        if bands <= _MOST_BANDS:
+            return bands, bits
+    return _MOST_BANDS, 1
+
+
+def _plane_keys(vectors: DataFrame, threshold: float, level: int) -> DataFrame:
+    """vectors(.., v, bucket) with the column keys in place of v and bucket: of each band on which sides of random hyperplanes v lies, in Arrow batches."""
+    bands, bits = planes_for(threshold)
+    kept = [c for c in vectors.columns if c not in ("v", "bucket")]
+    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+
+    def stage(batches):
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes = batch.column("v").value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            old = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
+            new = np.empty((batch.num_rows, bands), np.uint64)
+            for d in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == d)
+                if d not in planes:
+                    planes[d] = np.random.default_rng([level, d]).standard_normal((d, bands * bits))
+                x = flat[starts[rows][:, None] + np.arange(d)]
+                side = (x @ planes[d] >= 0).reshape(len(rows), bands, bits)
+                key = (side * weights).sum(axis=2, dtype=np.uint64) << np.uint64(8) | np.arange(bands, dtype=np.uint64)
+                key = (key ^ old[rows][:, None]) * np.uint64(0x9E3779B97F4A7C15)
+                new[rows] = key ^ (key >> np.uint64(31))
+            ends = np.arange(batch.num_rows + 1) * bands
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(new.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), keys], names=[*kept, "keys"])
+
+    schema = vectors.select(*kept, F.array(F.lit(0).cast("long")).alias("keys")).schema
+    return vectors.mapInArrow(stage, schema)
+
+
+def semantic_clusters(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
+    """(by.., id, cluster, members, similarity) of vectors that are like another one: a row a vector, whatever the size of a group.
+
+    Vectors are linked if their cosine reaches the threshold, which the vectors decide; cluster, members and similarity
+    are those of near_duplicate_clusters. Candidates share a bucket of random hyperplanes (planes_for: a pair at the
+    threshold shares none with a probability of 1e-4, a nearer one with less). A vector goes under its keys, at most 64 of
+    them, however many vectors there are; only vectors that share a bucket are gathered. Equal vectors are one class. Vectors of
+    different sizes are not compared; null and empty ones, those of length 0 and those with null or non-finite components
+    are left out; ids must be unique within by; an empty table gives no rows. semantic_pairs gives all pairs instead.
+    """
+    node = F.struct(*by, F.col(id_col).alias("id")) if by else F.col(id_col)
+    base = vectors.select(*by, node.alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
+        (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    )
+    signed = settle(_plane_keys(base.select(*by, "id", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), " ")).alias("h"), "v", F.lit(0).cast("long").alias("bucket")), threshold, 0))
+    classes = settle(signed.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
+    keyed = classes.select(*by, "id", F.explode("keys").alias("bucket"))
+
+    def like(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        both = pairs.join(found.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
+        return both.where(F.size("x") == F.size("y")).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("similarity"))
+
+    links, compared = _cluster_links(
+        keyed,
+        lambda wanted: possible(base, wanted, "id").select("id", "v").join(wanted, "id", "left_semi"),
+        lambda pairs, found: like(pairs, found).where(F.col("similarity") >= threshold),
+        lambda rows, level: _plane_keys(rows, threshold, level),
+        by,
+        open_bucket,
+    )
+    return _members(signed.drop("keys"), classes.drop("keys"), links, lambda pairs: like(pairs, compared), by)
+
+
 def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.6, by: tuple[str, ...] = (), block: int = BLOCK_VECTORS) -> DataFrame:
     """(by.., id, max_similarity) of vectors whose nearest other one of the group is below the threshold; 0 where there is no other.
 

@@ -457,6 +457,33 @@ def semantic_pairs(spark, sf_dir):
     return rows.withColumn("similarity", F.bround("similarity", 9))
 
 
+def _with_likenesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, every third of them once more with each eighth component larger, and every sixth a third time, changed further."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    larger = lambda at, by: F.transform("e", lambda x, i: F.when(i % 8 == at, x * by).otherwise(x))
+    second = rows.where("vec_id % 3 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), larger(0, 1.75).alias("e"))
+    third = second.where("vec_id % 6 = 4").select((F.col("vec_id") + 10_000_000).alias("vec_id"), larger(3, 2.0).alias("e"))
+    return rows.unionByName(second).unionByName(third)
+
+
+@query(
+    """with recursive one as (select vec_id, embedding::double[] as e from embeddings),
+two as (select vec_id + 10000000 as vec_id, list_transform(e, lambda x, i: case when (i - 1) % 8 = 0 then x * 1.75 else x end) as e from one where vec_id % 3 = 0),
+v as materialized (select * from one union all select * from two union all select vec_id + 10000000, list_transform(e, lambda x, i: case when (i - 1) % 8 = 3 then x * 2.0 else x end) from two where vec_id % 6 = 4),
+cos as materialized (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.vec_id <> b.vec_id),
+linked as materialized (select a, b from cos where s >= 0.92),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join linked l on l.a = r.b),
+classes as (select a as id, min(b) as cluster from reach group by a),
+sized as (select cluster, count(*) as members from classes group by cluster having count(*) > 1)
+select c.id, c.cluster, z.members, round_even(case when c.id = c.cluster then (select max(s) from cos join classes o on o.id = cos.b where cos.a = c.id and o.cluster = c.cluster) else (select s from cos where cos.a = c.cluster and cos.b = c.id) end, 9) as similarity
+from classes c join sized z using (cluster)"""
+)
+def semantic_clusters(spark, sf_dir):
+    """Clusters of vectors with a cosine of 0.92 and more, a row a vector."""
+    found = duplicates.semantic_clusters(_with_likenesses(spark, sf_dir), "vec_id", "e", 0.92)
+    return found.withColumn("similarity", F.bround("similarity", 9))
+
+
 @query(
     """select v.vec_id as id, round_even(max(list_cosine_similarity(o.embedding::double[], v.embedding::double[])), 9) as max_similarity from embeddings v join embeddings o on o.vec_id <> v.vec_id group by v.vec_id having max(list_cosine_similarity(o.embedding::double[], v.embedding::double[])) < 0.4"""
 )

@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from pagelens.operators import duplicates as D
 from pagelens.operators.clusters import connected_components
 
@@ -81,7 +84,7 @@ def test_candidates_follow_the_number_of_texts(spark):
     rows = spark.range(300).selectExpr("id", "concat(array_join(transform(sequence(1, 60), i -> concat('word', i)), ' '), ' ', id) as t")
     sets = rows.select("id", D._shingle_set(rows.t).alias("x"))
     keyed = D._band_keys(sets.selectExpr("id", "x", "0L as bucket"), 0.9, 0).selectExpr("id", "explode(keys) as bucket")
-    links, _ = D._cluster_links(keyed, lambda wanted: sets.join(wanted, "id", "left_semi"), 0.9, (), 64)
+    links, _ = D._cluster_links(keyed, lambda wanted: sets.join(wanted, "id", "left_semi"), lambda pairs, own: D._similar(pairs, own, 0.9), lambda rows, level: D._band_keys(rows, 0.9, level), (), 64)
     bands, _ = D.bands_for(0.9)
     assert 299 <= links.count() <= 300 * bands
 
@@ -112,3 +115,42 @@ def test_components_of_chains_hubs_and_odd_links(spark):
     rows = got.collect()
     assert len(rows) == len({x.node for x in rows}) and {x.node: x.cluster for x in rows} == {k: root(k) for k in parent}
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_vectors_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    centers = r.standard_normal((25, 24))
+    rows = [(("one", "two")[k % 2], k, (centers[k % 25] * r.uniform(0.5, 2) + r.standard_normal(24) * r.choice([0.0, 0.1, 0.25, 0.3])).tolist()) for k in range(260)]
+    rows += [("one", 900, None), ("one", 901, []), ("one", 902, [0.0] * 24), ("one", 903, [float("nan")] * 24), ("one", 904, [None] * 24), ("two", 905, [1.0, 0.0]), ("two", 906, [1.0, 0.01]), ("one", 907, rows[0][2]), ("one", 908, rows[0][2])]
+    frame = spark.createDataFrame([(*x, "c", 1, "x", 2, "h", 3) for x in rows], "site string, id long, e array<double>, cluster string, members int, v string, bucket int, h string, d int")
+    good = {(s, i): np.array(v, float) for s, i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    keys = sorted(good)
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b))) if len(a) == len(b) else 0.0
+    parent = {k: k for k in keys}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            if a[0] == b[0] and cos(good[a], good[b]) >= 0.92:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    groups = {}
+    for k in keys:
+        groups.setdefault(root(k), []).append(k)
+    want = {}
+    for first, own in groups.items():
+        for k in own if len(own) > 1 else ():
+            want[k] = (first[1], len(own), round(max(cos(good[first], good[o]) for o in own if o != first) if k == first else cos(good[first], good[k]), 6))
+    got = D.semantic_clusters(frame, "id", "e", 0.92, by=("site",), open_bucket=2)
+    assert {(x.site, x.id): (x.cluster, x.members, round(x.similarity, 6)) for x in got.collect()} == want and len(want) > 100
+    assert D.semantic_clusters(frame.limit(0), "id", "e").count() == 0
+
+
+def test_planes_miss_little():
+    for threshold in (0.3, 0.6, 0.8, 0.92, 0.99, 1.0):
+        bands, bits = D.planes_for(threshold)
+        assert bands <= 64 and (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** bands <= 1e-4
