@@ -23,7 +23,7 @@ _IMAGE = (
     "struct<node_id:int,src:string,alt:string,width:int,height:int,loading:string,fetchpriority:string,decorative:boolean,srcset:array<string>>"
 )
 _ELEMENT = (
-    "struct<node_id:int,parent_id:int,tag:string,attrs:map<string,string>,text:string,in_head:boolean,"
+    "struct<node_id:int,parent_id:int,last_id:int,nth:int,siblings:int,tag:string,attrs:map<string,string>,text:string,in_head:boolean,"
     "ancestors:array<struct<tag:string,role:string,aria_hidden:boolean>>>"
 )
 _PARSED = ", ".join(

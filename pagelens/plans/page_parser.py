@@ -268,6 +268,14 @@ def parse_page(url: str, html: str) -> dict:
     roots = [e for e in nodes if e.parent is None]
     full = " ".join(s for e in roots if e.tag not in SILENT and (s := _spaced(e)))
     parents = {e.node: e for e in nodes}
+    # of each element: the last one below it, its place among the children of its parent, and how many these are
+    last_id, nth, children = {e.node: e.node for e in nodes}, {}, {}
+    for e in nodes:
+        up = e.parent.node if e.parent else None
+        nth[e.node] = children[up] = children.get(up, 0) + 1
+    for e in reversed(nodes):
+        if e.parent:
+            last_id[e.parent.node] = max(last_id[e.parent.node], last_id[e.node])
 
     def ancestors(e: _Element) -> list[dict]:
         out, up = [], e.parent
@@ -312,6 +320,9 @@ def parse_page(url: str, html: str) -> dict:
             {
                 "node_id": e.node,
                 "parent_id": e.parent.node if e.parent else None,
+                "last_id": last_id[e.node],
+                "nth": nth[e.node],
+                "siblings": children[e.parent.node if e.parent else None],
                 "tag": e.tag,
                 "attrs": e.attrs,
                 "text": _spaced(e) if e.tag not in ("html", "body", "head", "main", "article", "div", "section", "ul", "ol", "table", "tbody", "form", "nav") else "",

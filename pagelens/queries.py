@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelens import derived_checks, derived_sites
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
-from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, stack
+from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, selectors, stack
 from pagelens.operators import site_checks as S
 from pagelens.operators.checks import CHECKS, page_findings
 from pagelens.plans.extract import child, extract_pages, parsed_schema, regex_extractors, with_text_facts
@@ -367,6 +367,36 @@ def checks_slashes(spark, sf_dir):
     return found.select("check_id", "crawl_id", parsed["with_slash"].alias("with_slash"), parsed["without_slash"].alias("without_slash"))
 
 
+# ---- selectors
+
+@query(
+    """with p as (select page_id, url, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as art from pages),
+li as (select page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) as hrefs, art from p),
+v as (
+  select page_id, 'second' as name, hrefs[2:2] as vals from li
+  union all select page_id, 'odd', list_transform(list_filter(range(1, len(hrefs) + 1), lambda i: i % 2 = 1), lambda i: hrefs[i]) from li
+  union all select page_id, 'last', hrefs[len(hrefs):] from li
+  union all select page_id, 'after_nav', case when contains(html, 'class="ad"') then ['ad'] else [] end from p
+  union all select page_id, 'article_head', regexp_extract_all(art, '(?s)<h1[^>]*>(.*?)</h1>', 1) from p
+  union all select page_id, 'not_nav', [] from p)
+select page_id, name, len(vals) as n, case when name = 'article_head' then '' else array_to_string(vals, ' ') end as found from v where len(vals) > 0"""
+)
+def css_values(spark, sf_dir):
+    """What selectors with combinators find on every page."""
+    rules = {
+        "second": ("nav > ul > li:nth-child(2) > a", "href"),
+        "odd": ("body nav li:nth-child(odd) a[href]", "href"),
+        "last": ("nav li:last-child > a", "href"),
+        "after_nav": ("nav ~ div.ad", "class"),
+        "article_head": "article > h1, article div h1",
+        "not_nav": ("nav > a, ul > a, nav + nav a", "href"),
+    }
+    pages = table(spark, sf_dir, "pages").withColumn("crawl_id", F.col("page_id").cast("string"))
+    found = selectors.css_extractors(child(settle(extract_pages(pages).select("crawl_id", "url", "elements")), "elements"), rules)
+    values = F.when(F.col("name") == "article_head", "").otherwise(F.array_join("values", " "))
+    return found.select(F.col("crawl_id").cast("long").alias("page_id"), "name", F.size("values").cast("long").alias("n"), values.alias("found"))
+
+
 # ---- duplicates and similarity
 
 @query("""select doc_id, count(*) over (partition by md5(text)) as members from documents where text <> '' qualify members > 1""")
