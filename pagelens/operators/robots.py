@@ -63,24 +63,42 @@ def robots_rules(sites: DataFrame) -> DataFrame:
     )
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What an address must begin with to fit a rule's path pattern: the pattern up to its first *, without a closing $."""
+    return F.regexp_replace(F.split(pattern, r"\*")[0], r"\$$", "")
+
+
+def matching_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """(crawl_id, url, agent, allow, length): the rules of each request's group that fit its address, one row for each fit.
+
+    Rules are joined on the text that an address must begin with, so an address meets the few rules of its own
+    folder and not all of its file: it goes under its own beginnings of those lengths that the group's rules have, and only what
+    fits so far is held against the whole pattern. A hot site is spread by these beginnings, and its rules without any,
+    such as /*.pdf, meet its addresses in a join that Spark splits.
+    """
+    lead = rules.withColumns({"_group": F.col("agent"), "_lead": literal_prefix(F.col("pattern"))}).drop("agent").distinct()
+    groups = lead.groupBy("crawl_id", "_group").agg(F.collect_set(F.length("_lead")).alias("_lengths"))
+    asked = requests.select("crawl_id", "url", "agent").distinct().withColumn("_agent", F.lower("agent"))
+    own = groups.select("crawl_id", F.col("_group").alias("_agent"), F.col("_lengths").alias("_own"))
+    every = groups.where("_group = '*'").select("crawl_id", F.col("_lengths").alias("_every"))
+    asked = asked.join(own, ["crawl_id", "_agent"], "left").join(every, "crawl_id", "left")
+    path, query = U.path(F.col("url")), U.query(F.col("url"))
+    target = F.concat(F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    asked = asked.select("crawl_id", "url", "agent", F.when(F.col("_own").isNotNull(), F.col("_agent")).otherwise("*").alias("_group"), F.coalesce("_own", "_every").alias("_lengths"), target.alias("_target"))
+    cut = asked.withColumn("_length", F.explode("_lengths")).where(F.length("_target") >= F.col("_length")).drop("_lengths")
+    keyed = cut.withColumn("_lead", F.substring("_target", 1, F.col("_length")))
+    met = keyed.join(lead.select("crawl_id", "_group", "_lead", "allow", "regex", "length"), ["crawl_id", "_group", "_lead"])
+    return met.where(F.expr("_target rlike regex")).select("crawl_id", "url", "agent", "allow", "length")
+
+
 def robots_allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests(crawl_id, url, agent) with allowed: the longest matching rule of the agent's group decides, allow on a tie; without one all is allowed.
 
-    An agent's own group counts if the file has one, else that of *. The join is on site and agent;
-    each request keeps the best rule by a pre-aggregated maximum.
+    An agent's own group counts if the file has one, else that of *. Each request keeps the best of its matching_rules by a
+    pre-aggregated maximum.
     """
-    groups = rules.select("crawl_id", "agent").distinct().withColumn("own", F.lit(True))
-    asked = requests.withColumn("_agent", F.lower("agent")).join(groups.withColumnRenamed("agent", "_agent"), ["crawl_id", "_agent"], "left")
-    asked = asked.withColumn("_group", F.when(F.col("own"), F.col("_agent")).otherwise("*"))
-    target = F.concat(F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url"))), F.when(U.query(F.col("url")) != "", F.concat(F.lit("?"), U.query(F.col("url")))).otherwise(""))
-    keyed = asked.select("crawl_id", "url", "agent", "_group", target.alias("_target")).distinct()
-    matched = (
-        keyed.join(rules.withColumnRenamed("agent", "_group"), ["crawl_id", "_group"])
-        .where(F.expr("_target rlike regex"))
-        .groupBy("crawl_id", "url", "agent")
-        .agg(F.max_by("allow", F.struct("length", "allow")).alias("allowed"))
-    )
-    return requests.join(matched, ["crawl_id", "url", "agent"], "left").fillna(True, ["allowed"])
+    best = matching_rules(requests, rules).groupBy("crawl_id", "url", "agent").agg(F.max_by("allow", F.struct("length", "allow")).alias("allowed"))
+    return requests.join(best, ["crawl_id", "url", "agent"], "left").fillna(True, ["allowed"])
 
 
 def bot_access(sites: DataFrame, live: DataFrame | None = None) -> DataFrame:

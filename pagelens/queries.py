@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens import derived_checks, derived_sites
+from pagelens import derived_checks, derived_sites, sources
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, selectors, stack
@@ -367,6 +367,33 @@ def checks_slashes(spark, sf_dir):
     return found.select("check_id", "crawl_id", parsed["with_slash"].alias("with_slash"), parsed["without_slash"].alias("without_slash"))
 
 
+# ---- sitemap files
+
+def _sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of three sites: an index of two indexes, which name three of five lists (and each other, and what isn't there)."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("c"), F.col("page_id") % 3).alias("crawl_id"), (F.col("page_id") % 5).alias("k"), "url")
+    text = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    entry = F.when(F.col("k") == 1, F.concat(F.lit("<sm:url><sm:loc>"), text, F.lit("</sm:loc></sm:url>"))).when(F.col("k") == 2, F.concat(F.lit("<url><loc><![CDATA[ "), "url", F.lit(" ]]></loc></url>"))).otherwise(F.concat(F.lit("<url><loc>\n"), text, F.lit("</loc><lastmod>2024-05-06</lastmod></url>")))
+    lists = pages.groupBy("crawl_id", "k").agg(F.concat_ws("", F.collect_list(entry)).alias("b"))
+    body = F.when(F.col("k") == 1, F.concat(F.lit('<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("</sm:urlset>"))).otherwise(F.concat(F.lit("<urlset>"), "b", F.lit("</urlset>")))
+    lists = lists.select("crawl_id", F.concat(F.lit("/s"), F.col("k"), F.lit(".xml")).alias("file"), body.alias("body"))
+    index = {"/root.xml": ["/i0.xml", "/i1.xml"], "/i0.xml": ["/s0.xml", "/s1.xml"], "/i1.xml": ["/s2.xml", "/i0.xml", "/root.xml", "/gone.xml"]}
+    bodies = [F.struct(F.lit(f).alias("file"), F.lit("<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in named) + "</sitemapindex>").alias("body")) for f, named in index.items()]
+    return lists.unionByName(pages.select("crawl_id").distinct().select("crawl_id", F.inline(F.array(*bodies))))
+
+
+@query(
+    """select 'c' || (page_id % 3) as crawl_id, '/s' || (page_id % 5) || '.xml' as file, 2 as level, trim(url) as url, page_id % 5 = 0 as dated from pages where page_id % 5 < 3"""
+)
+def sitemap_entries_followed(spark, sf_dir):
+    """The entries of all sitemaps that can be reached from the first one of three sites."""
+    files = settle(_sitemap_files(spark, sf_dir))
+    start = files.where("file = '/root.xml'").select("crawl_id", "file")
+    reached = sources.follow_sitemaps(start, files)
+    entries = sources.sitemap_entries(reached)
+    return entries.join(reached.select("crawl_id", "file", "level"), ["crawl_id", "file"]).select("crawl_id", "file", "level", "url", F.col("lastmod").isNotNull().alias("dated"))
+
+
 # ---- selectors
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import strip_ws
+from pagelens.plans.storage import settle
 
 #: Column names of a crawler's export.
 EXPORT = {
@@ -53,12 +57,36 @@ def parse_url_list(rows: DataFrame, column: str = "value") -> DataFrame:
     return kept.select(F.when(F.col("u").rlike(r"(?i)^https?://"), F.col("u")).otherwise(F.concat(F.lit("https://"), "u")).alias("url")).distinct()
 
 
+_SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string,lastmod:string>>, _broken string"
+
+
+def _with_xml(files: DataFrame) -> DataFrame:
+    """files with the column x: the body as Spark's XML parser reads it, whatever its name spaces; null fields where it isn't well-formed."""
+    options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken"}
+    return files.withColumn("x", F.from_xml("body", _SITEMAP, options))
+
+
+def _locations(kind: str) -> Column:
+    """(loc, lastmod) of the url or sitemap items of a parsed file; of one that isn't well-formed, what its whole items say."""
+    items = F.regexp_extract_all("body", F.lit(rf"(?is)<(?:[\w-]+:)?{kind}\b[^>]*>(.*?)</(?:[\w-]+:)?{kind}>"), F.lit(1))
+
+    def inside(item: Column, tag: str) -> Column:
+        raw = F.regexp_extract(item, rf"(?is)<(?:[\w-]+:)?{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:[\w-]+:)?{tag}>", 1)
+        return F.replace(raw, F.lit("&amp;"), F.lit("&"))
+
+    found = F.transform(items, lambda i: F.struct(inside(i, "loc").alias("loc"), inside(i, "lastmod").alias("lastmod")))
+    return F.when(F.col("x._broken").isNotNull(), found).otherwise(F.col(f"x.{kind}"))
+
+
 def sitemap_entries(files: DataFrame) -> DataFrame:
-    """(crawl_id, file, url, lastmod) of files(crawl_id, file, body); entries of index files are those of other files and aren't pages."""
-    blocks = files.select("crawl_id", "file", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1))).alias("b"))
-    url = F.replace(strip_ws(F.regexp_extract("b", r"(?is)<loc>(.*?)</loc>", 1)), F.lit("&amp;"), F.lit("&"))
-    last = F.nullif(strip_ws(F.regexp_extract("b", r"(?is)<lastmod>(.*?)</lastmod>", 1)), F.lit(""))
-    return blocks.select("crawl_id", "file", url.alias("url"), last.try_cast("timestamp").alias("lastmod")).where("url <> ''")
+    """(crawl_id, file, url, lastmod) of files(crawl_id, file, body); entries of index files are those of other files and aren't pages.
+
+    Bodies are read as XML, with any prefixes and CDATA; of a body that isn't well-formed the whole entries count.
+    Empty and null bodies have none.
+    """
+    rows = _with_xml(files).select("crawl_id", "file", F.inline(_locations("url")))
+    last = F.nullif(strip_ws(F.col("lastmod")), F.lit(""))
+    return rows.select("crawl_id", "file", strip_ws(F.col("loc")).alias("url"), last.try_cast("timestamp").alias("lastmod")).where("url <> ''")
 
 
 def with_sitemap(pages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -72,8 +100,43 @@ def with_sitemap(pages: DataFrame, entries: DataFrame) -> DataFrame:
 
 def child_sitemaps(files: DataFrame) -> DataFrame:
     """(crawl_id, file): further files that index files name."""
-    blocks = files.select("crawl_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<sitemap\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("file"))
-    return blocks.distinct()
+    rows = _with_xml(files).select("crawl_id", F.inline(_locations("sitemap")))
+    return rows.select("crawl_id", strip_ws(F.col("loc")).alias("file")).where("file <> ''").distinct()
+
+
+def follow_sitemaps(start: DataFrame, stored: DataFrame, max_level: int | None = None) -> DataFrame:
+    """(crawl_id, file, level, body): the files of stored(crawl_id, file, body) that start(crawl_id, file) names or that index files reached so name.
+
+    Level by level to a fixed point, so indexes of indexes of any depth are followed, and each file once, also where
+    indexes name each other; level is the smallest. Named files that aren't stored are left out. Each round joins only the files
+    that are new in it and is written.
+    """
+    pending = settle(start.select("crawl_id", "file").distinct())
+    seen, out, level = pending, None, 0
+    while not pending.isEmpty() and (max_level is None or level <= max_level):
+        here = stored.join(pending, ["crawl_id", "file"], "left_semi").select("crawl_id", "file", F.lit(level).alias("level"), "body")
+        here = settle(here.dropDuplicates(["crawl_id", "file"]))
+        out = here if out is None else out.unionByName(here)
+        pending = settle(child_sitemaps(here).join(seen, ["crawl_id", "file"], "left_anti"))
+        seen, level = seen.unionByName(pending), level + 1
+    return stored.select("crawl_id", "file", F.lit(0).alias("level"), "body").limit(0) if out is None else out
+
+
+def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, body) of the stored files below path, but for those without a byte; what is compressed with gzip is unpacked, bytes that aren't UTF-8 are replaced."""
+
+    def unpacked(batches):
+        for batch in batches:
+            bodies = []
+            for data in batch.column("content").to_pylist():
+                if data[:2] == b"\x1f\x8b":
+                    whole = zlib.decompressobj(31)
+                    data = whole.decompress(data) + whole.flush()
+                bodies.append(data.decode("utf-8", "replace").removeprefix("\ufeff"))
+            yield pa.record_batch([batch.column("path"), pa.array(bodies, pa.string())], names=["file", "body"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(unpacked, "file string, body string")
 
 
 def sitemap_summary(files: DataFrame) -> DataFrame:
