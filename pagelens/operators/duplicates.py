@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelens.functions import text as X
 from pagelens.functions import vectors as V
@@ -53,13 +54,6 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
     return minima.select("id", F.array(*[f"m{k}" for k in range(permutations)]).alias("signature"))
 
 
-def _texts(rows: DataFrame, id_col: str, text_col: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a text as (by.., id, h) and its classes of equal texts as (by.., h, id, text), with the smallest id."""
-    base = rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    named = base.withColumn("h", F.md5("text"))
-    return named.drop("text"), named.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-
-
 def _shingle_set(text: Column) -> Column:
     """The text's shingles as distinct 64-bit hashes."""
     return F.array_distinct(F.transform(X.shingles(text), lambda s: F.xxhash64(s)))
@@ -75,39 +69,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float | None) -> Data
     return found if threshold is None else found.where(F.col("similarity") >= threshold)
 
 
-def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, similarity) with a < b: texts whose shingle similarity reaches the threshold, all of them.
-
-    Equal texts are tied to the smallest id with similarity 1, so copies cost a pair each. Of distinct
-    texts the rarest shingles are the join key: two sets of similarity t share one of the first
-    (1 - t) n + 1 elements of each in any common order, and in that of frequency few other texts share
-    them, whatever passages are common. With by, only rows equal in these columns are paired. Lengths are
-    compared in the join, shingle sets after it. All pairs of a group of n similar texts come out, n (n - 1) / 2
-    of them; near_duplicate_clusters gives a row a text instead.
-    """
-    named, first = _texts(rows, id_col, text_col, by)
-    copies = named.join(first.select(*by, "h", F.col("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    sets = settle(first.select(*by, "id", _shingle_set(F.col("text")).alias("x")))
-    hashed = sets.select(*by, "id", F.size("x").alias("n"), F.explode("x").alias("s"))
-    counts = hashed.groupBy("s").agg(F.count("*").alias("df"))
-    ordered = hashed.join(counts, "s").groupBy("id", *by, "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
-    rare = F.slice("o", F.lit(1), (F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 1).cast("int"))
-    keys = settle(ordered.select(*by, "id", "n", F.explode(rare).alias("k")).where("k.df > 1").select(*by, "id", "n", F.col("k.s").alias("s")))
-    left = keys.select(*by, F.col("id").alias("a"), F.col("n").alias("n_a"), "s")
-    right = keys.select(*by, F.col("id").alias("b"), F.col("n").alias("n_b"), "s")
-    candidates = (
-        left.join(right, [*by, "s"])
-        .where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)))
-        .select("a", "b")
-        .distinct()
-    )
-    return _similar(candidates, sets, threshold).unionByName(copies)
-
-
 #: Of pairs right at the threshold, so many at most share no band.
 MISS = 1e-5
 #: Buckets of texts that aren't linked yet are compared pair by pair up to this size; larger ones are banded again by further permutations.
-OPEN_BUCKET = 64
+OPEN_BUCKET = 16
 _LEVELS = 4
 
 
@@ -120,9 +85,10 @@ def bands_for(threshold: float, permutations: int = PERMUTATIONS, miss: float =
 
 
 def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
-    """sets(.., x, bucket) with the column keys, the bucket of each band, in place of x and bucket: from minima of seeded hashes of x, in Arrow batches.
+    """sets(.., x, bucket) with keys, n, s0 and s1 in place of x and bucket, from minima of seeded hashes of x, in Arrow batches.
 
-    A row's bucket goes into its keys, so that what was apart stays apart. A row without elements has no keys.
+    keys are the buckets of the bands; a row's bucket goes into them, so that what was apart stays apart. n is the size of x,
+    s0 and s1 hold one bit of each minimum. A row without elements has no keys.
     """
     bands, rows = bands_for(threshold)
     r = np.random.default_rng(level)
@@ -138,59 +104,76 @@ def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
             first = np.cumsum(sizes)[some] - sizes[some]
             old = batch.column("bucket").to_numpy(zero_copy_only=False)[some].view(np.uint64)
             new = np.empty((int(some.sum()), bands), np.uint64)
+            bits = np.zeros((2, batch.num_rows), np.uint64)
             for band in range(bands):
                 key = old + np.uint64(band)
                 for k in range(band * rows, (band + 1) * rows):
                     low = np.minimum.reduceat((values ^ salt[k]) * odd[k], first) if len(first) else key
+                    bits[k >> 6, some] |= (low * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)) << np.uint64(k & 63)
                     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (low ^ (low >> np.uint64(32)))
                 new[:, band] = key
             ends = np.concatenate([[0], np.cumsum(some) * bands])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(new.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), keys], names=[*kept, "keys"])
+            yield _keyed_batch(batch, kept, keys, sizes, bits)
+
+    return sets.mapInArrow(stage, _keyed_schema(sets, kept))
 
-    schema = sets.select(*kept, F.array(F.lit(0).cast("long")).alias("keys")).schema
-    return sets.mapInArrow(stage, schema)
+
+def _keyed_schema(rows: DataFrame, kept: list[str]) -> T.StructType:
+    more = T.StructType().add("keys", T.ArrayType(T.LongType())).add("n", T.IntegerType()).add("s0", T.LongType()).add("s1", T.LongType())
+    return T.StructType([*rows.select(*kept).schema, *more])
+
+
+def _keyed_batch(batch: pa.RecordBatch, kept: list[str], keys: pa.Array, sizes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    columns = [*(batch.column(c) for c in kept), keys, pa.array(sizes, pa.int32()), *(pa.array(b.view(np.int64)) for b in bits)]
+    return pa.RecordBatch.from_arrays(columns, names=[*kept, "keys", "n", "s0", "s1"])
+
+
+def _bits_apart(bits: int, same: float, sigmas: float = 5.0) -> int:
+    """In how many of so many bits, each equal with a probability of same, a pair differs at most, but for one in some millions."""
+    return min(bits, math.ceil(bits * (1 - same) + sigmas * math.sqrt(bits * same * (1 - same))))
 
 
 def _cluster_links(
     keyed: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     similar: Callable[[DataFrame, DataFrame], DataFrame],
+    likely: tuple[float, int],
     band: Callable[[DataFrame, int], DataFrame],
     by: tuple[str, ...],
     open_bucket: int,
-) -> tuple[DataFrame, DataFrame]:
-    """((a, b) links, the rows that were compared) of keyed(by.., id, bucket): enough similar pairs that all which similar pairs connect are connected.
+) -> DataFrame:
+    """(a, b) links of keyed(by.., id, bucket, n, s0, s1): enough similar pairs that all which similar pairs connect are connected.
 
     Of each bucket of a band first the smallest id is held against all others, so a bucket of one template costs a pair
     a member. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of members
-    of different clusters are compared; where that are many, the bucket is banded again first. sets_of gives the contents
-    of what shares a bucket; all other is never gathered. similar keeps pairs(a, b) that are similar by their contents,
-    band gives contents with a bucket the keys of a level.
+    of different clusters are compared; where that are many, the bucket is banded again first. Pairs whose sizes n have a
+    ratio below likely[0], or whose bits s0, s1 differ in more than likely[1], are left out inside the joins. sets_of gives
+    the contents of the ends of pairs, all other is never gathered; similar keeps pairs(a, b) that are similar by their
+    contents, and band gives contents with a bucket the keys of a level.
     """
     key = [*by, "bucket"]
-    links = sets = None
+    links = None
     for level in range(_LEVELS):
-        center = keyed.groupBy(*key).agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
-        stars = settle(keyed.join(center, key).where("id <> a").select("a", F.col("id").alias("b")).distinct())
-        if sets is None:
-            sets = settle(sets_of(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        found = similar(stars, sets).select("a", "b")
-        links = settle(found if links is None else links.unionByName(found))
+        least = F.min(F.struct("id", "n", "s0", "s1")).alias("x")
+        center = keyed.groupBy(*key).agg(least, F.count("*").alias("members")).where("members > 1").select(*key, "x.*")
+        stars = settle(_met(center, keyed, key, F.col("a.id") < F.col("b.id"), likely))
+        found = settle(similar(stars, sets_of(stars)).select("a", "b"))
+        links = found if links is None else settle(links.unionByName(found))
         clusters = settle(connected_components(links))
         tagged = keyed.join(clusters.select(F.col("node").alias("id"), "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
         several = tagged.groupBy(*key).agg(F.count("*").alias("members"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select(*key, "members")
         unsettled = settle(tagged.join(several, key))
         last = level == _LEVELS - 1
         few = unsettled if last else unsettled.where(F.col("members") <= open_bucket)
-        left, right = (few.select(*key, F.col("id").alias(x), F.col("cluster").alias(f"of_{x}")) for x in ("a", "b"))
-        crossing = left.join(right, key).where("of_a < of_b").select("a", "b").distinct()
-        links = links.unionByName(similar(crossing, sets).select("a", "b"))
+        crossing = settle(_met(few, few, key, F.col("a.cluster") < F.col("b.cluster"), likely))
+        links = links.unionByName(similar(crossing, sets_of(crossing)).select("a", "b"))
         many = unsettled.where(F.col("members") > open_bucket).select(*key, "id")
         if last or many.isEmpty():
             break
-        keyed = settle(band(many.join(sets, "id"), level + 1).select(*by, "id", F.explode("keys").alias("bucket")))
-    return links, sets
+        own = sets_of(many.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        keyed = settle(band(many.join(own, "id"), level + 1).select(*by, "id", "n", "s0", "s1", F.explode("keys").alias("bucket")))
+    return settle(links)
 
 
 def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
@@ -206,18 +189,60 @@ def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, thresho
     Texts are read twice, once for their bands, once for the sets of those that share a bucket, and never shuffled.
     """
     node = F.struct(*by, F.col(id_col).alias("id")) if by else F.col(id_col)
-    base = rows.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(*by, node.alias("id"), F.col(text_col).alias("text"))
-    shingled = base.select(*by, "id", F.md5("text").alias("h"), F.lit(0).cast("long").alias("bucket"), _shingle_set(F.col("text")).alias("x"))
-    signed = settle(_band_keys(shingled, threshold, 0))
-    classes = settle(signed.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    keyed = classes.select(*by, "id", F.explode("keys").alias("bucket"))
+    signed, sets_of, likely = _banded(rows.select(*by, node.alias("id"), F.col(text_col).alias("text")), threshold)
+    classes, keyed = _classes(signed, by)
+    links = _cluster_links(keyed, sets_of, lambda pairs, sets: _similar(pairs, sets, threshold), likely, lambda rows, level: _band_keys(rows, threshold, level), by, open_bucket)
+    return _members(signed.select(*by, "id", "h"), classes, links, lambda pairs: _similar(pairs, sets_of(pairs), None), by)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return possible(base, wanted, "id").select("id", _shingle_set(F.col("text")).alias("x")).join(wanted, "id", "left_semi")
 
-    similar = lambda pairs, sets: _similar(pairs, sets, threshold)
-    links, sets = _cluster_links(keyed, sets_of, similar, lambda rows, level: _band_keys(rows, threshold, level), by, open_bucket)
-    return _members(signed.drop("keys"), classes.drop("keys"), links, lambda pairs: _similar(pairs, sets, None), by)
+def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, similarity) with a < b: texts whose shingle similarity reaches the threshold.
+
+    Equal texts are tied to the smallest id with similarity 1, so copies cost a pair each. Of distinct texts those that share a
+    bucket of MinHash bands are candidates (bands_for: a pair at the threshold shares none with a probability of 1e-5), and
+    their sets decide. With by, only rows equal in these columns are paired. Texts are read twice and never shuffled. All
+    pairs of a group of n similar texts come out, n (n - 1) / 2 of them; near_duplicate_clusters gives a row a text instead.
+    """
+    signed, sets_of, likely = _banded(rows.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold)
+    classes, keyed = _classes(signed, by)
+    candidates = settle(_met(keyed, keyed, [*by, "bucket"], F.col("a.id") < F.col("b.id"), likely))
+    near = _similar(candidates, sets_of(candidates), threshold)
+    copies = signed.select(*by, "id", "h").join(classes.select(*by, "h", F.col("id").alias("a")), [*by, "h"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(copies)
+
+
+def _banded(texts: DataFrame, threshold: float) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], tuple[float, int]]:
+    """(texts(by.., id, text) with their class h and band keys in place of the text; what gives the sets of the ends of pairs; what pairs at the threshold have in common)."""
+    base = texts.where("text is not null and text <> ''")
+    own = [c for c in base.columns if c != "text"]
+    signed = settle(_band_keys(base.select(*own, F.md5("text").alias("h"), F.lit(0).cast("long").alias("bucket"), _shingle_set(F.col("text")).alias("x")), threshold, 0))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = _ends(pairs)
+        return settle(possible(base, wanted, "id").join(wanted, "id", "left_semi").select("id", _shingle_set(F.col("text")).alias("x")))
+
+    bands, rows_of = bands_for(threshold)
+    return signed, sets_of, (threshold, _bits_apart(bands * rows_of, (1 + threshold) / 2))
+
+
+def _met(left: DataFrame, right: DataFrame, key: list[str], further: Column, likely: tuple[float, int]) -> DataFrame:
+    """(a, b), each once, of left and right(key.., id, n, s0, s1) under equal keys, but for pairs whose sizes n have a ratio below likely[0] or whose bits s0, s1 differ in more than likely[1]."""
+    on = further & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(likely[0] - 1e-9))
+    on = on & (F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= likely[1])
+    for c in key:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return left.alias("a").join(right.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _classes(signed: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """((by.., h, id) of classes of equal contents with their smallest id, (by.., id, n, s0, s1, bucket) of these for each band)."""
+    alike = F.first(F.struct("keys", "n", "s0", "s1")).alias("x")
+    classes = settle(signed.groupBy(*by, "h").agg(F.min("id").alias("id"), alike).select(*by, "h", "id", "x.*"))
+    return classes.select(*by, "h", "id"), classes.select(*by, "id", "n", "s0", "s1", F.explode("keys").alias("bucket"))
 
 
 def _members(rows: DataFrame, classes: DataFrame, links: DataFrame, like: Callable[[DataFrame], DataFrame], by: tuple[str, ...]) -> DataFrame:
@@ -323,7 +348,7 @@ def planes_for(threshold: float, miss: float = _MISS_PLANES) -> tuple[int, int]:
 
 
 def _plane_keys(vectors: DataFrame, threshold: float, level: int) -> DataFrame:
-    """vectors(.., v, bucket) with the column keys in place of v and bucket: of each band on which sides of random hyperplanes v lies, in Arrow batches."""
+    """vectors(.., v, bucket) with keys, n, s0 and s1 in place of v and bucket, in Arrow batches: on which sides of random hyperplanes v lies, by band, and for the first 128 of them as bits."""
     bands, bits = planes_for(threshold)
     kept = [c for c in vectors.columns if c not in ("v", "bucket")]
     weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
@@ -336,21 +361,24 @@ def _plane_keys(vectors: DataFrame, threshold: float, level: int) -> DataFrame:
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             old = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
             new = np.empty((batch.num_rows, bands), np.uint64)
+            first = np.zeros((2, batch.num_rows), np.uint64)
             for d in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == d)
                 if d not in planes:
                     planes[d] = np.random.default_rng([level, d]).standard_normal((d, bands * bits))
                 x = flat[starts[rows][:, None] + np.arange(d)]
-                side = (x @ planes[d] >= 0).reshape(len(rows), bands, bits)
+                side = x @ planes[d] >= 0
+                for k in range(min(128, bands * bits)):
+                    first[k >> 6, rows] |= side[:, k].astype(np.uint64) << np.uint64(k & 63)
+                side = side.reshape(len(rows), bands, bits)
                 key = (side * weights).sum(axis=2, dtype=np.uint64) << np.uint64(8) | np.arange(bands, dtype=np.uint64)
                 key = (key ^ old[rows][:, None]) * np.uint64(0x9E3779B97F4A7C15)
                 new[rows] = key ^ (key >> np.uint64(31))
             ends = np.arange(batch.num_rows + 1) * bands
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(new.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), keys], names=[*kept, "keys"])
+            yield _keyed_batch(batch, kept, keys, sizes, first)
 
-    schema = vectors.select(*kept, F.array(F.lit(0).cast("long")).alias("keys")).schema
-    return vectors.mapInArrow(stage, schema)
+    return vectors.mapInArrow(stage, _keyed_schema(vectors, kept))
 
 
 def semantic_clusters(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
@@ -368,22 +396,21 @@ def semantic_clusters(vectors: DataFrame, id_col: str, vector_col: str, threshol
         (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     signed = settle(_plane_keys(base.select(*by, "id", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), " ")).alias("h"), "v", F.lit(0).cast("long").alias("bucket")), threshold, 0))
-    classes = settle(signed.groupBy(*by, "h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    keyed = classes.select(*by, "id", F.explode("keys").alias("bucket"))
+    classes, keyed = _classes(signed, by)
+
+    def vectors_of(pairs: DataFrame) -> DataFrame:
+        wanted = _ends(pairs)
+        return settle(possible(base, wanted, "id").join(wanted, "id", "left_semi").select("id", "v"))
 
     def like(pairs: DataFrame, found: DataFrame) -> DataFrame:
         both = pairs.join(found.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
         return both.where(F.size("x") == F.size("y")).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("similarity"))
 
-    links, compared = _cluster_links(
-        keyed,
-        lambda wanted: possible(base, wanted, "id").select("id", "v").join(wanted, "id", "left_semi"),
-        lambda pairs, found: like(pairs, found).where(F.col("similarity") >= threshold),
-        lambda rows, level: _plane_keys(rows, threshold, level),
-        by,
-        open_bucket,
-    )
-    return _members(signed.drop("keys"), classes.drop("keys"), links, lambda pairs: like(pairs, compared), by)
+    bands, bits = planes_for(threshold)
+    likely = (1.0, _bits_apart(min(128, bands * bits), 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi))
+    similar = lambda pairs, found: like(pairs, found).where(F.col("similarity") >= threshold)
+    links = _cluster_links(keyed, vectors_of, similar, likely, lambda rows, level: _plane_keys(rows, threshold, level), by, open_bucket)
+    return _members(signed.select(*by, "id", "h"), classes, links, lambda pairs: like(pairs, vectors_of(pairs)), by)
 
 
 def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.6, by: tuple[str, ...] = (), block: int = BLOCK_VECTORS) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
-from pagelens.plans.storage import settle
+from pagelens.functions.filters import possible
+from pagelens.plans.storage import Buckets, settle
 
 from . import robots as R
 
@@ -29,47 +30,60 @@ def link_counts(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.fillna(0, ["outlink_count", "inlink_count"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
+#: Ranks count as settled once none moves by more than this share of a crawl's mean rank.
+SETTLED = 1e-10
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40, settled: float = SETTLED) -> DataFrame:
     """(crawl_id, url, authority) of nodes(crawl_id, url): rank by links, the best page of a crawl at 100.
 
     edges(crawl_id, src, dst) count as often as they occur, self-loops too; those out of the node set
     are dropped; the rank of pages without links is spread over the crawl. All crawls are ranked in the
-    same joins. The edges are partitioned by source once and written, a page's inflow is summed before
-    the shuffle, and the ranks are written after each round: a round reads them twice, so lineage would double.
+    same joins. Edges and ranks are tables bucketed alike by crawl and address: in a round neither is shuffled, only the
+    inflow of pages, summed before. Two rounds are a job, and its ranks a table; it ends early when no rank moves any more.
     """
+    spark = nodes.sparkSession
     nodes = nodes.select("crawl_id", "url").distinct()
     inside = edges.join(nodes.withColumnRenamed("url", "dst"), ["crawl_id", "dst"], "left_semi").join(
         nodes.withColumnRenamed("url", "src"), ["crawl_id", "src"], "left_semi"
     )
-    inside = settle(inside.groupBy("crawl_id", "src", "dst").agg(F.count("*").alias("times")))
-    degree = inside.groupBy("crawl_id", F.col("src").alias("url")).agg(F.sum("times").alias("degree"))
+    buckets = Buckets(spark, "crawl_id", "url")
+    inside = buckets.write(inside.groupBy("crawl_id", F.col("src").alias("url"), "dst").agg(F.count("*").alias("times")))
+    degree = inside.groupBy("crawl_id", "url").agg(F.sum("times").alias("degree"))
     size = nodes.groupBy("crawl_id").agg(F.count("*").alias("n"))
-    base = settle(nodes.join(degree, ["crawl_id", "url"], "left").join(size, "crawl_id"))
-    rank = base.select("crawl_id", "url", (1.0 / F.col("n")).alias("rank"))
-    for _ in range(iterations):
-        now = base.join(rank, ["crawl_id", "url"])
-        dangling = now.groupBy("crawl_id").agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"))
+    base = buckets.write(nodes.join(degree, ["crawl_id", "url"], "left").join(size, "crawl_id"))
+    rank = base.withColumn("rank", 1.0 / F.col("n"))
+
+    def next_round(now: DataFrame) -> DataFrame:
+        """The ranks after a round, from now(crawl_id, url, degree, n, rank)."""
+        loose = now.groupBy("crawl_id").agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)).alias("loose"))
         flow = (
             now.where("degree is not null")
-            .select("crawl_id", F.col("url").alias("src"), (F.col("rank") / F.col("degree")).alias("each"))
-            .join(inside, ["crawl_id", "src"])
+            .join(inside, ["crawl_id", "url"])
             .groupBy("crawl_id", F.col("dst").alias("url"))
-            .agg(F.sum(F.col("each") * F.col("times")).alias("flow"))
+            .agg(F.sum(F.col("rank") / F.col("degree") * F.col("times")).alias("flow"))
         )
-        rank = (
-            base.join(dangling, "crawl_id")
-            .join(flow, ["crawl_id", "url"], "left")
-            .select(
-                "crawl_id",
-                "url",
-                (F.lit(1.0 - damping) / F.col("n") + F.lit(damping) * F.col("dangling") / F.col("n") + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"),
-            )
-        )
-        rank = settle(rank)
+        into = F.coalesce("flow", F.lit(0.0)) + F.col("loose") / F.col("n")
+        return base.join(flow, ["crawl_id", "url"], "left").join(loose, "crawl_id").select("crawl_id", "url", "degree", "n", (F.lit(1.0 - damping) / F.col("n") + F.lit(damping) * into).alias("rank"))
+
+    done = 0
+    while done < iterations:
+        steps = min(2, iterations - done)
+        before, after = rank, rank
+        for _ in range(steps):
+            after = next_round(after)
+        done += steps
+        moved = F.max(F.abs(F.col("rank") - F.col("_before")) * F.col("n"))
+        seen = Observation()
+        kept = after.join(before.select("crawl_id", "url", F.col("rank").alias("_before")), ["crawl_id", "url"]).observe(seen, moved.alias("moved"))
+        rank = buckets.write(kept.drop("_before"), spread=False)
+        if (seen.get["moved"] or 0.0) <= settled:
+            break
     top = rank.groupBy("crawl_id").agg(F.max("rank").alias("top"))
-    return rank.join(top, "crawl_id").select(
-        "crawl_id", "url", F.when(F.col("top") > 0, F.bround(F.lit(100.0) * F.col("rank") / F.col("top"), 1)).otherwise(0.0).alias("authority")
-    )
+    authority = F.when(F.col("top") > 0, F.bround(F.lit(100.0) * F.col("rank") / F.col("top"), 1)).otherwise(0.0)
+    out = settle(rank.join(top, "crawl_id").select("crawl_id", "url", authority.alias("authority")))
+    buckets.close()
+    return out
 
 
 def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -236,8 +250,10 @@ def frontier(
         rows = rows.where(keep(F.col("url")))
     if max_length is not None:
         rows = rows.where(F.length("url") <= max_length)
-    fresh = rows.join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
-    nearest = fresh.groupBy("crawl_id", "url").agg(F.min(F.struct("depth", "src")).alias("least")).select("crawl_id", "url", "least.depth", "least.src")
+    named = rows.groupBy("crawl_id", "url").agg(F.min(F.struct("depth", "src")).alias("least")).select("crawl_id", "url", "least.depth", "least.src")
+    # of all that was visited only what may be among the named addresses is shuffled
+    known = possible(visited.select("crawl_id", "url"), named, "crawl_id", "url")
+    nearest = named.join(known, ["crawl_id", "url"], "left_anti")
     if rules is None:
         return nearest
     allowed = R.robots_allowed(nearest.select("crawl_id", "url", F.lit(agent).alias("agent")), rules).where("allowed").select("crawl_id", "url")

@@ -6,6 +6,7 @@ in both languages: two thirds of it plain facts (crawled), links between pages (
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, g
 from pagelens.operators import site_checks as S
 from pagelens.operators.checks import CHECKS, page_findings
 from pagelens.plans.extract import child, extract_pages, parsed_schema, regex_extractors, with_text_facts
-from pagelens.plans.storage import settle
+from pagelens.plans.storage import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -929,13 +930,7 @@ def stream_filtered(spark, sf_dir):
 
 def _shared_base(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        settle(spark.range(0))
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder}/pagelens/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/pagelens/{uuid.uuid4().hex}"
 
 
 _STEPS = 3
