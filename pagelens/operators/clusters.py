@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagelens.plans.storage import settle
@@ -29,8 +29,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = _stars(both).where("other > node").select(F.col("other").alias("node"), F.col("least").alias("other")).distinct()
         small = _stars(large)
         ends = F.explode(F.array(F.struct(F.col("node").alias("node"), F.col("least").alias("other")), F.struct(F.col("other").alias("node"), F.col("least").alias("other"))))
-        hung = settle(small.select(ends.alias("x")).select("x.node", "x.other").where("node <> other").distinct())
-        fingerprint = hung.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "other")), F.sum(F.pmod(F.xxhash64("other", "node"), F.lit(1 << 31)))).first()
+        seen = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", "other")).alias("x"), F.sum(F.pmod(F.xxhash64("other", "node"), F.lit(1 << 31))).alias("s")
+        hung = settle(small.select(ends.alias("x")).select("x.node", "x.other").where("node <> other").distinct().observe(seen, *marks))
+        fingerprint = seen.get
         if fingerprint == before:
             return hung.select("node", F.col("other").alias("cluster")).unionByName(hung.select(F.col("other").alias("node"), F.col("other").alias("cluster")).distinct())
         before = fingerprint

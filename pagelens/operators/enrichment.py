@@ -65,6 +65,21 @@ def crawl_list(crawls: DataFrame, n: int = 20) -> DataFrame:
     return crawls.orderBy(F.col("crawl_id").desc()).limit(max(1, min(200, n)))
 
 
+def crawls_with_clients(crawls: DataFrame, clients: DataFrame, include_public: bool = False) -> DataFrame:
+    """(crawl_id, client_id, client_name, base_url, target_url, public, url_count) of crawls(crawl_id, client_id, target_url, url_count) and clients(client_id, name, base_url, is_public).
+
+    Crawls of a public client are left out unless asked for, and then named as such; a crawl without a client stays,
+    as `Unknown`. Clients must have one row each.
+    """
+    known = clients.select("client_id", F.col("name").alias("_name"), F.col("base_url").alias("_base"), "is_public")
+    joined = crawls.select("crawl_id", "client_id", "target_url", "url_count").join(known, "client_id", "left")
+    public = F.coalesce("is_public", F.lit(False))
+    name = F.when(public, "Public audit").otherwise(F.coalesce("_name", F.lit("Unknown")))
+    base = F.coalesce(F.nullif("target_url", F.lit("")), "_base", F.lit(""))
+    rows = joined if include_public else joined.where(~public)
+    return rows.select("crawl_id", "client_id", name.alias("client_name"), base.alias("base_url"), F.coalesce("target_url", F.lit("")).alias("target_url"), public.alias("public"), "url_count")
+
+
 def without_crawl(tables: dict[str, DataFrame], crawl_id: str) -> dict[str, DataFrame]:
     """Every table without one crawl's rows, to be written in its place; on tables partitioned by crawl_id a filter of folders."""
     return {name: df.where(~F.col("crawl_id").eqNullSafe(F.lit(crawl_id))) for name, df in tables.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,15 @@ def search(columns: Sequence[str], words: str) -> Column:
     return out
 
 
+def hub_filter(issues: DataFrame, category: str = "all", severities: Collection[str] = (), words: str = "") -> DataFrame:
+    """Issues as the hub lists them: of one category (or `all`), of any of the severities (all without any), and with the words in title, why_it_matters, domain or check_id, regardless of case."""
+    out = issues if category == "all" else issues.where(F.col("category") == category)
+    if severities:
+        out = out.where(F.col("severity").isin(*severities))
+    words = words.strip()
+    return out.where(search([c for c in ("title", "why_it_matters", "domain", "check_id") if c in issues.columns], words)) if words else out
+
+
 def grid_sort(pages: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """In order of a column, texts regardless of case, null as empty."""
     text = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))

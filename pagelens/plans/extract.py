@@ -209,6 +209,13 @@ def is_html_document(content_type: Column, assume_html: bool = True) -> Column:
     return F.when(ct == "", F.lit(assume_html)).otherwise(ct.isin("text/html", "application/xhtml+xml"))
 
 
+def is_pdf(content_type: Column, url: Column) -> Column:
+    """PDF by its declared type, or by the address where that says nothing."""
+    ct = F.lower(F.coalesce(content_type, F.lit("")))
+    vague = (ct == "") | ct.startswith("application/octet-stream") | ct.startswith("binary/")
+    return ct.contains("application/pdf") | (vague & F.lower(F.substring_index(F.coalesce(url, F.lit("")), "?", 1)).endswith(".pdf"))
+
+
 def with_content_area(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """pages with the text facts taken from a part of the page, where the selectors find one: main_text and what follows from it."""
 

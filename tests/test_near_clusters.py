@@ -64,8 +64,9 @@ def _frame(spark, rows):
     return spark.createDataFrame([(*r, "c", 1, "x", 2, "h") for r in rows], KIND)
 
 
-def test_clusters_against_all_pairs(spark):
-    rows = _texts(7, 160) + [("one", 900, None), ("one", 901, ""), ("two", 902, "  "), ("two", 903, "  "), ("two", 904, "long " * 100_000), ("two", 905, "long " * 100_000)]
+def test_clusters_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "_LEVELS", 2)
+    rows = _texts(7, 110) + [("one", 900, None), ("one", 901, ""), ("two", 902, "  "), ("two", 903, "  "), ("two", 904, "long " * 20_000), ("two", 905, "long " * 20_000)]
     rows += [("one", 910 + k, " ".join(f"step{j}" for j in range(3 * k, 3 * k + 60))) for k in range(12)]  # a chain: each is like the next one only
     got = D.near_duplicate_clusters(_frame(spark, rows), "id", "t", 0.8, by=("site",), open_bucket=2)
     assert {(r.site, r.id): (r.cluster, r.members, round(r.similarity, 9)) for r in got.collect()} == _plain(rows, 0.8)
@@ -117,7 +118,8 @@ def test_components_of_chains_hubs_and_odd_links(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_vectors_against_all_pairs(spark):
+def test_vectors_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "_LEVELS", 2)
     r = np.random.default_rng(4)
     centers = r.standard_normal((25, 24))
     rows = [(("one", "two")[k % 2], k, (centers[k % 25] * r.uniform(0.5, 2) + r.standard_normal(24) * r.choice([0.0, 0.1, 0.25, 0.3])).tolist()) for k in range(260)]
