@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens import derived_checks, derived_sites, derived_views, sources
+from pagelens import derived_audit, derived_checks, derived_sites, derived_views, sources
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 from pagelens.operators import agentic, diffs, duplicates, enrichment, facets, graph, robots, rollups, selectors, stack
@@ -1008,5 +1008,5 @@ def stream_live_progress(spark, sf_dir):
     return view.withColumn("last", F.array_join(F.transform("last", lambda p: p["url"]), " "))
 
 
-QUERIES |= derived_checks.QUERIES | derived_sites.QUERIES | derived_views.QUERIES
-SQL |= derived_checks.SQL | derived_sites.SQL | derived_views.SQL
+QUERIES |= derived_checks.QUERIES | derived_sites.QUERIES | derived_views.QUERIES | derived_audit.QUERIES
+SQL |= derived_checks.SQL | derived_sites.SQL | derived_views.SQL | derived_audit.SQL
