@@ -54,9 +54,14 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
     return minima.select("id", F.array(*[f"m{k}" for k in range(permutations)]).alias("signature"))
 
 
-def _shingle_set(text: Column) -> Column:
-    """The text's shingles as distinct 64-bit hashes."""
-    return F.array_distinct(F.transform(X.shingles(text), lambda s: F.xxhash64(s)))
+def _shingle_set(text: Column, n: int = 5) -> Column:
+    """The text's shingles (X.shingles) as distinct 64-bit hashes of their words, without putting the strings together."""
+
+    def runs(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
+
+    return X.let(X.words(F.lower(text)), runs)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float | None) -> DataFrame:
@@ -72,7 +77,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float | None) -> Data
 #: Of pairs right at the threshold, so many at most share no band.
 MISS = 1e-5
 #: Buckets of texts that aren't linked yet are compared pair by pair up to this size; larger ones are banded again by further permutations.
-OPEN_BUCKET = 16
+OPEN_BUCKET = 512
 _LEVELS = 4
 
 
