@@ -139,7 +139,7 @@ def _bits_apart(bits: int, same: float, sigmas: float = 5.0) -> int:
     return min(bits, math.ceil(bits * (1 - same) + sigmas * math.sqrt(bits * same * (1 - same))))
 
 
-def _cluster_links(
+def _linked_clusters(
     keyed: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     similar: Callable[[DataFrame, DataFrame], DataFrame],
@@ -148,7 +148,7 @@ def _cluster_links(
     by: tuple[str, ...],
     open_bucket: int,
 ) -> DataFrame:
-    """(a, b) links of keyed(by.., id, bucket, n, s0, s1): enough similar pairs that all which similar pairs connect are connected.
+    """(node, cluster) of keyed(by.., id, bucket, n, s0, s1): connected components by so many similar pairs that all which similar pairs connect are connected.
 
     Of each bucket of a band first the smallest id is held against all others, so a bucket of one template costs a pair
     a member. What these pairs connect needs no further look. In buckets that hold several clusters then, pairs of members
@@ -163,12 +163,16 @@ def _cluster_links(
         least = F.min(F.struct("id", "n", "s0", "s1")).alias("x")
         center = keyed.groupBy(*key).agg(least, F.count("*").alias("members")).where("members > 1").select(*key, "x.*")
         stars = settle(_met(center, keyed, key, F.col("a.id") < F.col("b.id"), likely))
+        if links is None and stars.isEmpty():
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("cluster"))
         found = settle(similar(stars, sets_of(stars)).select("a", "b"))
         links = found if links is None else settle(links.unionByName(found))
         clusters = settle(connected_components(links))
         tagged = keyed.join(clusters.select(F.col("node").alias("id"), "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
         several = tagged.groupBy(*key).agg(F.count("*").alias("members"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select(*key, "members")
         unsettled = settle(tagged.join(several, key))
+        if unsettled.isEmpty():
+            return clusters
         last = level == _LEVELS - 1
         few = unsettled if last else unsettled.where(F.col("members") <= open_bucket)
         crossing = settle(_met(few, few, key, F.col("a.cluster") < F.col("b.cluster"), likely))
@@ -178,7 +182,7 @@ def _cluster_links(
             break
         own = sets_of(many.select(F.col("id").alias("a"), F.col("id").alias("b")))
         keyed = settle(band(many.join(own, "id"), level + 1).select(*by, "id", "n", "s0", "s1", F.explode("keys").alias("bucket")))
-    return settle(links)
+    return settle(connected_components(settle(links)))
 
 
 def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = (), open_bucket: int = OPEN_BUCKET) -> DataFrame:
@@ -196,8 +200,8 @@ def near_duplicate_clusters(rows: DataFrame, id_col: str, text_col: str, thresho
     node = F.struct(*by, F.col(id_col).alias("id")) if by else F.col(id_col)
     signed, sets_of, likely = _banded(rows.select(*by, node.alias("id"), F.col(text_col).alias("text")), threshold)
     classes, keyed = _classes(signed, by)
-    links = _cluster_links(keyed, sets_of, lambda pairs, sets: _similar(pairs, sets, threshold), likely, lambda rows, level: _band_keys(rows, threshold, level), by, open_bucket)
-    return _members(signed.select(*by, "id", "h"), classes, links, lambda pairs: _similar(pairs, sets_of(pairs), None), by)
+    found = _linked_clusters(keyed, sets_of, lambda pairs, sets: _similar(pairs, sets, threshold), likely, lambda rows, level: _band_keys(rows, threshold, level), by, open_bucket)
+    return _members(signed.select(*by, "id", "h"), classes, found, lambda pairs: _similar(pairs, sets_of(pairs), None), by)
 
 
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
@@ -250,9 +254,8 @@ def _classes(signed: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFra
     return classes.select(*by, "h", "id"), classes.select(*by, "id", "n", "s0", "s1", F.explode("keys").alias("bucket"))
 
 
-def _members(rows: DataFrame, classes: DataFrame, links: DataFrame, like: Callable[[DataFrame], DataFrame], by: tuple[str, ...]) -> DataFrame:
-    """(by.., id, cluster, members, similarity) of rows(by.., id, h) whose class in classes(by.., h, id) is linked to another, or that share it; like gives pairs(a, b) their similarity."""
-    found = connected_components(links)
+def _members(rows: DataFrame, classes: DataFrame, found: DataFrame, like: Callable[[DataFrame], DataFrame], by: tuple[str, ...]) -> DataFrame:
+    """(by.., id, cluster, members, similarity) of rows(by.., id, h) whose class in classes(by.., h, id) is in a cluster of found(node, cluster), or that share it; like gives pairs(a, b) their similarity."""
     labelled = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     apart = labelled.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
     labelled = labelled.join(like(apart).select(F.col("b").alias("id"), "similarity"), "id", "left").select(*by, "h", F.col("id").alias("rep"), "cluster", "similarity")
@@ -414,8 +417,8 @@ def semantic_clusters(vectors: DataFrame, id_col: str, vector_col: str, threshol
     bands, bits = planes_for(threshold)
     likely = (1.0, _bits_apart(min(128, bands * bits), 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi))
     similar = lambda pairs, found: like(pairs, found).where(F.col("similarity") >= threshold)
-    links = _cluster_links(keyed, vectors_of, similar, likely, lambda rows, level: _plane_keys(rows, threshold, level), by, open_bucket)
-    return _members(signed.select(*by, "id", "h"), classes, links, lambda pairs: like(pairs, vectors_of(pairs)), by)
+    found = _linked_clusters(keyed, vectors_of, similar, likely, lambda rows, level: _plane_keys(rows, threshold, level), by, open_bucket)
+    return _members(signed.select(*by, "id", "h"), classes, found, lambda pairs: like(pairs, vectors_of(pairs)), by)
 
 
 def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.6, by: tuple[str, ...] = (), block: int = BLOCK_VECTORS) -> DataFrame:

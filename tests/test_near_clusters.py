@@ -85,9 +85,15 @@ def test_candidates_follow_the_number_of_texts(spark):
     rows = spark.range(300).selectExpr("id", "concat(array_join(transform(sequence(1, 60), i -> concat('word', i)), ' '), ' ', id) as t")
     sets = rows.select("id", D._shingle_set(rows.t).alias("x"))
     keyed = D._band_keys(sets.selectExpr("id", "x", "0L as bucket"), 0.9, 0).selectExpr("id", "n", "s0", "s1", "explode(keys) as bucket")
-    links = D._cluster_links(keyed, lambda _: sets, lambda pairs, own: D._similar(pairs, own, 0.9), (0.9, 12), lambda rows, level: D._band_keys(rows, 0.9, level), (), 64)
+    compared = []
+
+    def similar(pairs, own):
+        compared.append(pairs.count())
+        return D._similar(pairs, own, 0.9)
+
+    found = D._linked_clusters(keyed, lambda _: sets, similar, (0.9, 12), lambda rows, level: D._band_keys(rows, 0.9, level), (), 64)
     bands, _ = D.bands_for(0.9)
-    assert 299 <= links.count() <= 300 * bands
+    assert 299 <= sum(compared) <= 300 * bands and {r.cluster for r in found.collect()} == {0}
 
 
 def test_bands_miss_little():
