@@ -22,20 +22,31 @@ BLOCK = frozenset(
 NOT_CONTENT = frozenset("aside button dialog footer head input menu nav select".split())
 CONTROLS = frozenset("button input select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+HEADS = frozenset("h2 h3 h4 h5 h6".split())
 #: Words of class and id names that say what stands beside an article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertisements adbox adslot banner sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs header masthead topbar footer sidebar side aside rail related recommend recommended recommendation recommendations cookie cookies consent gdpr notice "
-    "notification alert popup modal overlay newsletter subscribe signup share sharing social login search pagination pager skip".split()
+    "notification alert popup modal overlay newsletter subscribe signup share sharing social login search pagination pager skip adsbygoogle teaser teasers trending".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: May be a part of the article or its comments.
+TALK = frozenset("conversation discussion discussions responses".split())
 #: Words that say nothing about it, and those that name what a header or a comment belongs to.
 PLAIN = frozenset(
-    "area bar block body bottom box button buttons container content group holder inner item items left link links list main module outer panel primary region right row section "
+    "area bar block body bottom box button buttons container content form forms group holder inner item items left link links list main module outer panel primary region right row section "
     "secondary site slot text thread top unit widget wrap wrapper zone".split()
 )
 OF_ARTICLE = frozenset("article articles entry page post posts reader story user".split())
 HEADERS = frozenset("banner header masthead".split())
+#: A name with one of these says how a page is laid out.
+LAID_OUT = frozenset("by close closed has have hide no non not off on open show with without".split())
+#: What the heading over reader comments may say besides.
+AROUND_COMMENTS = frozenset("a add all an from join latest leave on our reader readers recent s the this to top user users visitor visitors write your".split())
+#: What a notice says that no name tells of.
+NOTICES = frozenset("advertisement consent cookie cookies newsletter subscribe unsubscribe".split())
+#: Elements that are weighed by density inside an article.
+PARTS = frozenset("article center dd details div dl fieldset form ins ol section span table ul".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar alertdialog".split())
 #: An element with one of these open is closed by the same, or by a block for p.
 CLOSES = {
@@ -51,6 +62,8 @@ _SENTENCE = re.compile(r"\S+\s+\S+\s+\S.*[.!?\u2026\u3002\uff01\uff1f:][\"')\]\u
 _RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)|copyright)", re.I)
 #: What a named element is, going by its names alone.
 HIDDEN, NAMED, OF_COMMENTS, HEADER, FORM, LABEL = "hidden", "named", "comments", "header", "form", "label"
+#: Names of which only a part says so: density decides.
+MAYBE, MAYBE_COMMENTS = "maybe", "maybe comments"
 
 
 class Node:
@@ -63,16 +76,19 @@ class Node:
 
 
 def named(name: str) -> str:
-    """NAMED or OF_COMMENTS if a class or id name says that its element stands beside an article, else ''.
+    """NAMED or OF_COMMENTS if all words of a class or id name say that its element stands beside an article
+    or nothing; MAYBE and MAYBE_COMMENTS if some do; else ''.
 
-    All its words must say so or nothing: has-sidebar, comments-open and side-by-side don't count. Of
-    entry-header, which is a part of the article, header doesn't.
+    has-sidebar, comments-open and side-by-side don't count. Of entry-header, which is a part of the
+    article, header doesn't.
     """
     words = {w.lower() for w in _PARTS.findall(name)} - PLAIN
     left = words - OF_ARTICLE
-    if not left or not left <= BESIDE | COMMENTS or (left <= HEADERS and left != words):
+    if not left or left & LAID_OUT or (left <= HEADERS and left != words):
         return ""
-    return OF_COMMENTS if left & COMMENTS else NAMED
+    if left <= BESIDE | COMMENTS:
+        return OF_COMMENTS if left & COMMENTS else NAMED
+    return MAYBE if left & (BESIDE | COMMENTS) - HEADERS else MAYBE_COMMENTS if left & TALK else ""
 
 
 def _kind(tag: str, attrs: str, in_article: bool) -> str:
@@ -87,10 +103,12 @@ def _kind(tag: str, attrs: str, in_article: bool) -> str:
             return HIDDEN
         if name in ("class", "id") and not (name == "id" and tag not in BLOCK):
             for x in map(named, value.split()):
-                if x == OF_COMMENTS or (x and tag not in ("article", "main")):
+                if x in (MAYBE, MAYBE_COMMENTS):
+                    kind = kind or (x if tag in PARTS and tag != "article" else "")
+                elif x == OF_COMMENTS or (x and tag not in ("article", "main")):
                     kind = x if kind != OF_COMMENTS else kind
         elif name == "role" and value.lower() in BESIDE_ROLES and tag not in ("article", "main"):
-            kind = kind or NAMED
+            kind = NAMED if kind in ("", MAYBE, MAYBE_COMMENTS) else kind
     return kind
 
 
@@ -161,6 +179,17 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _headed_comments(n: Node) -> bool:
+    """Whether the heading that n begins with says that reader comments follow, or n has a name of that sort and article elements in it."""
+    kids = [k for k in n.kids if type(k) is Node and not k.beside]
+    words = set()
+    if kids and kids[0].tag in HEADS:
+        words = set(re.findall(r"[a-z]+", text_of(kids[0]).lower()))
+    if words & COMMENTS:
+        return words <= COMMENTS | TALK | OF_ARTICLE | AROUND_COMMENTS
+    return n.kind == MAYBE_COMMENTS and any(k.tag == "article" for k in _ordered(n))
+
+
 def _decide(root: Node) -> None:
     """Sets beside. Names only propose: what holds the article element stays, and on a page without one what holds paragraphs with half of the text outside links; comments never."""
     order, todo, parent = [], [root], {}
@@ -176,14 +205,16 @@ def _decide(root: Node) -> None:
     for n in reversed(order):
         kids = [k for k in n.kids if type(k) is Node and not k.beside]
         plain[id(n)] = 0 if n.tag == "a" else sum(len(k.strip()) for k in n.kids if type(k) is str) + sum(plain[id(k)] for k in kids)
-        holds[id(n)] = n.tag in ("article", "main") or any(holds[id(k)] for k in kids)
+        holds[id(n)] = (n.tag in ("article", "main")) + sum(holds[id(k)] for k in kids)
         text[id(n)] = n.tag == "p" or n.tag in HEADINGS or any(text[id(k)] for k in kids)
     for n in order:
         if n.kind in (NAMED, HEADER, FORM):
-            n.beside = not holds[id(n)] and (holds[id(root)] or not text[id(n)] or plain[id(n)] * 2 <= plain[id(root)])
+            n.beside = not holds[id(n)] and (holds[id(root)] > 0 or not text[id(n)] or plain[id(n)] * 2 <= plain[id(root)])
             if n.kind == HEADER and n.beside:  # not a site's header but an article's, between paragraphs
                 beside_p = any(k.tag == "p" if type(k) is Node else not k.isspace() for k in parent[id(n)].kids)
                 n.beside = not (beside_p and any(type(k) is Node and k.tag in HEADINGS for k in n.kids))
+        elif n.tag in ("div", "section") and _headed_comments(n):
+            n.beside = holds[id(root)] > holds[id(n)] or (not holds[id(n)] and plain[id(n)] * 2 <= plain[id(root)])
         elif n.kind == LABEL:
             up = parent[id(n)]
             n.beside = any(type(k) is Node and k.tag in CONTROLS for x in (n, up) for k in x.kids)
@@ -218,36 +249,93 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _path(nodes: list[Node]) -> list[Node]:
+    """From the node with the largest total up to the root; empty if there is no text."""
+    best = max((n for n in nodes if n.chars), key=lambda n: (n.total or n.density, n.chars), default=None)
+    if best is None:
+        return []
+    parent = {id(k): n for n in nodes for k in n.kids if type(k) is Node}
+    path = [best]
+    while id(path[-1]) in parent:
+        path.append(parent[id(path[-1])])
+    return path
+
+
+def _weigh(nodes: list[Node], path: list[Node]) -> bool:
+    """Sets beside by density for what isn't on the path; whether anything has changed.
+
+    The yardstick is the outermost article element on the path, else the chosen subtree; the threshold is the
+    least density on the path. Beside go: what a part of its name proposes, if it has at most half as much
+    text outside links as the yardstick and, inside it, a lower density; inside an article element also
+    what is below the threshold and mostly links, three or more, and an article element with no more
+    text than the outer one has of its own (a teaser or a comment); and what then has only headings left.
+    """
+    articles = [n for n in path if n.tag == "article"]
+    whole = articles[-1] if articles else path[0]
+    on, threshold = {id(n) for n in path}, min(n.density for n in path)
+    inside = {id(n) for n in _ordered(whole)}
+    nested = [n for n in nodes if n.tag == "article" and id(n) in inside and id(n) not in on] if articles else []
+    own = whole.chars - whole.link_chars - sum(n.chars - n.link_chars for n in nested)
+    emptied = []
+    for n in nodes:
+        if id(n) in on or n.tag not in PARTS:
+            continue
+        plain, within = n.chars - n.link_chars, id(n) in inside
+        if n.kind == MAYBE:
+            n.beside = plain * 2 <= whole.chars - whole.link_chars and (not within or n.density < whole.density)
+        if within and articles and not n.beside:
+            menu = n.link_tags >= 3 and n.link_chars * 2 > n.chars and n.density < threshold
+            n.beside = menu or (n.tag == "article" and plain <= own)
+        if n.beside:
+            emptied.append(n)
+    if not emptied:
+        return False
+    parent = {id(k): n for n in nodes for k in n.kids if type(k) is Node}
+    while emptied:
+        up = parent.get(id(emptied.pop()))
+        if up is None or id(up) in on or up.beside or up.tag not in PARTS:
+            continue
+        if all(k.isspace() if type(k) is str else k.beside or k.tag in HEADS or not k.chars for k in up.kids):
+            up.beside = True
+            emptied.append(up)
+    return True
+
+
 def _belongs(k: Node | str, threshold: float) -> bool:
     """Whether what stands next to the chosen subtree is text of the article too: as dense as the path to the body, a heading or a sentence, and mostly outside links."""
     if type(k) is str:
-        return bool(_SENTENCE.match(k.strip())) and not _RIGHTS.match(k)
+        return bool(_SENTENCE.match(k.strip())) and not _beside_article(k)
     if not k.chars or k.link_chars * 2 > k.chars:
         return False
     text = text_of(k)
-    return (k.tag in HEADINGS or k.density >= threshold or bool(_SENTENCE.match(text))) and not _RIGHTS.match(text)
+    return (k.tag in HEADINGS or k.density >= threshold or bool(_SENTENCE.match(text))) and not _beside_article(text)
+
+
+def _beside_article(text: str) -> bool:
+    """Whether a text that stands by itself beside the article is a mark of rights or a notice of a sentence or two."""
+    words = re.findall(r"[a-z]+", text.lower()) if len(text) <= 300 else []
+    speaks = len(words) <= 3 or not {"our", "us", "we", "your"}.isdisjoint(words)
+    return bool(_RIGHTS.match(text)) or (speaks and not NOTICES.isdisjoint(words))
 
 
 def main_node(root: Node) -> Node | None:
     """The subtree with the largest sum of its children's densities, with what belongs to it.
 
     The threshold is the least density on the path from that subtree up to the body. On the way up,
-    what stands beside the path and belongs to the article is kept and the rest is dropped. Inside an
-    article element nothing is dropped, inside main only what is mostly links; above an article element
-    only further article elements as dense as the threshold and headings are kept. Elsewhere menus (three
-    links or more, and mostly links) are dropped from the subtree itself.
+    what stands beside the path and belongs to the article is kept and the rest is dropped: inside main what
+    is mostly links, above an article element all but further article elements as dense as the threshold and
+    headings. Inside an article element density decides too (_weigh). Elsewhere menus (three links or more, and
+    mostly links) are dropped from the subtree itself.
     """
     _decide(root)
     nodes = measure(root)
-    parent = {id(k): n for n in nodes for k in n.kids if type(k) is Node}
-    holders = [n for n in nodes if n.chars]
-    if not holders:
+    path = _path(nodes)
+    if path and _weigh(nodes, path):
+        nodes = measure(root)
+        path = _path(nodes)
+    if not path:
         return None
-    best = max(holders, key=lambda n: (n.total or n.density, n.chars))
-    path = [best]
-    while id(path[-1]) in parent:
-        path.append(parent[id(path[-1])])
-    threshold = min(n.density for n in path)
+    best, threshold = path[0], min(n.density for n in path)
     tags = [n.tag for n in path]
     article = len(path) - 1 - tags[::-1].index("article") if "article" in tags else 0
     main = tags.index("main") if "main" in tags else 0

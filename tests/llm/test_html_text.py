@@ -58,6 +58,49 @@ def test_headers_and_comments():
     assert H.extract(site) == f"Head {TEXT} {TEXT}"
 
 
+def _article(inside="", after=""):
+    return f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{TEXT}</p>{inside}<p>{TEXT}</p></article>{after}</body>"
+
+
+def test_what_stands_inside_an_article_element_but_is_not_of_it():
+    plain = f"Head {TEXT} {TEXT}"
+    stories = "".join(f"<li><a href=/{i}>Story number {i}</a>" for i in range(3))
+    for x in (
+        "<div class='newsletter-form'><p>Sign up for our letter today.</p></div>",
+        "<ins class='adsbygoogle'>Buy now cheap</ins>",
+        "<section class='discussion'><h2>Reader comments</h2><p>I liked this a lot.</p></section>",
+        "<div><h3>2 comments</h3><p>I liked this a lot.</p><p>So did I.</p></div>",
+        "<div class='more-stories'><h2>More</h2><article><p>A teaser of another one.</p></article></div>",
+        f"<div><h3>Read on</h3><ul>{stories}</ul></div>",
+        "<aside>By the way.</aside>",
+    ):
+        assert H.extract(_article(x)) == plain, x
+    liked = "<article><p>I liked this piece a lot, and so did all of my friends here.</p></article>"
+    assert H.extract(_article(after=f"<section id='discussion'><h2>Discussion</h2>{liked}{liked}{liked}</section>")) == plain
+    beside = "<div class='wp-sidebar-widget'>Side text goes here today.</div><div class='cc-window'>We use cookies to make this site better.</div>"
+    assert H.extract(f"<body>{beside}<div id=b><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div></body>") == plain
+
+
+def test_what_sounds_like_something_else_but_is_of_the_article():
+    """Names propose only: density, the share of the text and the heading keep these."""
+    for x, text in (
+        ("<section id=discussion><h2>Discussion</h2><p>What follows from this is discussed here.</p></section>", "Discussion What follows from this is discussed here."),
+        (f"<div class='share-price'>{TEXT} {TEXT} {TEXT}</div>", f"{TEXT} {TEXT} {TEXT}"),
+        ("<ul><li>See <a href=1>one</a> of the sources first<li>then <a href=2>two</a> of the others<li>and <a href=3>three</a> at the end</ul>", "See one of the sources first then two of the others and three at the end"),
+        ("<p class='notice-of-change'>It has changed.</p>", "It has changed."),
+        ("<p>Bake the cookies.</p>", "Bake the cookies."),
+    ):
+        assert H.extract(_article(x)) == f"Head {TEXT} {text} {TEXT}", x
+    assert H.extract(f"<body><div>A recipe for cookies.</div><div id=b><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div></body>") == f"A recipe for cookies. Head {TEXT} {TEXT}"
+
+
+def test_density_changes_the_result_on_pages_that_carry_such_parts(spark):
+    """Each page of the table with a part put into its article, against the page as it is."""
+    parts = ["<div class='wp-related-posts'><p>More of it.</p></div>", "<div><article><p>Teaser.</p></article></div>", "<div class='x'><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div>"]
+    for i, r in enumerate(spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()):
+        assert H.extract(r.html.replace("</h1>", "</h1>" + parts[i % 3], 1)) == H.extract(r.html)
+
+
 def test_query_against_the_article_element(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = QUERIES["op5_html_text"](spark, SF).collect()
