@@ -174,8 +174,33 @@ def align(recordings: DataFrame, every: int = 50, rec_id: str = "rec_id", pcm: s
     )
 
 
-def recordings_of(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", note: int = 400) -> DataFrame:
-    """(rec_id, pcm): each vector played as a melody, one note per component, a tone and its octave."""
+#: Versions of a melody: (last digit of the id, samples of silence before it, samples cut from its start, noise).
+VERSIONS = ((3, 0, 0, 400), (6, 0, 20 * HOP + 32, 250), (9, 12 * HOP, 0, 250))
+
+
+def with_versions(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, vector, played) per row: rows whose id ends in 3, 6 or 9 play the vector whose id ends in 0 instead, with noise, cut or after a silence.
+
+    A row whose original is missing plays its own vector; of repeated originals the smallest vector counts;
+    null ids stay; further columns are left out.
+    """
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"))
+    digit = F.pmod("id", F.lit(10))
+    played = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("cut"), F.lit(0).alias("noise"))
+    for d, lead, cut, noise in VERSIONS:
+        played = F.when(digit == d, F.struct(F.lit(lead).alias("lead"), F.lit(cut).alias("cut"), F.lit(noise).alias("noise"))).otherwise(played)
+    originals = rows.where(digit == 0).groupBy("id").agg(F.min("v").alias("other")).withColumnRenamed("id", "of")
+    of = F.when(digit.isin(*(d for d, *_ in VERSIONS)), F.col("id") - digit)
+    joined = rows.withColumn("of", of).join(originals, "of", "left")
+    return joined.select(F.col("id").alias(vec_id), F.coalesce("other", "v").alias(vector), played.alias("played"))
+
+
+def recordings_of(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", note: int = 400, played: str | None = None) -> DataFrame:
+    """(rec_id, pcm): each vector played as a melody, one note per component, a tone and its octave.
+
+    played names a struct (lead, cut, noise): samples of silence before it, samples left out at its start, and
+    the deviation of the noise, which the id seeds.
+    """
 
     def stage(batches):
         t = np.arange(note) / RATE
@@ -184,11 +209,17 @@ def recordings_of(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "emb
         tones = np.round(tones * 20000).astype("<i2")
         for batch in batches:
             found = []
-            for v in batch.column("v").to_pylist():
+            for i, v, how in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "v", "played")), strict=True):
                 z = np.nan_to_num(np.array([x or 0.0 for x in v or ()], float), posinf=0, neginf=0)
                 scale = float(np.abs(z).max(initial=0)) or 1.0
-                found.append(tones[np.clip(np.round((z / scale + 1) * 17.5), 0, 35).astype(int)].tobytes())
+                tune = tones[np.clip(np.round((z / scale + 1) * 17.5), 0, 35).astype(int)].ravel()
+                if how and any(how.values()):
+                    tune = np.concatenate([np.zeros(how["lead"], "<i2"), tune[how["cut"] :]])
+                    noise = np.random.default_rng(abs(i or 0)).normal(0, how["noise"], len(tune))
+                    tune = np.clip(tune + np.round(noise), -32768, 32767).astype("<i2")
+                found.append(tune.tobytes())
             yield pa.record_batch([batch.column("rec_id"), pa.array(found, pa.binary())], names=["rec_id", "pcm"])
 
-    rows = vectors.select(F.col(vec_id).alias("rec_id"), F.col(vector).alias("v"))
+    how = F.col(played) if played else F.lit(None).cast("struct<lead: int, cut: int, noise: int>")
+    rows = vectors.select(F.col(vec_id).alias("rec_id"), F.col(vector).alias("v"), how.alias("played"))
     return map_batches(rows, stage, "rec_id long, pcm binary")

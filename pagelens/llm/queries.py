@@ -30,14 +30,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.recordings_of(audio.with_versions(_table(spark, sf_dir, "embeddings")), played="played")
+
+
 def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector played as a recording; classes of equal fingerprints and the best alignment of every fiftieth."""
-    return audio.align(audio.recordings_of(_table(spark, sf_dir, "embeddings")))
+    """Every vector played as a recording, three of ten as versions of another; classes of equal fingerprints and the best alignment of every fiftieth."""
+    return audio.align(_recordings(spark, sf_dir))
 
 
 def op6_audio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All alignments of the classes of every fiftieth recording with other classes."""
-    return audio.matches(audio.recordings_of(_table(spark, sf_dir, "embeddings")))
+    return audio.matches(_recordings(spark, sf_dir))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ def test_the_queries_against_every_offset(spark):
     from pagelens.llm.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    prints = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in audio.fingerprints(audio.recordings_of(vectors)).collect()}
+    vectors = audio.with_versions(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    prints = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in audio.fingerprints(audio.recordings_of(vectors, played="played")).collect()}
     least = {}
     for i in sorted(prints):
         least.setdefault(prints[i].tobytes(), i)
@@ -48,6 +48,8 @@ def test_the_queries_against_every_offset(spark):
             if tried and min(tried)[0] <= audio.MAX_BIT_ERROR:
                 want[a, b] = min(tried)
     got = {(r.class_id, r.match_id): (r.bit_error, -r.overlap, r.offset) for r in QUERIES["op6_audio_matches"](spark, sf).collect()}
+    planted = {(a, cls[a + d]): o for a in asked for d, o in ((3, 0), (6, 20), (9, -12)) if cls[a + d] != a}
+    assert len(planted) >= 25 and all(want[k][2] == o for k, o in planted.items()) and planted.keys() <= got.keys()
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
     assert all(got[k][0] >= want[k][0] and got[k][0] == audio.bit_error(prints[k[0]], prints[k[1]], got[k][2])[1] for k in got)
     for r in QUERIES["op6_audio_fingerprints"](spark, sf).collect():
@@ -56,3 +58,23 @@ def test_the_queries_against_every_offset(spark):
         if own:
             e, b = min((v[0], b) for b, v in own.items())
             assert (r.bit_error, r.match_id) == (e, b)
+
+
+def test_odd_recordings(spark):
+    """Null, empty and repeated rows, ties, one sample, clashing columns and empty tables."""
+    r = np.random.default_rng(2)
+    tune = _melody(r.integers(0, 36, 64))
+    noisy = (tune + r.normal(0, 200, len(tune))).astype("<i2").tobytes()
+    rows = [(50, tune.tobytes()), (50, tune.tobytes()), (51, noisy), (52, noisy), (53, tune.tobytes()[:1]), (100, b""), (101, None), (None, noisy)]
+    df = spark.createDataFrame([(i, b, i, "x", 0.0, []) for i, b in rows], "rec_id long, pcm binary, id long, print string, bit_error double, codes array<int>")
+    got = sorted((x.rec_id, x.class_id, x.match_id, x.n_matches) for x in audio.align(df).collect())
+    assert [g[:2] for g in got] == [(50, 50), (50, 50), (51, 51), (52, 51), (53, 53), (100, 53), (101, 53)]
+    assert [g[2:] for g in got] == [(51, 1), (51, 1), (None, 0), (None, 0), (None, 0), (None, 0), (None, 0)]
+    assert [(m.class_id, m.match_id) for m in audio.matches(df).collect()] == [(50, 51)]
+    assert audio.align(df.limit(0)).count() == audio.matches(df.limit(0)).count() == 0
+    shape = "vec_id long, embedding array<float>, of string, played string"
+    odd = spark.createDataFrame([(10, [1.0, 2.0], "x", "x"), (10, [0.5], "x", "x"), (13, [3.0], "x", "x"), (23, [4.0], "x", "x"), (None, None, "x", "x"), (11, None, "x", "x"), (16, [], "x", "x")], shape)
+    assert sorted(((x.vec_id, x.embedding) for x in audio.with_versions(odd).collect()), key=str) == sorted(
+        [(10, [1.0, 2.0]), (10, [0.5]), (13, [0.5]), (23, [4.0]), (None, None), (11, None), (16, [0.5])], key=str
+    )
+    assert audio.recordings_of(audio.with_versions(odd), played="played").count() == 7
