@@ -189,10 +189,12 @@ def with_versions(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     played = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("cut"), F.lit(0).alias("noise"))
     for d, lead, cut, noise in VERSIONS:
         played = F.when(digit == d, F.struct(F.lit(lead).alias("lead"), F.lit(cut).alias("cut"), F.lit(noise).alias("noise"))).otherwise(played)
-    originals = rows.where(digit == 0).groupBy("id").agg(F.min("v").alias("other")).withColumnRenamed("id", "of")
-    of = F.when(digit.isin(*(d for d, *_ in VERSIONS)), F.col("id") - digit)
-    joined = rows.withColumn("of", of).join(originals, "of", "left")
-    return joined.select(F.col("id").alias(vec_id), F.coalesce("other", "v").alias(vector), played.alias("played"))
+    is_version = F.coalesce(digit.isin(*(d for d, *_ in VERSIONS)), F.lit(False))
+    originals = rows.where(digit == 0).groupBy(F.col("id").alias("of")).agg(F.min("v").alias("other"))
+    versions = rows.where(is_version).withColumn("of", F.col("id") - digit).join(originals, "of", "left").select("id", F.coalesce("other", "v").alias("v"))
+    # the others, ids of null among them, stay where they were read
+    both = rows.where(~is_version).unionByName(versions)
+    return both.select(F.col("id").alias(vec_id), F.col("v").alias(vector), played.alias("played"))
 
 
 def recordings_of(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", note: int = 400, played: str | None = None) -> DataFrame:
