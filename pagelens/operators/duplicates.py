@@ -31,14 +31,14 @@ def is_paginated(url: Column, prev_url: Column | None = None, next_url: Column |
     return out
 
 
-def exact_duplicates(pages: DataFrame, key: Column, *by: str) -> DataFrame:
+def exact_duplicates(pages: DataFrame, key: Column, *by: str, page: str = "url") -> DataFrame:
     """(by.., key_value, url, members) of pages whose key another page of the group has too.
 
-    The groups are counted first, pre-aggregated; only keys with several pages are joined back.
+    page is the column that tells pages apart; with another one than the address, several pages of an address count each. The groups are counted first, pre-aggregated; only keys with several pages are joined back.
     """
-    rows = pages.select(*by, "url", key.alias("key_value")).where("key_value is not null and key_value <> ''")
-    groups = rows.groupBy(*by, "key_value").agg(F.count_distinct("url").alias("members")).where("members > 1")
-    return rows.join(groups, [*by, "key_value"])
+    rows = pages.select(*by, "url", F.col(page).alias("_page"), key.alias("key_value")).where("key_value is not null and key_value <> ''")
+    groups = rows.groupBy(*by, "key_value").agg(F.count_distinct("_page").alias("members")).where("members > 1")
+    return rows.drop("_page").join(groups, [*by, "key_value"])
 
 
 def minhash_signature(shingles: Column, permutations: int = PERMUTATIONS) -> Column:
