@@ -79,8 +79,8 @@ def with_inputs(pages: DataFrame) -> DataFrame:
     return pages.withColumns(missing) if missing else pages
 
 
-def page_findings(pages: DataFrame, checks: Iterable[CheckDef] | None = None) -> DataFrame:
-    """(crawl_id, url, check_id, severity, tier, evidence) of extracted pages.
+def page_findings(pages: DataFrame, checks: Iterable[CheckDef] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(crawl_id, url, keep.., check_id, severity, tier, evidence) of extracted pages; keep are further columns of theirs.
 
     All predicates stand in one projection, so a single scan serves every check, without a shuffle and
     without Python; it works on a stream as well. A predicate that is null doesn't fire.
@@ -96,4 +96,4 @@ def page_findings(pages: DataFrame, checks: Iterable[CheckDef] | None = None) ->
             )
         )
     found = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return with_inputs(pages).select("crawl_id", "url", F.inline(found))
+    return with_inputs(pages).select("crawl_id", "url", *keep, F.inline(found))
