@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pagelens.functions import urls as U
 
 
-def join_by_url(pages: DataFrame, metrics: DataFrame, columns: list[str]) -> DataFrame:
-    """Left join of search-console or rank metrics by address; of several rows of an address the largest counts, by the columns in turn, and whole."""
-    one = metrics.groupBy("url").agg(F.max(F.struct(*columns)).alias("_m")).select("url", *[F.col("_m")[c].alias(c) for c in columns])
-    return pages.join(one, "url", "left")
+def join_by_url(pages: DataFrame, metrics: DataFrame, columns: list[str], key: str = "url") -> DataFrame:
+    """Left join of search-console or rank metrics by address, or by another key of pages; of several rows of a key the largest counts, by the columns in turn, and whole."""
+    one = metrics.groupBy(key).agg(F.max(F.struct(*columns)).alias("_m")).select(key, *[F.col("_m")[c].alias(c) for c in columns])
+    return pages.join(one, key, "left")
 
 
 def best_ga4(metrics: DataFrame) -> DataFrame:
