@@ -275,34 +275,53 @@ def near_dup_label(signature: Column) -> Column:
     return F.array_join(F.transform(F.slice(signature, 1, 4), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-#: Vectors of one block; a task compares one block with another.
+#: Vectors of one block at least; a task compares one block with another.
 BLOCK_VECTORS = 4096
+#: A group has no more blocks than this, so what is sent grows with the vectors alone, until a block would be larger than BLOCK_BYTES.
+MOST_BLOCKS = 8
+BLOCK_BYTES = 64 << 20
+#: Inside a task so many rows are held against so many others at a time.
 _SLICE = 256
+_PIECE = 4096
 
 
 def _blocks(vectors: DataFrame, id_col: str, vector_col: str, by: tuple[str, ...], block: int) -> DataFrame:
-    """Vectors under every pair of blocks (i, j), i <= j, that their own belongs to; side says as which of them."""
-    rows = vectors.select(*by, F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.size("v") > 0)
-    sizes = rows.groupBy(*by, F.size("v").alias("d")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    rows = rows.withColumn("d", F.size("v")).join(sizes, [*by, "d"]).withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    """Vectors under every pair of blocks (i, j), i <= j, that their own belongs to; side says as which of them. A vector is sent once for each block of its group."""
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(*by, F.col(id_col).alias("id"), vector.alias("v")).where(F.size("v") > 0)
+    needed = F.ceil(F.count("*") * F.size("v") * 8 / BLOCK_BYTES)
+    sizes = rows.groupBy(*by, F.size("v").alias("d")).agg(F.least(F.ceil(F.count("*") / block), F.greatest(F.lit(MOST_BLOCKS), needed)).cast("int").alias("n"))
+    # sizes has a row a group; a join that shuffles would bring a whole group, and all its blocks after it, into one task
+    rows = rows.withColumn("d", F.size("v")).join(F.broadcast(sizes), [*by, "d"]).withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
     other = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     keyed = other.select(*by, "d", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "id", "v", F.when(F.col("own") <= F.col("k"), 0).otherwise(1).alias("side"))
-    twice = keyed.where("i = j").withColumn("side", F.lit(1))
-    return keyed.unionByName(twice)
+    # by number, as pairs of blocks are little data and much work, which mustn't be put together
+    return keyed.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "d", "i", "j")
 
 
 def _sides(table: pa.Table) -> tuple:
-    """Ids and unit vectors of both sides, with the vectors themselves and their lengths."""
+    """Ids and unit vectors of both sides, with the vectors themselves and their lengths; of a block with itself it is one side twice."""
     out = []
-    for side in (0, 1):
+    for side in (0,) if table["i"][0].as_py() == table["j"][0].as_py() else (0, 1):
         part = table.filter(pc.equal(table["side"], side))
         ids = part["id"].to_numpy()
-        x = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) if len(part) else np.empty((0, 1))
+        x = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1) if len(part) else np.empty((0, 1))
         order = np.argsort(ids, kind="stable")
         x = x[order]
-        length = np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
+        length = np.empty(len(x))
+        for k in range(0, len(x), _PIECE):
+            length[k : k + _PIECE] = np.sqrt(np.add.accumulate(x[k : k + _PIECE] ** 2, axis=1)[:, -1])
         out.append((ids[order], x, length, x / np.where(length > 0, length, 1)[:, None]))
-    return tuple(out)
+    return out[0], out[-1]
+
+
+def _pieces(u: np.ndarray, v: np.ndarray, above: bool = False):
+    """(k, l, product): the cosines of unit vectors u and v, a piece at a time, from row k and column l; with above, none that are wholly below the diagonal."""
+    for k in range(0, len(u), _SLICE):
+        for l in range(k // _PIECE * _PIECE if above else 0, len(v), _PIECE):  # noqa: E741
+            yield k, l, u[k : k + _SLICE] @ v[l : l + _PIECE].T
 
 
 def _cosines(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -315,8 +334,8 @@ def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold:
     """(by.., a, b, similarity) with a < b and a cosine of at least the threshold, all of them.
 
     Exact: the vectors of a group (a crawl) are dealt into blocks, and each pair of blocks is one matrix
-    product in a task, of which only the pairs that reach the threshold come out. A vector is sent once
-    for each block of its own group. Vectors of different sizes have cosine 0 and are not compared; empty
+    product in a task, piece by piece, of which only the pairs that reach the threshold come out. A vector is sent once
+    for each block of its own group, which are MOST_BLOCKS at most as long as these stay below BLOCK_BYTES. Vectors of different sizes have cosine 0 and are not compared; empty
     and null ones are left out; equal ids are not compared with each other.
     """
     schema = vectors.select(*by, F.col(id_col).alias("a"), F.col(id_col).alias("b"), F.lit(0.0).alias("similarity")).schema
@@ -325,9 +344,9 @@ def semantic_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold:
         (ids, x, nx, ux), (others, y, ny, uy) = _sides(table)
         same = table["i"][0].as_py() == table["j"][0].as_py()
         found = []
-        for k in range(0, len(ids), _SLICE):
-            row, col = np.nonzero(ux[k : k + _SLICE] @ uy.T >= threshold - 1e-9)
-            row += k
+        for k, l, product in _pieces(ux, uy, same):  # noqa: E741
+            row, col = np.nonzero(product >= threshold - 1e-9)
+            row, col = row + k, col + l
             keep = ids[row] < others[col] if same else ids[row] != others[col]
             row, col = row[keep], col[keep]
             cos = _cosines(x[row], nx[row], y[col], ny[col])
@@ -431,18 +450,23 @@ def low_relevance(vectors: DataFrame, id_col: str, vector_col: str, threshold: f
     def task(table: pa.Table) -> pa.Table:
         (ids, x, nx, ux), (others, y, ny, uy) = _sides(table)
         same = table["i"][0].as_py() == table["j"][0].as_py()
-        out_ids, out = [], []
-        for (p, px, pn, pu), (q, qx, qn, qu) in [((ids, x, nx, ux), (others, y, ny, uy))] + ([] if same else [((others, y, ny, uy), (ids, x, nx, ux))]):
-            for k in range(0, len(p), _SLICE):
-                rough = np.where(p[k : k + _SLICE, None] == q[None, :], -np.inf, pu[k : k + _SLICE] @ qu.T)
-                row, col = np.nonzero((rough >= rough.max(axis=1, initial=-np.inf)[:, None] - 1e-9) & (rough > -np.inf))
-                best = np.full(len(rough), -np.inf)
-                np.maximum.at(best, row, _cosines(px[row + k], pn[row + k], qx[col], qn[col]))
-                out_ids.append(p[k : k + _SLICE][best > -np.inf])
-                out.append(best[best > -np.inf])
-        found = np.concatenate(out_ids) if out_ids else ids[:0]
+        best, best_other = np.full(len(ids), -np.inf), np.full(len(others), -np.inf)
+        for k, l, rough in _pieces(ux, uy):  # noqa: E741
+            rough[ids[k : k + _SLICE, None] == others[None, l : l + _PIECE]] = -np.inf
+            near = rough >= rough.max(axis=1)[:, None] - 1e-9
+            if not same:
+                near |= rough >= rough.max(axis=0) - 1e-9
+            row, col = np.nonzero(near & (rough > -np.inf))
+            row, col = row + k, col + l
+            cos = _cosines(x[row], nx[row], y[col], ny[col])
+            np.maximum.at(best, row, cos)
+            if not same:
+                np.maximum.at(best_other, col, cos)
+        sides = [(ids, best)] if same else [(ids, best), (others, best_other)]
+        found, near = (np.concatenate([s[n] for s in sides]) for n in (0, 1))
+        found, near = found[near > -np.inf], near[near > -np.inf]
         group = {c: pa.array([table[c][0].as_py()] * len(found), table.schema.field(c).type) for c in by}
-        return pa.table({**group, "id": found, "near": np.concatenate(out) if out else np.empty(0)})
+        return pa.table({**group, "id": found, "near": near})
 
     nearest = _blocks(vectors, id_col, vector_col, by, block).groupBy(*by, "d", "i", "j").applyInArrow(task, schema).groupBy(*by, "id").agg(F.max("near").alias("near"))
     all_ids = vectors.where(F.size(vector_col) > 0).select(*by, F.col(id_col).alias("id")).distinct()
