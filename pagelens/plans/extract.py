@@ -8,6 +8,7 @@ from functools import cache
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +60,30 @@ RESPONSE = {
 }
 
 
+#: Pages an Arrow batch to the parser holds at most, and bytes; so many of them are parsed at a time, or fewer if they have more characters.
+BATCH_PAGES = 256
+BATCH_BYTES = 4 << 20
+PARSED_PAGES = 64
+PARSED_CHARS = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PARSED_PAGES pages, that end where they reach PARSED_CHARS."""
+    start = chars = 0
+    for i, n in enumerate(pc.utf8_length(batch["html"]).fill_null(0).to_pylist()):
+        if i > start and (i - start == PARSED_PAGES or chars + n > PARSED_CHARS):
+            yield batch.slice(start, i - start)
+            start, chars = i, 0
+        chars += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One nested row per row of pages(url, html, and any of RESPONSE): the wide page record.
 
-    One pass of Arrow batches, as large as the session bounds them, over the rows, without a shuffle; 128
-    pages of a batch are parsed at a time. Null html is parsed as empty. Further columns are kept. All other logic is relational and reads only the columns it needs.
+    One pass of Arrow batches over the rows, without a shuffle. The session's batches are bounded by BATCH_PAGES and
+    BATCH_BYTES, and few pages are parsed at a time, so that a task needs no more memory for larger tables. Null html is parsed as empty. Further columns are kept. All other logic is relational and reads only the columns it needs.
     """
     parsed_fields = parsed_schema()
     for name, (kind, default) in RESPONSE.items():
@@ -71,11 +91,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             pages = pages.withColumn(name, default().cast(kind))
     kept = [c for c in pages.columns if c != "html" and c not in parsed_fields.names]
     schema = T.StructType([*(f for f in pages.select(*kept, "html").schema), *parsed_fields])
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     arrow = to_arrow_schema(parsed_fields)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+            for part in _parts(batch):
                 rows = [parse_page(u or "", h or "") for u, h in zip(part["url"].to_pylist(), part["html"].to_pylist(), strict=True)]
                 parsed = pa.Table.from_pylist(rows, schema=arrow).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*part.columns, *parsed.columns], names=[*part.schema.names, *parsed.schema.names])
