@@ -61,11 +61,11 @@ def description_pixel_width(c: Column) -> Column:
     return F.floor(pixel_width(c) * F.lit(0.8)).cast("int")
 
 
-_EDGE = ".,!?;:\"'()"
+EDGE = ".,!?;:\"'()"
 #: A word whose last letter is an e after a consonant and an earlier vowel; one without vowels; one of marks alone. All start at a word's start, so a long word is looked at once.
-_SILENT_E = rf"(?<!\S)[^aeiouy\s]*+[aeiouy]++[^aeiouy\s]\S*e[{_EDGE}]*(?!\S)"
+_SILENT_E = rf"(?<!\S)[^aeiouy\s]*+[aeiouy]++[^aeiouy\s]\S*e[{EDGE}]*(?!\S)"
 _NO_VOWEL = r"(?<!\S)[^aeiouy\s]++(?!\S)"
-_MARKS = rf"(?<!\S)[{_EDGE}]++(?!\S)"
+_MARKS = rf"(?<!\S)[{EDGE}]++(?!\S)"
 
 
 def syllables(c: Column) -> Column:
@@ -76,9 +76,13 @@ def syllables(c: Column) -> Column:
 
 def flesch(c: Column) -> Column:
     """Flesch reading ease to one decimal; null for a text without words. A few counts over the whole text, none word by word."""
-    n = F.regexp_count(c, F.lit(r"\S+"))
-    sentences = F.greatest(F.regexp_count(c, F.lit("[.!?]+")), F.lit(1))
-    return F.when(n > 0, F.bround(F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (syllables(c) / n), 1))
+    return flesch_of(F.regexp_count(c, F.lit(r"\S+")), F.regexp_count(c, F.lit("[.!?]+")), syllables(c))
+
+
+def flesch_of(words: Column, sentences: Column, syllables: Column) -> Column:
+    """Flesch reading ease of counts."""
+    score = F.lit(206.835) - F.lit(1.015) * (words / F.greatest(sentences, F.lit(1))) - F.lit(84.6) * (syllables / words)
+    return F.when(words > 0, F.bround(score, 1))
 
 
 def strip_tags(html: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagelens.functions import text as X
 from pagelens.functions import urls as U
 
-from .page_parser import area_text, dom_xml, parse_page
+from .page_parser import area_text, dom_xml, parse_page, text_counts
 
 _LINK = "struct<href:string,anchor:string,rel:array<string>,is_internal:boolean,target:string>"
 _IMAGE = (
@@ -65,6 +65,8 @@ BATCH_PAGES = 256
 BATCH_BYTES = 4 << 20
 PARSED_PAGES = 64
 PARSED_CHARS = 1 << 20
+#: Counts of a page's text that the parser gives along, for facts that are expressions over them.
+_COUNTS = ("_words", "_sentences", "_syllables")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -90,24 +92,26 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         if name not in pages.columns:
             pages = pages.withColumn(name, default().cast(kind))
     kept = [c for c in pages.columns if c != "html" and c not in parsed_fields.names]
-    schema = T.StructType([*(f for f in pages.select(*kept, "html").schema), *parsed_fields])
+    schema = T.StructType([*(f for f in pages.select(*kept, "html").schema), *parsed_fields, *(T.StructField(c, T.IntegerType()) for c in _COUNTS)])
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     arrow = to_arrow_schema(parsed_fields)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             for part in _parts(batch):
                 rows = [parse_page(u or "", h or "") for u, h in zip(part["url"].to_pylist(), part["html"].to_pylist(), strict=True)]
                 parsed = pa.Table.from_pylist(rows, schema=arrow).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*part.columns, *parsed.columns], names=[*part.schema.names, *parsed.schema.names])
+                counts = [pa.array(n, pa.int32()) for n in text_counts([r["main_text"] for r in rows], known)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *parsed.columns, *counts], names=[*part.schema.names, *parsed.schema.names, *_COUNTS])
 
     parsed = pages.select(*kept, "html").mapInArrow(stage, schema)
-    return with_text_facts(parsed)
+    return with_text_facts(parsed, [F.col(c) for c in _COUNTS]).drop(*_COUNTS)
 
 
-def with_text_facts(parsed: DataFrame) -> DataFrame:
-    """Counts, hashes and flags that are expressions over a parsed page."""
+def with_text_facts(parsed: DataFrame, counts: list[Column] | None = None) -> DataFrame:
+    """Counts, hashes and flags that are expressions over a parsed page; counts are the words, ends of sentences and syllables of main_text where they are known."""
     html_bytes, text_bytes = F.octet_length(F.coalesce("html", F.lit(""))), F.octet_length("full_text")
     x_robots = F.col("headers")["x-robots-tag"]
     noindex_meta = F.coalesce(F.lower("meta_robots").contains("noindex"), F.lit(False))
@@ -116,9 +120,9 @@ def with_text_facts(parsed: DataFrame) -> DataFrame:
         {
             "html": F.coalesce("html", F.lit("")),
             "x_robots": x_robots,
-            "word_count": X.word_count(F.col("main_text")),
+            "word_count": counts[0] if counts else X.word_count(F.col("main_text")),
             "content_hash": F.md5("main_text"),
-            "readability": X.flesch(F.col("main_text")),
+            "readability": X.flesch_of(*counts) if counts else X.flesch(F.col("main_text")),
             "size": F.length(F.coalesce("html", F.lit(""))),
             "html_bytes": html_bytes,
             "text_bytes": text_bytes,
