@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ def minhash_rows(rows: DataFrame, id_col: str, text_col: str, n: int = 5, permut
 
 
 def _shingle_set(text: Column, n: int = 5) -> Column:
-    """The text's shingles (X.shingles) as distinct 64-bit hashes of their words, without putting the strings together."""
+    """The text's shingles (X.shingles) as distinct 64-bit hashes of their words, in one expression; _shingle_sets gives other hashes, with less work."""
 
     def runs(w: Column) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
@@ -64,6 +64,70 @@ def _shingle_set(text: Column, n: int = 5) -> Column:
     return X.let(X.words(F.lower(text)), runs)
 
 
+#: Words of a shingle.
+_SHINGLE = 5
+
+
+def _word_hashes(text: Column) -> Column:
+    """The words of a text in lower case (X.words), hashed one by one, in their order."""
+    return F.transform(X.words(F.lower(text)), lambda w: F.xxhash64(w))
+
+
+def _shingled(lists: pa.Array, n: int = _SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values): of each list of word hashes the distinct runs of n words as 64-bit hashes, those of one list after those of the other.
+
+    All words are one run where there are fewer than n; a list without words has none.
+    """
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    runs = np.where(counts > 0, np.maximum(counts - (n - 1), 1), 0)
+    row = np.repeat(np.arange(len(counts)), runs)
+    first = np.cumsum(counts) - counts
+    at = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + first[row]
+    end = (first + counts)[row]
+    x = np.full(len(row), 42, np.uint64)
+    for k in range(n):
+        inside = at + k < end
+        x[inside] = (x[inside] ^ words[at[inside] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    order = np.lexsort((x, row))
+    row, x = row[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    return np.bincount(row[new], minlength=len(counts)), x[new]
+
+
+#: Elements that are hashed together: arrays of so many stay in a core's cache, through all permutations.
+_CACHED = 1 << 15
+
+
+def _small(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices that end where the lists of the column have _CACHED elements together; a longer list is one by itself."""
+    for batch in batches:
+        total = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, done + _CACHED, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, x) of texts(id, text): the distinct shingles of a text as hashes."""
+    hashed = texts.select("id", _word_hashes(F.col("text")).alias("w"))
+
+    def stage(batches):
+        for batch in _small(batches, "w"):
+            sizes, values = _shingled(batch.column("w"))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))], names=["id", "x"])
+
+    return hashed.mapInArrow(stage, T.StructType([*hashed.select("id").schema, T.StructField("x", T.ArrayType(T.LongType()))]))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float | None) -> DataFrame:
     """pairs(a, b) with the Jaccard similarity of their sets(id, x); with a threshold only those that reach it."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
@@ -89,9 +153,11 @@ def bands_for(threshold: float, permutations: int = PERMUTATIONS, miss: float =
     return permutations, 1
 
 
-def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
+def _band_keys(sets: DataFrame, threshold: float, level: int, words: bool = False) -> DataFrame:
     """sets(.., x, bucket) with keys, n, s0 and s1 in place of x and bucket, from minima of seeded hashes of x, in Arrow batches.
 
+    With words, x holds the hashes of a text's words in their order, and its shingles are the set.
+
     keys are the buckets of the bands; a row's bucket goes into them, so that what was apart stays apart. n is the size of x,
     s0 and s1 hold one bit of each minimum. A row without elements has no keys.
     """
@@ -101,10 +167,12 @@ def _band_keys(sets: DataFrame, threshold: float, level: int) -> DataFrame:
     kept = [c for c in sets.columns if c not in ("x", "bucket")]
 
     def stage(batches):
-        for batch in batches:
+        for batch in _small(batches, "x"):
             lists = batch.column("x")
-            sizes = lists.value_lengths().fill_null(0).to_numpy()
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if words:
+                sizes, values = _shingled(lists)
+            else:
+                sizes, values = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             some = sizes > 0
             first = np.cumsum(sizes)[some] - sizes[some]
             old = batch.column("bucket").to_numpy(zero_copy_only=False)[some].view(np.uint64)
@@ -224,11 +292,11 @@ def _banded(texts: DataFrame, threshold: float) -> tuple[DataFrame, Callable[[Da
     """(texts(by.., id, text) with their class h and band keys in place of the text; what gives the sets of the ends of pairs; what pairs at the threshold have in common)."""
     base = texts.where("text is not null and text <> ''")
     own = [c for c in base.columns if c != "text"]
-    signed = settle(_band_keys(base.select(*own, F.md5("text").alias("h"), F.lit(0).cast("long").alias("bucket"), _shingle_set(F.col("text")).alias("x")), threshold, 0))
+    signed = settle(_band_keys(base.select(*own, F.md5("text").alias("h"), F.lit(0).cast("long").alias("bucket"), _word_hashes(F.col("text")).alias("x")), threshold, 0, words=True))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = _ends(pairs)
-        return settle(possible(base, wanted, "id").join(wanted, "id", "left_semi").select("id", _shingle_set(F.col("text")).alias("x")))
+        return settle(_shingle_sets(possible(base, wanted, "id").join(wanted, "id", "left_semi").select("id", "text")))
 
     bands, rows_of = bands_for(threshold)
     return signed, sets_of, (threshold, _bits_apart(bands * rows_of, (1 + threshold) / 2))
