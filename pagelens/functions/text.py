@@ -32,6 +32,11 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether something is left after strip_ws; found at the first such character."""
+    return c.rlike(r"[^\s  ]")
+
+
 def words(c: Column) -> Column:
     """Runs between white space."""
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")

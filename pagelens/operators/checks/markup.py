@@ -10,7 +10,7 @@ from pagelens.functions import text as X
 from pagelens.functions import urls as U
 
 from .registry import check
-from .rules import any_el, attr, c, diff, els, filled, first, has_header, header, html, no_schema, schema_types, some_links, tag, yes
+from .rules import any_el, attr, c, diff, els, filled, first, has_header, header, html, mentions, no_schema, schema_types, some_links, tag, yes
 
 #: Properties that a schema type should have.
 RECOMMENDED = {
@@ -28,6 +28,7 @@ RECOMMENDED = {
 }
 REQUIRED = {"Article": ["headline"], "Product": ["name"], "Offer": ["price"], "Organization": ["name"], "Event": ["name", "startDate"], "Recipe": ["name"], "FAQPage": ["mainEntity"]}
 SECURITY_HEADERS = ("content-security-policy", "x-content-type-options", "x-frame-options", "referrer-policy")
+ASKS = ("faq", "frequently asked", "how to", "add to cart")
 LANGUAGE = r"^(x-default|[a-z]{2,3}(-[A-Za-z]{4})?(-([A-Z]{2}|[a-z]{2}|\d{3}))?)$"
 
 
@@ -90,7 +91,7 @@ check("J04", "Microdata or RDFa where JSON-LD is expected", "Low", "REVIEW", lam
 check("J05", "Article schema on a page without article text", "Medium", "REVIEW", lambda: F.array_contains(schema_types(), "article") & (c("word_count") < 50), origin="catalogue")
 check("J08", "No breadcrumb schema", "Low", "REVIEW", lambda: no_schema("breadcrumblist"), origin="catalogue")
 check("J09", "Article schema without author or date", "Medium", "REVIEW", lambda: F.exists(_objects(), lambda b: F.get_json_object(b, "$.@type").contains("Article") & (F.get_json_object(b, "$.author").isNull() | F.get_json_object(b, "$.datePublished").isNull())), origin="catalogue")
-check("J10", "Questions or products without their schema", "Medium", "REVIEW", lambda: yes(F.lower("main_text").rlike(r"\b(faq|frequently asked|how to|add to cart)\b")) & no_schema("faqpage", "howto", "product", "review"), origin="catalogue")
+check("J10", "Questions or products without their schema", "Medium", "REVIEW", lambda: yes(mentions(*ASKS, of="main_text") & F.lower("main_text").rlike(rf"\b({'|'.join(ASKS)})\b")) & no_schema("faqpage", "howto", "product", "review"), origin="catalogue")
 check("J12", "Rating out of range", "High", "FLAG", lambda: F.exists(_objects(), lambda b: ~F.coalesce(F.get_json_object(b, "$.aggregateRating.ratingValue").try_cast("double"), F.lit(1.0)).between(0, 5)), origin="catalogue")
 check("J13", "Schema changed by scripts", "Medium", "REVIEW", lambda: diff("structured_data", "created", "modified", "deleted"), origin="catalogue")
 check("J14", "Recommended schema properties missing", "Low", "REVIEW", lambda: filled(_gaps(RECOMMENDED)), lambda: F.struct(_gaps(RECOMMENDED).alias("missing")))

@@ -8,14 +8,14 @@ from pagelens.functions import urls as U
 
 from .experience import hidden_control, loose_item, unnamed
 from .registry import check
-from .rules import any_el, attr, c, diff, els, filled, has_attr, html, n_els, n_html, no_schema, path, query, tag, under, yes
+from .rules import any_el, attr, c, diff, els, filled, has_attr, html, mentions, n_els, n_html, no_schema, path, query, tag, under, yes
 
 #: Fixed values.
 TRAINING_BOTS = ("gptbot", "claudebot", "ccbot", "google-extended")
 SEARCH_BOTS = ("oai-searchbot", "claude-searchbot", "perplexitybot")
 USER_BOTS = ("chatgpt-user", "claude-user", "perplexity-user")
 FLOWS = "checkout|cart|booking|book-now|contact|appointment|register|signup|sign-up|quote"
-INFINITE = "infinite-scroll|infinitescroll|load-more|load_more|data-infinite"
+INFINITE = ("infinite-scroll", "infinitescroll", "load-more", "load_more", "data-infinite")
 
 
 def _blocked(bots):
@@ -68,7 +68,7 @@ check(
     lambda: F.lower(F.concat_ws(" ", "url", "title")).rlike(FLOWS) & any_el(lambda e: tag(e, "form")) & ~any_el(lambda e: tag(e, "form") & _mcp(e)),
 )
 check("S12", "Links registered by scripts", "Low", "REVIEW", lambda: diff("internal_links", "created", "modified"))
-check("S13", "Analytics present", "Info", "FLAG", lambda: html(r"G-[A-Z0-9]{6,}|googletagmanager\.com/gtag"))
+check("S13", "Analytics present", "Info", "FLAG", lambda: html(r"G-[A-Z0-9]{6,}|googletagmanager\.com/gtag", "g-", "googletagmanager"))
 
 
 def _segments():
@@ -87,10 +87,10 @@ check("T07", "Address that doesn't describe the page", "Low", "REVIEW", lambda:
 check("T09", "Underscores in the path", "Low", "REVIEW", lambda: path().contains("_"))
 
 check("U01", "Page of a series with noindex", "Medium", "REVIEW", lambda: _series() & html(r"""(?i)<meta[^>]*name=["']?robots["']?[^>]*content=["']?[^>]*noindex"""))
-check("U02", "Several next or previous links", "Low", "REVIEW", lambda: (n_html(r"""(?i)rel=["']next["']""") > 1) | (n_html(r"""(?i)rel=["']prev["']""") > 1))
+check("U02", "Several next or previous links", "Low", "REVIEW", lambda: (n_html(r"""(?i)rel=["']next["']""", "next") > 1) | (n_html(r"""(?i)rel=["']prev["']""", "prev") > 1))
 check("U03", "Page of a series canonicalised to the first", "Medium", "REVIEW", lambda: _series() & (c("canonical") != "") & ~c("canonical").rlike("page=|p=|/page/"))
-check("U04", "Endless scrolling without pages", "Medium", "REVIEW", lambda: F.lower("html").rlike(INFINITE) & ~F.lower("html").rlike("""rel=["']next["']"""))
-check("U05", "Series without a complete list", "Low", "REVIEW", lambda: (F.lower("html").contains('rel="next"') | F.lower("url").contains("/page/")) & ~F.lower("html").rlike("view all|view-all|show all|see all"))
+check("U04", "Endless scrolling without pages", "Medium", "REVIEW", lambda: mentions(*INFINITE) & ~F.lower("html").rlike("""rel=["']next["']"""))
+check("U05", "Series without a complete list", "Low", "REVIEW", lambda: (F.lower("html").contains('rel="next"') | F.lower("url").contains("/page/")) & ~mentions("view all", "view-all", "show all", "see all"))
 
 check("V01", "Default category", "Low", "REVIEW", lambda: F.lower("url").contains("/category/uncategorized"))
 check("V02", "Tag, author or date archive", "Medium", "REVIEW", lambda: path().rlike(r"/tag/|/author/|/\d{4}/\d{2}/"))
@@ -98,7 +98,7 @@ check("V03", "Attachment page", "Medium", "AUTO", lambda: query().contains("atta
 check("V04", "Pages of comments", "Low", "REVIEW", lambda: c("url").contains("/comment-page-"))
 check("V05", "Search results page", "Medium", "REVIEW", lambda: query().contains("s="))
 check("V06", "Two SEO plugins", "High", "FLAG", lambda: c("html").contains("Yoast SEO") & c("html").contains("Rank Math"))
-check("V07", "Several canonical links", "Medium", "REVIEW", lambda: n_html(r"""(?i)<link[^>]*rel=["']?canonical""") > 1)
+check("V07", "Several canonical links", "Medium", "REVIEW", lambda: n_html(r"""(?i)<link[^>]*rel=["']?canonical""", "canonical") > 1)
 check("V08", "Three or more JPEG or PNG images", "Low", "REVIEW", lambda: F.size(F.filter("images", lambda i: F.lower(i["src"]).rlike(r"\.(jpe?g|png)(\?|$)"))) >= 3)
 check("V09", "Feed, trackback or reply address", "Low", "REVIEW", lambda: query().contains("replytocom=") | path().rlike("/(feed|trackback)/$"))
 check("V10", "Test site that may be indexed", "Critical", "FLAG", lambda: U.host(c("url")).rlike(r"staging\.|dev\.") & ~F.lower("html").contains("noindex"))
@@ -109,4 +109,4 @@ _gtm = lambda: n_html(r"googletagmanager\.com/gtm\.js")
 _gtag = lambda: n_html(r"googletagmanager\.com/gtag/js")
 check("W01", "Analytics missing or doubled", "Low", "FLAG", lambda: ((_gtm() == 0) & (_gtag() == 0)) | (_gtm() > 1) | (_gtag() > 1))
 check("W02", "Start page without search-console verification", "Low", "FLAG", lambda: path().isin("", "/") & ~_meta("google-site-verification"))
-check("W03", "No icon", "Low", "AUTO", lambda: ~html(r"""(?i)<link[^>]*rel=["'][^"']*icon"""))
+check("W03", "No icon", "Low", "AUTO", lambda: ~html(r"""(?i)<link[^>]*rel=["'][^"']*icon""", "icon"))

@@ -83,7 +83,8 @@ def page_findings(pages: DataFrame, checks: Iterable[CheckDef] | None = None, ke
     """(crawl_id, url, keep.., check_id, severity, tier, evidence) of extracted pages; keep are further columns of theirs.
 
     All predicates stand in one projection, so a single scan serves every check, without a shuffle and
-    without Python; it works on a stream as well. A predicate that is null doesn't fire.
+    without Python; it works on a stream as well. A predicate that is null doesn't fire. The projection is compiled, and what
+    several checks read of a page is worked out once; inside the generator, or below a lambda, it would be interpreted.
     """
     parts = []
     for c in checks or CHECKS.values():
@@ -95,5 +96,6 @@ def page_findings(pages: DataFrame, checks: Iterable[CheckDef] | None = None, ke
                 F.struct(F.lit(c.check_id).alias("check_id"), severity.alias("severity"), F.lit(c.tier).alias("tier"), evidence.alias("evidence")),
             )
         )
-    found = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return with_inputs(pages).select("crawl_id", "url", *keep, F.inline(found))
+    rows = with_inputs(pages).select("crawl_id", "url", *keep, F.array(*parts).alias("_found"))
+    # an array without checks gives a row of nulls, like a check that doesn't fire; the inner form would have all checks evaluated once more, by a filter on the size
+    return rows.select("crawl_id", "url", *keep, F.inline_outer("_found")).where("check_id is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,15 +37,24 @@ def has(name: str, part: str) -> Column:
 
 
 def blank(col: Column) -> Column:
-    return F.coalesce(X.strip_ws(col), F.lit("")) == ""
+    return ~yes(X.has_text(col))
 
 
-def html(pattern: str) -> Column:
-    return yes(c("html").rlike(pattern))
+def mentions(*parts: str, of: str = "html") -> Column:
+    """Whether a text holds one of the parts, which are in lower case; far less work than to search it by a pattern."""
+    return reduce(Column.__or__, [F.lower(of).contains(p) for p in parts])
 
 
-def n_html(pattern: str) -> Column:
-    return F.coalesce(F.regexp_count("html", F.lit(pattern)), F.lit(0))
+def html(pattern: str, *parts: str) -> Column:
+    """Whether the HTML matches; with parts it is searched only where it holds one of them, as all that match must do."""
+    found = c("html").rlike(pattern)
+    return yes(mentions(*parts) & found if parts else found)
+
+
+def n_html(pattern: str, *parts: str) -> Column:
+    """How many matches the HTML has; parts as in html."""
+    n = F.regexp_count("html", F.lit(pattern))
+    return F.coalesce(F.when(mentions(*parts), n) if parts else n, F.lit(0))
 
 
 def header(name: str) -> Column:

@@ -52,6 +52,19 @@ def finding(rows: DataFrame, check_id: str, evidence: Column | None = None, seve
     )
 
 
+def _page_findings(rows: DataFrame, checks: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    """finding of each check, with its condition and evidence, in one scan of the rows."""
+    no_evidence = F.lit(None).cast("string")
+    parts = [
+        F.when(
+            condition,
+            F.struct(*[F.lit(x).alias(n) for x, n in zip((k, *SPECS[k]), ("check_id", "severity", "tier"), strict=True)], (no_evidence if e is None else F.to_json(e)).alias("evidence")),
+        )
+        for k, (condition, e) in checks.items()
+    ]
+    return rows.select("crawl_id", "url", F.array(*parts).alias("_found")).select("crawl_id", "url", F.inline_outer("_found")).where("check_id is not null")
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -257,16 +270,19 @@ def slash_check(pages: DataFrame) -> DataFrame:
 def validation_checks(pages: DataFrame) -> DataFrame:
     """V13 to V17 on HTML pages that answer 200."""
     kind = F.lower(F.coalesce(F.col("headers")["content-type"], F.lit("")))
-    rows = pages.where((F.col("status") == 200) & ((kind == "") | kind.contains("html")) & (X.strip_ws(F.col("html")) != ""))
+    rows = pages.where((F.col("status") == 200) & ((kind == "") | kind.contains("html")) & X.has_text(F.col("html")))
     head = F.regexp_extract("html", r"(?is)<head\b[^>]*>(.*?)</head>", 1)
     bare = F.regexp_replace(F.regexp_replace(head, r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>", ""), r"(?s)<!--.*?-->", "")
     flow = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(FLOW), F.lit(1)), F.lower))
-    return union(
-        finding(rows.where(~F.col("html").rlike(r"(?i)^\s*<!doctype\s+html")), "V13"),
-        finding(rows.where(F.coalesce(F.trim("lang"), F.lit("")) == ""), "V14"),
-        finding(rows.where("title_count > 1"), "V15", F.struct("title_count")),
-        finding(rows.where(~F.lower(F.substring("html", 1, 1024)).contains("charset") & ~kind.contains("charset")), "V16"),
-        finding(rows.withColumn("flow", F.slice(flow, 1, 10)).where("size(flow) > 0"), "V17", F.struct("flow")),
+    return _page_findings(
+        rows,
+        {
+            "V13": (~F.col("html").rlike(r"(?i)^\s*<!doctype\s+html"), None),
+            "V14": (F.coalesce(F.trim("lang"), F.lit("")) == "", None),
+            "V15": (F.col("title_count") > 1, F.struct("title_count")),
+            "V16": (~F.lower(F.substring("html", 1, 1024)).contains("charset") & ~kind.contains("charset"), None),
+            "V17": (F.size(flow) > 0, F.struct(F.slice(flow, 1, 10).alias("flow"))),
+        },
     )
 
 
